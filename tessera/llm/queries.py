@@ -7,9 +7,11 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, common, quality, token_counts, token_files
+from tessera.llm import byte_bpe, common, decontaminate, language, pii, quality, simhash, token_counts, token_files, toxicity
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+#: For the registered queries, whose results must be the same every time; real runs pass a secret of their own.
+PII_KEY = b"demonstration key"
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -17,6 +19,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_regions(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.identify(docs, language.fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_documents(documents(spark, sf_dir), BYTE_RANKS, public_tokenizers.PATTERN)
 
@@ -77,9 +105,14 @@ SELECT *, NOT base_failed AND n_removed_words <= 0.8 * n_words AS kept FROM verd
 """
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
+    "op3_simhash": op3_simhash,
+    "op4_pii": op4_pii,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_token_counts": op6_token_counts,
+    "op7_toxicity": op7_toxicity,
     "op8_token_files": op8_token_files,
+    "op9_language": op9_language,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {"op10_quality_rules": OP10_SQL}
