@@ -6,8 +6,9 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, common, decontaminate, language, pii, quality, simhash, token_counts, token_files, toxicity
+from tessera.llm import byte_bpe, common, decontaminate, language, pii, quality, repeats, simhash, token_counts, token_files, toxicity
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: For the registered queries, whose results must be the same every time; real runs pass a secret of their own.
@@ -23,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_regions(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -105,6 +112,7 @@ SELECT *, NOT base_failed AND n_removed_words <= 0.8 * n_words AS kept FROM verd
 """
 
 QUERIES = {
+    "op1_repeats": op1_repeats,
     "op2_decontaminate": op2_decontaminate,
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,
