@@ -265,7 +265,7 @@ risk AS (SELECT domain, mode, max(CASE WHEN threshold = 0.3 THEN r END) AS risk_
  FROM (SELECT *, round(1 - CASE WHEN n > 0 THEN k / n ELSE 0 END, 6) AS r FROM curve) GROUP BY domain, mode),
 acc AS (SELECT domain, mode, avg(success) AS accuracy, avg(latency_ms) AS cost FROM runs GROUP BY domain, mode),
 util AS (SELECT *, accuracy - 0.3 * cost / greatest(1.0, max(cost) OVER (PARTITION BY domain)) AS utility FROM acc),
-both AS (SELECT * FROM util JOIN risk USING (domain, mode))"""
+effects AS (SELECT * FROM util JOIN risk USING (domain, mode))"""
 
 
 def selective_effects(df, baseline):
@@ -286,7 +286,7 @@ def selective_effects(df, baseline):
 
 @register("effect_sizes_selective", sql(f"""WITH {SELECTIVE}
 SELECT a.domain, a.mode, round(b.risk_30 - a.risk_30, 6) AS risk_reduction_30, round(b.risk_50 - a.risk_50, 6) AS risk_reduction_50, round(b.risk_70 - a.risk_70, 6) AS risk_reduction_70,
-round(a.accuracy - b.accuracy, 6) AS delta_accuracy, round(a.utility - b.utility, 5) AS delta_utility FROM both a JOIN both b ON a.domain = b.domain AND b.mode = 'M1' WHERE a.mode <> 'M1'"""))
+round(a.accuracy - b.accuracy, 6) AS delta_accuracy, round(a.utility - b.utility, 5) AS delta_utility FROM effects a JOIN effects b ON a.domain = b.domain AND b.mode = 'M1' WHERE a.mode <> 'M1'"""))
 def effect_sizes_selective(spark, d):
     return selective_effects(runs(spark, d), "M1")
 
