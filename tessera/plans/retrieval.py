@@ -1,8 +1,236 @@
-"""Retrieval queries."""
+"""Retrieval queries: benchmark items ask the documents, vectors ask vectors, user turns ask their session."""
 
+from pyspark.sql import functions as F
+
+from tessera.operators import memory as M
+from tessera.operators import retrieval as R
+from tessera.operators.routing import ranked
+from tessera.operators.stats import rounded
 from tessera.registry import register
+from tessera.sources.views import table, view, with_views
+
+STOP = "[" + ", ".join(f"'{w}'" for w in R.STOP_WORDS) + "]"
+TOKENS = "list_filter(string_split(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 2 AND NOT list_contains(" + STOP + ", w))"
+GRAMS = "list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))"
+
+view("passages", "SELECT doc_id AS pid, text, source AS title FROM documents")
+view("asks", "SELECT item_id AS qid, text AS query FROM benchmark")
+view("ptf", f"SELECT pid, term, count(*) AS tf FROM (SELECT pid, unnest({GRAMS}) AS term FROM (SELECT pid, {TOKENS.format(c='text')} AS w FROM passages)) GROUP BY pid, term", "passages")
+view("qtf", f"SELECT qid, term, count(*) AS tf FROM (SELECT qid, unnest({GRAMS}) AS term FROM (SELECT qid, {TOKENS.format(c='query')} AS w FROM asks)) GROUP BY qid, term", "asks")
+view("idf", "SELECT term, ln((1 + (SELECT count(*) FROM passages)) / (1 + count(*))) + 1 AS idf FROM ptf GROUP BY term", "ptf")
+view("post", "SELECT pid, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY pid)) AS w FROM ptf JOIN idf USING (term)", "idf")
+view("sparse", "SELECT qid, pid, sum(wq * w) AS score FROM post JOIN (SELECT qid, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY qid)) AS wq FROM qtf JOIN idf USING (term)) USING (term) GROUP BY qid, pid", "post", "qtf")
+view("hits", "SELECT * FROM (SELECT qid, pid, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, pid) AS rank FROM sparse) WHERE rank <= 5", "sparse")
+
+
+def passages(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("pid"), "text", F.col("source").alias("title"))
+
+
+def asks(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
+def sparse(spark, d):
+    return R.tfidf_scores(asks(spark, d), R.tfidf_index(passages(spark, d)))
+
+
+def hits(spark, d, k=5):
+    return ranked(sparse(spark, d).withColumn("score", rounded(F.col("score"))), ["qid"], "score", "pid", k)
+
+
+@register("extractive_answer", with_views("""SELECT qid, coalesce(substr(text, 1, 220) || ' [' || CAST(pid AS VARCHAR) || ']', 'Insufficient context') AS answer
+FROM asks LEFT JOIN (SELECT qid AS k, pid, text FROM hits JOIN passages USING (pid) WHERE rank = 1) ON qid = k""", "hits"))
+def extractive_answer(spark, d):
+    best = hits(spark, d, 1).join(passages(spark, d), "pid")
+    return R.extractive_answers(asks(spark, d).select("qid"), best)
+
+
+@register("tfidf_index", with_views("SELECT term, pid, round(w, 6) AS w FROM post", "post"))
+def tfidf_index(spark, d):
+    return R.tfidf_index(passages(spark, d))[1].select("term", "pid", rounded(F.col("w")).alias("w"))
+
+
+@register("tfidf_search", with_views("SELECT qid, pid, score, rank FROM hits", "hits"))
+def tfidf_search(spark, d):
+    return hits(spark, d).select("qid", "pid", "score", "rank")
+
+
+WORDS = "SELECT DISTINCT {k}, unnest({t}) AS term FROM {v}"
+
+
+@register("overlap_search", with_views(f"""WITH p AS ({WORDS.format(k='pid', t=TOKENS.format(c='text'), v='passages')}), q AS ({WORDS.format(k='qid', t=TOKENS.format(c='query'), v='asks')}),
+s AS (SELECT qid, pid, CAST(count(*) AS DOUBLE) AS score FROM p JOIN q USING (term) GROUP BY qid, pid)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM s) WHERE rank <= 5""", "passages", "asks"))
+def overlap_search(spark, d):
+    return ranked(R.overlap_scores(asks(spark, d), passages(spark, d)), ["qid"], "score", "pid", 5)
+
+
+@register("rank_hits", with_views("SELECT * FROM (SELECT qid, pid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, pid) AS rank FROM sparse) WHERE rank <= 10", "sparse"))
+def rank_hits(spark, d):
+    return hits(spark, d, 10).select("qid", "pid", "rank")
+
+
+@register("topk_scores", "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS score FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT 5")
+def topk_scores(spark, d):
+    df = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("score"))
+    return df.orderBy(F.desc("score"), "l_orderkey", "l_linenumber", "l_partkey").limit(5)
+
+
+@register("format_context", with_views("""WITH b AS (SELECT qid, rank, '[' || CAST(pid AS VARCHAR) || '] ' || coalesce(title, '') || chr(10) || substr(text, 1, 2000) AS b FROM hits JOIN passages USING (pid)),
+s AS (SELECT *, sum(length(b) + 2) OVER (PARTITION BY qid ORDER BY rank) AS total FROM b) SELECT qid, string_agg(b, chr(10) || chr(10) ORDER BY rank) AS context FROM s WHERE total <= 12000 GROUP BY qid""", "hits"))
+def format_context(spark, d):
+    return R.format_context(hits(spark, d).join(passages(spark, d), "pid"))
+
+
+@register("snippet", "SELECT doc_id, CASE WHEN length(trim(text)) > 220 THEN substr(trim(text), 1, 220) || '...' ELSE trim(text) END AS snippet FROM documents")
+def snippet(spark, d):
+    from tessera.operators.text import snippet as cut
+
+    return table(spark, d, "documents").select("doc_id", cut(F.col("text")).alias("snippet"))
+
+
+COSINE = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+
+
+@register("topk_dense", f"""WITH s AS (SELECT b.vec_id AS qid, a.vec_id AS pid, {COSINE} AS score FROM embeddings a, embeddings b WHERE b.vec_id < 20)
+SELECT qid, pid, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, pid) AS rank FROM s) WHERE rank <= 5""")
+def topk_dense(spark, d):
+    e = table(spark, d, "embeddings")
+    vectors, queries = e.select(F.col("vec_id").alias("pid"), "embedding"), e.filter("vec_id < 20").select(F.col("vec_id").alias("qid"), "embedding")
+    return R.dense_topk(vectors, queries, 5).withColumn("score", rounded(F.col("score"), 5))
+
+
+SESSION = f"""WITH s AS (SELECT a.label AS session_id, b.vec_id AS qid, a.vec_id AS memory_id, round({COSINE}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE b.vec_id < 20)
+SELECT session_id, qid, memory_id, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, memory_id) AS rank FROM s) WHERE rank <= 5"""
+
+
+def sessions(spark, d):
+    e = table(spark, d, "embeddings").withColumnRenamed("label", "session_id")
+    return e.withColumnRenamed("vec_id", "memory_id"), e.filter("vec_id < 20").withColumnRenamed("vec_id", "qid")
+
+
+@register("topk_session", SESSION)
+def topk_session(spark, d):
+    return R.session_topk(*sessions(spark, d), 5).withColumn("score", rounded(F.col("score"), 5))
+
+
+@register("min_score_filter", f"SELECT session_id, qid, memory_id, rank FROM ({SESSION}) WHERE score >= 0.5")
+def min_score_filter(spark, d):
+    return R.session_topk(*sessions(spark, d), 5, least=0.5).filter(rounded(F.col("score"), 5) >= 0.5).drop("score")
+
+
+HYBRID = f"""vecs AS (SELECT vec_id AS pid, embedding::DOUBLE[] AS e FROM embeddings), qs AS (SELECT asks.qid, vecs.e FROM asks JOIN vecs ON asks.qid = vecs.pid),
+near AS (SELECT qs.qid, vecs.pid, list_cosine_similarity(vecs.e, qs.e) AS dense, coalesce(sparse.score, 0) AS sp FROM qs CROSS JOIN vecs LEFT JOIN sparse ON sparse.qid = qs.qid AND sparse.pid = vecs.pid),
+m AS (SELECT qid, avg(dense) AS dm, stddev_pop(dense) AS ds, avg(sp) AS sm, stddev_pop(sp) AS ss FROM near GROUP BY qid),
+fused AS (SELECT qid, pid, round(0.5 * CASE WHEN ss > 1e-9 THEN (sp - sm) / ss ELSE 0 END + 0.5 * CASE WHEN ds > 1e-9 THEN (dense - dm) / ds ELSE 0 END, 6) AS score FROM near JOIN m USING (qid)),
+hybrid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM fused) WHERE rank <= 5)"""
+
+
+def hybrid(spark, d):
+    """Passages that have a vector, asked by benchmark items that have one."""
+    e = table(spark, d, "embeddings")
+    vectors = e.select(F.col("vec_id").alias("pid"), "embedding")
+    queries = asks(spark, d).join(e.select(F.col("vec_id").alias("qid"), "embedding"), "qid")
+    found = sparse(spark, d).join(vectors.select("pid"), "pid", "left_semi").join(queries.select("qid"), "qid", "left_semi")
+    return R.hybrid_topk(found, vectors, queries, 5)
+
+
+@register("hybrid_search", with_views(f"WITH {HYBRID} SELECT qid, pid, rank, round(score, 4) AS score FROM hybrid", "sparse"))
+def hybrid_search(spark, d):
+    return hybrid(spark, d).select("qid", "pid", "rank", rounded(F.col("score"), 4).alias("score"))
+
+
+@register("retrieve_context", with_views(f"""WITH {HYBRID} SELECT asks.qid, coalesce(h.pid, s.pid) AS pid, CASE WHEN h.pid IS NOT NULL THEN 'hybrid' ELSE 'search' END AS via FROM asks
+LEFT JOIN (SELECT * FROM hybrid WHERE rank = 1) h ON h.qid = asks.qid LEFT JOIN (SELECT * FROM hits WHERE rank = 1) s ON s.qid = asks.qid""", "sparse", "hits"))
+def retrieve_context(spark, d):
+    h = hybrid(spark, d).filter("rank = 1").select("qid", F.col("pid").alias("h"))
+    s = hits(spark, d, 1).select("qid", F.col("pid").alias("s"))
+    return asks(spark, d).select("qid").join(h, "qid", "left").join(s, "qid", "left").select("qid", F.coalesce("h", "s").alias("pid"), F.when(F.col("h").isNotNull(), "hybrid").otherwise("search").alias("via"))
+
+
+@register("l2_normalize", "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings) SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, round(x / n, 6) AS x FROM e")
+def l2_normalize(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode(R.l2_normalize(F.col("embedding"))).alias("i", "x")).withColumn("x", rounded(F.col("x")))
+
+
+RAW = "list_transform(range(0, 16), lambda i: ('0x' || substr(md5(text || '|' || CAST(i AS VARCHAR)), 1, 8))::BIGINT / 2147483647.5 - 1)"
+
+
+@register("hash_embed", f"WITH r AS (SELECT item_id, {RAW} AS v FROM benchmark), e AS (SELECT item_id, unnest(v) AS x, generate_subscripts(v, 1) AS i, sqrt(list_dot_product(v, v)) AS n FROM r) SELECT item_id, CAST(i - 1 AS INTEGER) AS i, round(x / n, 6) AS x FROM e")
+def hash_embed(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.posexplode(R.hash_embed(F.col("text"))).alias("i", "x")).withColumn("x", rounded(F.col("x")))
+
+
+@register("embed_batch")
+def embed_batch(spark, d):
+    import numpy as np
+
+    lengths = lambda texts: np.stack([texts.str.len(), texts.str.count("a"), texts.str.count("e") + 1], axis=1)
+    return R.embed_batch(table(spark, d, "benchmark"), "text", lengths).select("item_id", "embedding")
+
+
+@register("memory_flush", "SELECT count(*) FILTER (WHERE conv_id = 3) AS removed, count(*) FILTER (WHERE conv_id <> 3) AS kept FROM conversations")
+def memory_flush(spark, d):
+    m = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("text").alias("content"))
+    kept, removed = M.flush(m, "3")
+    return removed.crossJoin(kept.agg(F.count("*").alias("kept")))
+
+
+@register("memory_add", "SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) AS n FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
+def memory_add(spark, d):
+    rows = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), "text")
+    return M.seed(rows).groupBy("session_id").agg(F.count("*").alias("n"))
+
+
+@register("reindex", "SELECT CAST(conv_id AS VARCHAR) AS session_id, round(sum(('0x' || substr(md5(text || '|0'), 1, 8))::BIGINT / 4294967295.0), 4) AS checksum FROM conversations GROUP BY conv_id")
+def reindex(spark, d):
+    m = M.seed(table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), "text"))
+    unit = lambda c: F.array(F.conv(F.substring(F.md5(F.concat(c, F.lit("|0"))), 1, 8), 16, 10).cast("double") / 4294967295.0)
+    return M.reindex(m, unit).groupBy("session_id").agg(rounded(F.sum(F.get("embedding", F.lit(0))), 4).alias("checksum"))
+
+
+@register("two_store_choice", f"""WITH best AS (SELECT qid, max(score) AS score FROM (SELECT b.vec_id AS qid, {COSINE} AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE b.vec_id < 20) GROUP BY qid)
+SELECT choice, count(*) AS n FROM (SELECT CASE WHEN score >= 0.5 THEN 'memory' WHEN qid % 2 = 0 THEN 'doc' ELSE 'none' END AS choice FROM best) GROUP BY choice""")
+def two_store_choice(spark, d):
+    m, q = sessions(spark, d)
+    best = R.session_topk(m, q, 2).filter("memory_id <> qid").groupBy("qid").agg(F.max("score").alias("score"))
+    choice = R.two_store_choice(F.col("score"), F.when(F.col("qid") % 2 == 0, F.lit(1.0)), 0.5)
+    return best.groupBy(choice.alias("choice")).agg(F.count("*").alias("n"))
+
+
+CITED = "regexp_matches(answer, '\\[[0-9]+\\]')"
+
+
+@register("ensure_citation", with_views(f"""WITH a AS (SELECT qid, CASE WHEN qid % 2 = 0 THEN substr(text, 1, 50) || ' [' || CAST(pid AS VARCHAR) || ']' ELSE substr(text, 1, 50) END AS answer, pid FROM hits JOIN passages USING (pid) WHERE rank = 1)
+SELECT qid, {CITED} AS had, CASE WHEN {CITED} THEN answer ELSE answer || ' [' || CAST(pid AS VARCHAR) || ']' END AS answer FROM a""", "hits"))
+def ensure_citation(spark, d):
+    mark = F.concat(F.lit(" ["), F.col("pid").cast("string"), F.lit("]"))
+    a = hits(spark, d, 1).join(passages(spark, d), "pid").withColumn("answer", F.when(F.col("qid") % 2 == 0, F.concat(F.substring("text", 1, 50), mark)).otherwise(F.substring("text", 1, 50)))
+    had = F.col("answer").rlike(r"\[[0-9]+\]")
+    return a.select("qid", had.alias("had"), F.when(had, F.col("answer")).otherwise(F.concat("answer", mark)).alias("answer"))
+
+
+@register("query_features", with_views("""WITH t AS (SELECT qid, max(score) AS search_top, avg(score) AS search_mean3 FROM hits WHERE rank <= 3 GROUP BY qid)
+SELECT asks.qid, length(query) AS len_query, regexp_matches(query, '[0-9]') AS has_number, round(coalesce(search_top, 0), 5) AS search_top, round(coalesce(search_mean3, 0), 5) AS search_mean3 FROM asks LEFT JOIN t USING (qid)""", "hits"))
+def query_features(spark, d):
+    t = hits(spark, d, 3).groupBy("qid").agg(F.max("score").alias("t"), F.avg("score").alias("m"))
+    zero = lambda c: rounded(F.coalesce(c, F.lit(0.0)), 5)
+    return asks(spark, d).join(t, "qid", "left").select("qid", F.length("query").cast("long").alias("len_query"), F.col("query").rlike("[0-9]").alias("has_number"), zero("t").alias("search_top"), zero("m").alias("search_mean3"))
+
+
+@register("fuse_query", "SELECT p_partkey, trim(concat_ws(' ', nullif(trim(p_name), ''), 'size ' || CAST(p_size AS VARCHAR))) AS query FROM part")
+def fuse_query(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.trim(F.concat_ws(" ", F.nullif(F.trim("p_name"), F.lit("")), F.concat(F.lit("size "), F.col("p_size").cast("string")))).alias("query"))
 
 
-@register("extractive_answer")
-def extractive_answer(spark, sf_dir):
-    raise NotImplementedError
+@register("robustness_summary", with_views("""
+WITH shifted AS (SELECT qid, n, regexp_replace(query, 'th', repeat('t', n), 'g') AS query FROM asks, (SELECT unnest([0, 1]) AS n)), q AS (SELECT qid, n, unnest(""" + TOKENS.format(c="query") + """) AS term FROM shifted), p AS (SELECT DISTINCT pid, unnest(""" + TOKENS.format(c="text") + """) AS term FROM passages),
+s AS (SELECT qid, n, pid, count(DISTINCT term) AS score FROM q JOIN p USING (term) GROUP BY qid, n, pid), t AS (SELECT qid, n, max_by(pid, score * 1000000000 - pid) AS top FROM s GROUP BY qid, n)
+SELECT a.n AS intensity, count(*) AS n, round(avg(CASE WHEN a.top = b.top THEN 1 ELSE 0 END), 6) AS agreement FROM t a JOIN t b ON a.qid = b.qid AND b.n = 0 GROUP BY a.n""", "passages", "asks"))
+def robustness_summary(spark, d):
+    a = asks(spark, d).select("qid", F.explode(F.array(F.lit(0), F.lit(1))).alias("intensity"), "query")
+    a = a.select(F.struct("qid", "intensity").alias("qid"), F.when(F.col("intensity") == 0, F.regexp_replace("query", "th", "")).otherwise(F.regexp_replace("query", "th", "t")).alias("query"))
+    top = ranked(R.overlap_scores(a, passages(spark, d)), ["qid"], "score", "pid", 1).select("qid.qid", "qid.intensity", F.col("pid").alias("top"))
+    base = top.filter("intensity = 0").select("qid", F.col("top").alias("base"))
+    return top.join(base, "qid").groupBy("intensity").agg(F.count("*").alias("n"), rounded(F.avg((F.col("top") == F.col("base")).cast("int"))).alias("agreement"))
