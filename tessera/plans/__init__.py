@@ -1,5 +1,7 @@
 """Registered queries: each module binds operators to the given tables."""
 
-from tessera.plans.retrieval import extractive_answer as FLAGSHIP
+from tessera.plans import dataset, evaluation, files, kg, retrieval, routing
 
-__all__ = ["FLAGSHIP"]
+FLAGSHIP = retrieval.extractive_answer
+
+__all__ = ["FLAGSHIP", "dataset", "evaluation", "files", "kg", "retrieval", "routing"]
