@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Two-sided 95 % quantile of the normal distribution, to the digits that the published tables use.
 Z95 = 1.96
@@ -46,7 +47,7 @@ def acc_ci(df: DataFrame) -> DataFrame:
     return sets.select("mode", domain.alias("domain"), kind.alias("type"), "n", rounded(F.col("k") / F.col("n")).alias("accuracy"), rounded(low).alias("ci_low"), rounded(high).alias("ci_high"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def exact_binomial(b: pd.Series, c: pd.Series) -> pd.Series:
     """Two-sided exact p of b and c discordant pairs, in log space; 1 without any. Runs on aggregated rows only."""
 

@@ -74,22 +74,26 @@ A, GOLD = NORMAL.format(x="answer"), NORMAL.format(x="gold")
 RECALL = f"CASE WHEN len(list_filter(list_transform(list_prepend(gold, aliases), lambda x: {CANON.format(x='x')}), lambda y: y <> '' AND contains({CANON.format(x='answer')}, y))) > 0 THEN 1 ELSE 0 END"
 OPEN = f"CASE WHEN {GOLD} <> '' AND contains({A}, {GOLD}) THEN 1 ELSE 0 END"
 LOGIC = f"CASE WHEN {A} = {GOLD} OR starts_with({A}, {GOLD} || ' ') THEN 1 ELSE 0 END"
-GOT = [F.col(c) for c in ("answer", "gold", "aliases")]
+
+
+def got():
+    """Answer, gold and aliases."""
+    return [F.col(c) for c in ("answer", "gold", "aliases")]
 
 
 @register("score_recall", with_views(f"SELECT id, {RECALL} AS score FROM said", "said"))
 def score_recall(spark, d):
-    return said(spark, d).select("id", N.score_recall(*GOT).alias("score"))
+    return said(spark, d).select("id", N.score_recall(*got()).alias("score"))
 
 
 @register("score_open", with_views(f"SELECT id, {OPEN} AS score FROM said", "said"))
 def score_open(spark, d):
-    return said(spark, d).select("id", N.score_open(*GOT[:2]).alias("score"))
+    return said(spark, d).select("id", N.score_open(*got()[:2]).alias("score"))
 
 
 @register("score_logic", with_views(f"SELECT id, {LOGIC} AS score FROM said", "said"))
 def score_logic(spark, d):
-    return said(spark, d).select("id", N.score_logic(*GOT[:2]).alias("score"))
+    return said(spark, d).select("id", N.score_logic(*got()[:2]).alias("score"))
 
 
 SUCCESS = f"CASE type WHEN 'recall' THEN {RECALL} WHEN 'open' THEN {OPEN} ELSE CASE WHEN {GOLD} IN ('yes', 'no') THEN {LOGIC} WHEN lower(gold) <> '' AND contains(lower(answer), lower(gold)) THEN 1 ELSE 0 END END"
@@ -97,13 +101,13 @@ SUCCESS = f"CASE type WHEN 'recall' THEN {RECALL} WHEN 'open' THEN {OPEN} ELSE C
 
 @register("score_success", with_views(f"SELECT id, type, {SUCCESS} AS success FROM said", "said"))
 def score_success(spark, d):
-    return said(spark, d).select("id", "type", N.score_success(F.col("type"), *GOT).alias("success"))
+    return said(spark, d).select("id", "type", N.score_success(F.col("type"), *got()).alias("success"))
 
 
 @register("domain_report_rows", with_views(f"SELECT id, type, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS stored, {SUCCESS} AS rescored FROM said WHERE id % 3 = 0", "said"))
 def domain_report_rows(spark, d):
     own = table(spark, d, "part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"))
-    return said(spark, d).join(own, "id", "left_semi").select("id", "type", (F.col("id") % 2 == 0).cast("int").alias("stored"), N.score_success(F.col("type"), *GOT).alias("rescored"))
+    return said(spark, d).join(own, "id", "left_semi").select("id", "type", (F.col("id") % 2 == 0).cast("int").alias("stored"), N.score_success(F.col("type"), *got()).alias("rescored"))
 
 
 @register("repair_success", with_views("""SELECT id, CAST(CASE WHEN id % 2 = 0 THEN 1 WHEN len(t) > 0 AND len(list_filter(t, lambda x: NOT contains(lower(answer), trim(x)))) = 0 THEN 1 ELSE 0 END AS INTEGER) AS success

@@ -170,10 +170,10 @@ def ece_quantile(spark, d):
     return S.ece_quantile(runs(spark, d), "mode")
 
 
-@register("reliability_points", sql(f"WITH {BINS} SELECT mode, CAST(bin AS BIGINT) AS bin, n, round(mc, 6) AS mean_confidence, round(ms, 6) AS mean_success FROM bins"))
+@register("reliability_points", sql(f"WITH {BINS} SELECT mode, CAST(bin AS BIGINT) AS bin, n, round(mc + 1e-9, 6) AS mean_confidence, round(ms + 1e-9, 6) AS mean_success FROM bins"))
 def reliability_points(spark, d):
     b = S.quantile_bins(runs(spark, d), "mode")
-    return b.select("mode", "bin", "n", S.rounded(F.col("mean_confidence")).alias("mean_confidence"), S.rounded(F.col("mean_success")).alias("mean_success"))
+    return b.select("mode", "bin", "n", S.rounded(F.col("mean_confidence") + 1e-9).alias("mean_confidence"), S.rounded(F.col("mean_success") + 1e-9).alias("mean_success"))
 
 
 @register("global_row_index", sql(f"WITH {BINS.rsplit(', bins AS', 1)[0].rsplit('),', 1)[0]}) SELECT mode, confidence, n, CAST(k AS BIGINT) AS k, CAST(coalesce(sum(n) OVER (PARTITION BY mode ORDER BY confidence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before, CAST(sum(n) OVER (PARTITION BY mode) AS BIGINT) AS total FROM sums"))

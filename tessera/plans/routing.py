@@ -33,7 +33,18 @@ def sql(body):
 
 ROUTE = "CASE WHEN mem_top >= 0.45 THEN 'MEM' WHEN search_top >= 0.55 THEN 'SEARCH' WHEN sym_fired THEN 'SYM' ELSE 'MEMSYM' END"
 FEATURES = "greatest(0.0, least(1.0, CASE WHEN sym_fired THEN greatest(0.95, {b}) ELSE {b} END))".format(b="CASE WHEN mem_top >= 0.45 AND search_top >= 0.35 THEN greatest(0.8, 0.2 + 0.6 * greatest(mem_top, search_top)) ELSE 0.2 + 0.6 * greatest(mem_top, search_top) END")
-MEM, SEARCH, SYM = F.col("mem_text"), F.col("search_text"), F.col("sym_text")
+
+
+def mem_():
+    return F.col("mem_text")
+
+
+def search_():
+    return F.col("search_text")
+
+
+def sym_():
+    return F.col("sym_text")
 
 
 @register("adaptive_route", sql(f"SELECT id, mode, {ROUTE} AS action FROM sig"))
@@ -58,14 +69,14 @@ WITH c AS (SELECT *, CASE WHEN mem_text IS NOT NULL THEN greatest(0.0, least(1.0
 CASE WHEN sym_fired THEN CASE WHEN success = 1 THEN 1.0 ELSE 0.5 END END AS y FROM sig)
 SELECT id, mode, round(coalesce(CASE WHEN action = 'MEM' THEN m WHEN action IN ('SEARCH', 'BASE') THEN s WHEN action = 'SYM' THEN y WHEN action = 'MEMSYM' THEN list_max(list_filter([m, s, y], lambda x: x IS NOT NULL)) END, 0.5), 6) AS confidence FROM c"""))
 def attach_confidence(spark, d):
-    m, s = F.when(MEM.isNotNull(), F.col("mem_top")), F.when(SEARCH.isNotNull(), F.col("search_top"))
+    m, s = F.when(mem_().isNotNull(), F.col("mem_top")), F.when(search_().isNotNull(), F.col("search_top"))
     return sig(spark, d).select("id", "mode", rounded(G.attach_confidence(F.col("action"), m, s, F.col("success") == 1, F.lit(False), F.col("sym_fired"))).alias("confidence"))
 
 
 @register("abstain", sql(f"SELECT id, mode, CASE WHEN {FEATURES} < 0.6 THEN 'ABSTAIN' ELSE coalesce(mem_text, 'none') END AS answer, CASE WHEN {FEATURES} < 0.6 THEN 0 ELSE steps END AS cost_steps FROM sig"))
 def abstain(spark, d):
     c = G.confidence_from_features(F.col("mem_top"), F.col("search_top"), F.col("sym_fired"))
-    return sig(spark, d).select("id", "mode", G.abstain(F.coalesce(MEM, F.lit("none")), c, 0.6).alias("answer"), F.when(c < 0.6, 0).otherwise(F.col("steps")).alias("cost_steps"))
+    return sig(spark, d).select("id", "mode", G.abstain(F.coalesce(mem_(), F.lit("none")), c, 0.6).alias("answer"), F.when(c < 0.6, 0).otherwise(F.col("steps")).alias("cost_steps"))
 
 
 ANSWER = """coalesce(CASE WHEN action = 'MEM' THEN 'Memory: ' || mem_text WHEN action = 'SYM' THEN sym_text
@@ -79,7 +90,7 @@ CASE WHEN search_text IS NOT NULL THEN 'SEARCH' END AS f, CASE WHEN sym_text IS
 
 def composed(spark, d):
     a = F.col("action")
-    return sig(spark, d).withColumns({"answer": G.compose_answer(a, MEM, SEARCH, SYM), "sources": G.compose_steps(a, MEM, SEARCH, SYM)})
+    return sig(spark, d).withColumns({"answer": G.compose_answer(a, mem_(), search_(), sym_()), "sources": G.compose_steps(a, mem_(), search_(), sym_())})
 
 
 @register("compose_answer", sql(f"WITH {COMPOSED} SELECT id, mode, answer, array_to_string(sources, ',') AS sources FROM composed"))
@@ -92,7 +103,7 @@ WITH p AS (SELECT id, mode, sym_text, mem_top >= 0.45 AS sm, search_top >= 0.35
 q AS (SELECT *, CASE WHEN ss OR mp IS NULL THEN 'Search: ' || search_text END AS sp FROM p), r AS (SELECT *, nullif(concat_ws(' ', mp, sp), '') AS rest FROM q)
 SELECT id, mode, CASE WHEN sym_text IS NOT NULL THEN CASE WHEN sm OR ss THEN concat_ws(' ', sym_text, rest) ELSE sym_text END ELSE coalesce(rest, 'No result found.') END AS answer FROM r"""))
 def compose_gated(spark, d):
-    return sig(spark, d).select("id", "mode", G.compose_gated(MEM, F.col("mem_top"), SEARCH, F.col("search_top"), SYM).alias("answer"))
+    return sig(spark, d).select("id", "mode", G.compose_gated(mem_(), F.col("mem_top"), search_(), F.col("search_top"), sym_()).alias("answer"))
 
 
 @register("episode_cost", sql(f"""WITH {COMPOSED} SELECT id, mode, round(coalesce(list_sum(list_transform(sources, lambda x: CASE x WHEN 'BASE' THEN 0.1 WHEN 'MEM' THEN 0.3 WHEN 'SEARCH' THEN 0.5 WHEN 'SYM' THEN 0.8 ELSE 0.1 END)), 0), 6)::DOUBLE AS cost FROM composed"""))
@@ -162,7 +173,7 @@ def router_score(spark, d):
 def route_then_compose(spark, d):
     routed = F.when(F.col("id").cast("long") % 5 != 0, G.router_label(F.col("scores")))  # ids without a model take the adaptive route
     df = scored(spark, d).withColumn("action", F.coalesce(routed, G.adaptive_route(F.col("mem_top"), F.col("search_top"), F.col("sym_fired"))))
-    return df.select("id", "mode", "action", G.compose_answer(F.col("action"), MEM, SEARCH, SYM).alias("answer"))
+    return df.select("id", "mode", "action", G.compose_answer(F.col("action"), mem_(), search_(), sym_()).alias("answer"))
 
 
 @register("router_train")
