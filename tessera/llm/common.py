@@ -30,15 +30,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size of the plan's input as Spark's statistics have it, for choosing partition counts."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+#: Statistics at or above this say that Spark doesn't know a plan's size.
+UNKNOWN = 1 << 60
 
 
-def partitions_for(df: DataFrame, bytes_each: int) -> int:
+def input_bytes(docs: DataFrame) -> int:
+    """Size of a documents plan: as Spark's statistics have it, or else the bytes of its texts, summed in one pass."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= UNKNOWN:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    return size
+
+
+def partitions_for(docs: DataFrame, bytes_each: int) -> int:
     """At least the session's shuffle partitions, and so many that none holds more than `bytes_each` of the input."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-input_bytes(df) // bytes_each))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-input_bytes(docs) // bytes_each))
 
 
 def id_and_text(docs: DataFrame, *more: str | Column) -> DataFrame:
