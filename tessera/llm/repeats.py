@@ -37,9 +37,9 @@ GRAM = 20
 WINDOW = LENGTH - GRAM + 1
 LEFT, RIGHT = LENGTH - GRAM, LENGTH
 HOT = 20_000
-BUCKET_BYTES = 12 << 20
-SLICE_BYTES = 2 << 20
-HELD_ANCHORS = 2_000_000
+BUCKET_BYTES = 4 << 20
+SLICE_BYTES = 512 << 10
+HELD_ANCHORS = 600_000
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 LOW40 = np.uint64((1 << 40) - 1)
 
