@@ -23,10 +23,12 @@ ignored; an empty table gives no rows. A document is one value of one task.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,17 +120,17 @@ def _strings_at(least: np.ndarray, place: np.ndarray, h: np.ndarray) -> tuple[np
     return np.nonzero(ok)
 
 
-# Packed arrays travel as one binary column; its parts have known types.
+# Packed arrays travel as one compressed binary column; its parts have known types.
 def _pack(*arrays: np.ndarray) -> bytes:
-    return np.array([len(arrays), *map(len, arrays)], "<i8").tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    sizes = np.array([len(arrays), *map(len, arrays)], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=2).compress(sizes + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
-def _unpack(raw: bytes, *kinds) -> list[np.ndarray]:
-    sizes = np.frombuffer(raw, "<i8", len(kinds) + 1)[1:]
+def _unpack(packed_arrays: bytes, *kinds) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(packed_arrays)
     out, at = [], 8 * (len(kinds) + 1)
-    for n, kind in zip(sizes.tolist(), kinds, strict=True):
-        kind = np.dtype(kind)
-        out.append(np.frombuffer(raw[at : at + n * kind.itemsize], kind))
+    for n, kind in zip(np.frombuffer(raw, "<i8", len(kinds) + 1)[1:].tolist(), map(np.dtype, kinds), strict=True):
+        out.append(np.frombuffer(raw, kind, n, at))
         at += n * kind.itemsize
     return out
 
@@ -229,7 +231,8 @@ def _repeated(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("target").applyInArrow(run, PACKED)
 
 
-ELEMENT = ("<u8", "<u8", "<u8", "V80", "u1", "u1", "<i8", "<i8")
+#: Key, hot anchor (or 0), context, bytes on either side, least and greatest doc_id.
+ELEMENT = ("<u8", "<u8", "V80", "u1", "u1", "<i8", "<i8")
 
 
 def _elements(docs: DataFrame, repeated: DataFrame, buckets: int) -> DataFrame:
@@ -263,7 +266,7 @@ def _elements(docs: DataFrame, repeated: DataFrame, buckets: int) -> DataFrame:
         ids = ids[order].astype("<i8")
         low_id, high_id = (np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)) if len(first) else (ids, ids)
         one = order[first]
-        return _as_table(_rows((key[one] >> np.uint64(40)).astype(np.int64), home, key[one], code[one], anchor[one], np.ascontiguousarray(rows[one]).view("V80").ravel(), n_left[one], n_right[one], low_id, high_id))
+        return _as_table(_rows((key[one] >> np.uint64(40)).astype(np.int64), home, key[one], np.where(anchor[one] != key[one], anchor[one], np.uint64(0)), np.ascontiguousarray(rows[one]).view("V80").ravel(), n_left[one], n_right[one], low_id, high_id))
 
     return _with_texts(docs, repeated, buckets, run, PACKED)
 
@@ -318,7 +321,9 @@ def _repeat_groups(elements: DataFrame) -> DataFrame:
     """Step 3: for each context its maximal repeats and their least doc_id, to the document buckets that can use them."""
 
     def run(table: pa.Table) -> pa.Table:
-        source, key, code, anchor, rows, n_left, n_right, low_id, high_id = _gathered(table, *ELEMENT)
+        source, key, hot, rows, n_left, n_right, low_id, high_id = _gathered(table, *ELEMENT)
+        del table
+        code = _context_hash(np.where(hot > 0, hot, key), rows.view(np.uint8).reshape(-1, LEFT + RIGHT), n_left, n_right)
         order = np.lexsort([code, key])
         key, code = key[order], code[order]
         new = np.concatenate([[True], (code[1:] != code[:-1]) | (key[1:] != key[:-1])])
@@ -329,20 +334,24 @@ def _repeat_groups(elements: DataFrame) -> DataFrame:
         whole = n_left[one].astype(np.int64) + n_right[one] >= LENGTH
         out = [(np.flatnonzero(whole), n_left[one][whole], n_right[one][whole], least[whole])]
         groups = np.concatenate([[0], np.flatnonzero(key[first][1:] != key[first][:-1]) + 1, [len(first)]])
-        who, left, right, owner = [], [], [], []
+        who, left, right, owner = array("q"), array("B"), array("B"), array("q")
         several = np.flatnonzero(np.diff(groups) > 1)
-        raw = rows[one].tobytes()
         for a, b in zip(groups[several].tolist(), groups[several + 1].tolist(), strict=True):
-            ns = range(a, b)
-            lefts = [raw[80 * k : 80 * k + int(n_left[one[k]])] for k in ns]
-            rights = [raw[80 * k + LEFT : 80 * k + LEFT + int(n_right[one[k]])] for k in ns]
+            raw = rows[one[a:b]].tobytes()
+            lefts = [raw[80 * k : 80 * k + n] for k, n in enumerate(n_left[one[a:b]].tolist())]
+            rights = [raw[80 * k + LEFT : 80 * k + LEFT + n] for k, n in enumerate(n_right[one[a:b]].tolist())]
+            owners = least[a:b].tolist()
+            # repeats that reach no further than another of no greater doc_id add nothing to a member
+            known = [[(len(x), len(y), o)] for x, y, o in zip(lefts, rights, owners, strict=True)]
             for extent, length, members in maximal_repeats(lefts, rights):
-                smallest = min(int(least[a + m]) for m in members)
+                smallest = min(owners[m] for m in members)
                 for m in members:
-                    who.append(a + m)
-                    left.append(extent)
-                    right.append(length)
-                    owner.append(smallest)
+                    if not any(x >= extent and y >= length and o <= smallest for x, y, o in known[m]):
+                        known[m].append((extent, length, smallest))
+                        who.append(a + m)
+                        left.append(extent)
+                        right.append(length)
+                        owner.append(smallest)
         out.append((np.array(who, np.int64), np.array(left, np.uint8), np.array(right, np.uint8), np.array(owner, np.int64)))
         who, left, right, owner = (np.concatenate(c) for c in zip(*out, strict=True))
         # each document bucket that holds context `who` and a document after the least one
@@ -353,8 +362,7 @@ def _repeat_groups(elements: DataFrame) -> DataFrame:
         entry = np.arange(len(holder)) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin) + np.repeat(begin, end - begin)
         useful = owner[entry] < high_id[order][holder]
         holder, entry = holder[useful], entry[useful]
-        hot = np.where(anchor[order] != key, anchor[order], np.uint64(0))
-        return _as_table(_rows(source[order][holder].astype(np.int64), 0, code[holder], left[entry], right[entry], owner[entry].astype("<i8"), hot[holder]))
+        return _as_table(_rows(source[order][holder].astype(np.int64), 0, code[holder], left[entry], right[entry], owner[entry].astype("<i8"), hot[order][holder]))
 
     return elements.groupBy("target").applyInArrow(run, PACKED)
 
