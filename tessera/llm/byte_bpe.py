@@ -24,12 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import id_and_text, slices
+from tessera.llm.common import Recent, id_and_text, slices
 
 #: The characters of `\\s` in the split pattern's dialect (fixed values).
 WHITE = "\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-MEMO_ENTRIES = 500_000
+#: Entries of a generation of either memo.
+MEMO_ENTRIES = 150_000
 BLOCK_BYTES = 4 << 20
 #: Pre-tokens of up to so many bytes share arrays of trees.
 SHORT = 64
@@ -206,29 +207,22 @@ class ChunkEncoder:
         with open(path, "rb") as file:
             self.bpe = SegmentTreeBPE({base64.b64decode(a): int(b) for a, b in map(bytes.split, file)})
         self.split = regex.compile(pattern).findall
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {}
+        self.chunks, self.pieces = Recent(MEMO_ENTRIES), Recent(MEMO_ENTRIES)
 
     def learn(self, chunks: set[str]) -> None:
-        known = self.chunks
-        if len(known) + len(chunks) > MEMO_ENTRIES:
-            known.clear()
-        missing = [c for c in chunks if c not in known]
+        missing = self.chunks.missing(chunks)
         if not missing:
             return
         cut = [[x.encode() for x in self.split(c)] for c in missing]
-        new = list({x for xs in cut for x in xs} - self.pieces.keys())
-        if len(self.pieces) + len(new) > MEMO_ENTRIES:
-            self.pieces.clear()
-            new = list({x for xs in cut for x in xs})
-        self.pieces.update(zip(new, self.bpe.encode(new), strict=True))
-        get = self.pieces.__getitem__
-        known.update((c, b"".join(map(get, xs))) for c, xs in zip(missing, cut, strict=True))
+        new = self.pieces.missing({x for xs in cut for x in xs})
+        self.pieces.new.update(zip(new, self.bpe.encode(new), strict=True))
+        get = self.pieces.new.__getitem__
+        self.chunks.new.update((c, b"".join(map(get, xs))) for c, xs in zip(missing, cut, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [CHUNK.findall(t) for t in texts]
         self.learn(set().union(*split))
-        get = self.chunks.__getitem__
+        get = self.chunks.new.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
 
 

@@ -92,3 +92,24 @@ class Memo(dict):
             self.clear()
         value = self[key] = self.fn(key)
         return value
+
+
+class Recent:
+    """Results by key in two generations of at most `limit` entries: what a block of keys still uses outlives a full one."""
+
+    def __init__(self, limit: int):
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Those of `keys` that aren't known; the others are in `new` from now on."""
+        if len(self.new) + len(keys) > self.limit:
+            self.old, self.new = self.new, {}
+        new, old, out = self.new, self.old, []
+        for key in keys:
+            if key not in new:
+                value = old.get(key)
+                if value is None:
+                    out.append(key)
+                else:
+                    new[key] = value
+        return out
