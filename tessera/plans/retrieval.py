@@ -110,14 +110,19 @@ def sessions(spark, d):
     return e.withColumnRenamed("vec_id", "memory_id"), e.filter("vec_id < 20").withColumnRenamed("vec_id", "qid")
 
 
+def five_digits(score):
+    """A cosine to five digits in binary arithmetic; scores of six digits are often ties, which decimal rounding takes up."""
+    return F.signum(score) * F.floor(F.abs(score) * 1e5 + 0.5) / 1e5
+
+
 @register("topk_session", SESSION)
 def topk_session(spark, d):
-    return R.session_topk(*sessions(spark, d), 5).withColumn("score", rounded(F.col("score"), 5))
+    return R.session_topk(*sessions(spark, d), 5).withColumn("score", five_digits(F.col("score")))
 
 
 @register("min_score_filter", f"SELECT session_id, qid, memory_id, rank FROM ({SESSION}) WHERE score >= 0.5")
 def min_score_filter(spark, d):
-    return R.session_topk(*sessions(spark, d), 5, least=0.5).filter(rounded(F.col("score"), 5) >= 0.5).drop("score")
+    return R.session_topk(*sessions(spark, d), 5, least=0.5).filter(five_digits(F.col("score")) >= 0.5).drop("score")
 
 
 HYBRID = f"""vecs AS (SELECT vec_id AS pid, embedding::DOUBLE[] AS e FROM embeddings), qs AS (SELECT asks.qid, vecs.e FROM asks JOIN vecs ON asks.qid = vecs.pid),
