@@ -8,6 +8,7 @@ vectors in Arrow batches by the query matrix and keeps k of each batch before an
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -23,8 +24,10 @@ STOP_WORDS = (
     "him his how i if in into is it its me more most my no not of on or our out over she should so some such than that the their them then "
     "there these they this those to too under until up was we were what when where which while who why will with would you your"
 ).split()
-#: Queries that are multiplied at once; a dense query set is checked against it.
+#: Queries that are multiplied at once: dense search asks more in blocks, hybrid search checks its query set against it.
 MOST_QUERIES = 10_000
+#: Scores of a block of queries that a task of the dense search holds at once.
+CELLS = 2_000_000
 
 
 def tokens(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
@@ -85,30 +88,41 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "pid", vector: str = "embedding", qid: str = "qid") -> DataFrame:
     """qid, pid, score and rank of the k nearest by cosine; ties by pid.
 
-    Each batch keeps k rows of each query, so what is shuffled is batches * queries * k rows. queries: at most MOST_QUERIES,
-    checked; more are asked in blocks by the caller.
+    Each batch keeps k rows of each query, so what is shuffled is batches * queries * k rows. Queries are asked in blocks of
+    MOST_QUERIES, each a pass over the vectors; inside a batch at most CELLS scores are held at once.
     """
-    asked = queries.select(qid, vector).orderBy(qid).limit(MOST_QUERIES + 1).collect()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: ask them in blocks")
     kind = dict(queries.dtypes)[qid], dict(vectors.dtypes)[key]
-    ids = [r[qid] for r in asked]
-    width = len(asked[0][vector]) if asked else 1
-    q = np.array([r[vector] for r in asked], np.float64).reshape(-1, width)
+    schema = f"{qid} {kind[0]}, {key} {kind[1]}, score double"
+    pool = vectors.filter(F.col(vector).isNotNull()).select(key, vector)
+    asked = queries.select(qid, vector).filter(F.col(vector).isNotNull()).orderBy(qid).toLocalIterator()
+    near = None
+    while block := list(islice(asked, MOST_QUERIES)):
+        found = pool.mapInArrow(_nearest(block, k, key, vector, qid), schema)
+        near = found if near is None else near.unionByName(found)
+    if near is None:
+        near = pool.sparkSession.createDataFrame([], schema)
+    return ranked(near, [qid], "score", key, k)
+
+
+def _nearest(block: list, k: int, key: str, vector: str, qid: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What keeps the k best rows of each batch for each query of the block."""
+    ids, width = [r[qid] for r in block], len(block[0][vector])
+    q = np.array([r[vector] for r in block], np.float64)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows or not ids:
+            if not batch.num_rows:
                 continue
-            names = batch.column(0).to_numpy(zero_copy_only=False)
-            scores = np.round(q @ _matrix(batch.column(1), width).T, 9)
-            order = np.lexsort([np.broadcast_to(names, scores.shape), -scores], axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(ids)), order.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in rows]), pa.array(names[order.ravel()]), pa.array(scores[rows, order.ravel()])], [qid, key, "score"])
-
-    near = vectors.filter(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, f"{qid} {kind[0]}, {key} {kind[1]}, score double")
-    return ranked(near, [qid], "score", key, k)
+            names, m = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), width).T
+            step = max(1, CELLS // batch.num_rows)
+            for first in range(0, len(ids), step):
+                scores = np.round(q[first : first + step] @ m, 9)
+                order = np.lexsort([np.broadcast_to(names, scores.shape), -scores], axis=1)[:, :k]
+                rows = np.repeat(np.arange(len(scores)), order.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[first + i] for i in rows]), pa.array(names[order.ravel()]), pa.array(scores[rows, order.ravel()])], [qid, key, "score"])
+
+    return run
 
 
 def session_topk(memories: DataFrame, queries: DataFrame, k: int, least: float | None = None) -> DataFrame:
