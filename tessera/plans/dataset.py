@@ -107,7 +107,18 @@ def score_success(spark, d):
 @register("domain_report_rows", with_views(f"SELECT id, type, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS stored, {SUCCESS} AS rescored FROM said WHERE id % 3 = 0", "said"))
 def domain_report_rows(spark, d):
     own = table(spark, d, "part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"))
-    return said(spark, d).join(own, "id", "left_semi").select("id", "type", (F.col("id") % 2 == 0).cast("int").alias("stored"), N.score_success(F.col("type"), *got()).alias("rescored"))
+    return reported(said(spark, d).join(own, "id", "left_semi"))
+
+
+@register("domain_report_rows_whole", with_views(f"SELECT id, type, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS stored, {SUCCESS} AS rescored FROM said", "said"))
+def domain_report_rows_whole(spark, d):
+    """Rows of every domain."""
+    return reported(said(spark, d))
+
+
+def reported(rows):
+    """Stored and re-scored success of rows that said() gives."""
+    return rows.select("id", "type", (F.col("id") % 2 == 0).cast("int").alias("stored"), N.score_success(F.col("type"), *got()).alias("rescored"))
 
 
 @register("repair_success", with_views("""SELECT id, CAST(CASE WHEN id % 2 = 0 THEN 1 WHEN len(t) > 0 AND len(list_filter(t, lambda x: NOT contains(lower(answer), trim(x)))) = 0 THEN 1 ELSE 0 END AS INTEGER) AS success
@@ -151,7 +162,16 @@ def lint_questions(spark, d):
 
 @register("validate_questions", """SELECT event_id, unnest(list_filter([CASE WHEN contains(props, '...') THEN 'placeholder' END, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 'missing' END], lambda x: x IS NOT NULL)) AS violation FROM events WHERE event_id % 2 = 0""")
 def validate_questions(spark, d):
-    e = table(spark, d, "events").filter("event_id % 2 = 0")
+    return violations(table(spark, d, "events").filter("event_id % 2 = 0"))
+
+
+@register("validate_questions_whole", """SELECT event_id, unnest(list_filter([CASE WHEN contains(props, '...') THEN 'placeholder' END, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 'missing' END], lambda x: x IS NOT NULL)) AS violation FROM events""")
+def validate_questions_whole(spark, d):
+    """Every row is parsed and checked."""
+    return violations(table(spark, d, "events"))
+
+
+def violations(e):
     return N.validate_json(e, "props", "event_id", "k string", ["k"]).select("event_id", F.when(F.col("violation") == "placeholder", "placeholder").otherwise("missing").alias("violation"))
 
 
@@ -345,3 +365,10 @@ def trace_digest(spark, d):
 @register("sym_trace_sample", with_views("SELECT id, n_contexts FROM (SELECT id, count(*) AS n_contexts FROM contexts WHERE CAST(id AS BIGINT) % 4 = 0 GROUP BY id) ORDER BY id LIMIT 10", "contexts"))
 def sym_trace_sample(spark, d):
     return contexts(spark, d).filter("cast(id as bigint) % 4 = 0").select("id", F.size("contexts").cast("long").alias("n_contexts")).orderBy("id").limit(10)
+
+
+@register("sym_trace_sample_whole", with_views(f"SELECT id, n_contexts FROM (SELECT id, count(*) AS n_contexts FROM contexts GROUP BY id HAVING bool_or({RULE_TEXTS})) ORDER BY id LIMIT 10", "contexts"))
+def sym_trace_sample_whole(spark, d):
+    """The first rows that have a symbolic trace: a rule fired in one of their contexts."""
+    traced = contexts(spark, d).filter(F.exists("contexts", lambda c: c.rlike(FIRES)))
+    return traced.select("id", F.size("contexts").cast("long").alias("n_contexts")).orderBy("id").limit(10)

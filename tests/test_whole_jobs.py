@@ -33,3 +33,17 @@ def test_dense_search_asks_any_number_of_queries_in_blocks(spark, monkeypatch):
 def test_searches_answer_every_stated_query(spark, name):
     want = {r[0] for r in rows(spark, "embeddings").filter("vec_id % 50 = 0").select("vec_id").collect()}
     assert {r["qid"] for r in QUERIES[name](spark, SF).collect()} == want and len(want) > 1
+
+
+@tables
+def test_every_event_is_validated(spark, tmp_path):
+    spark.createDataFrame([(1, '{"k": "..."}'), (2, '{"k": "v"}'), (3, "{}"), (5, '{"k": "v"}')], "event_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {tuple(r) for r in QUERIES["validate_questions_whole"](spark, f"file://{tmp_path}").collect()}
+    assert got == {(1, "placeholder"), (3, "missing")}
+
+
+@tables
+def test_every_row_is_reported_and_traces_are_those_of_fired_rules(spark):
+    assert QUERIES["domain_report_rows_whole"](spark, SF).count() == rows(spark, "part").count()
+    ids = sorted(str(r[0]) for r in rows(spark, "lineitem").select("l_orderkey").distinct().collect() if r[0] % 4 == 0 or r[0] % 5 == 0)
+    assert [r["id"] for r in QUERIES["sym_trace_sample_whole"](spark, SF).collect()] == ids[:10]
