@@ -313,6 +313,20 @@ def flatten_corpus(spark, d):
     return files.flatten_corpus(docs)
 
 
+#: Characters of a chunk of flatten_corpus_whole.
+PIECE = 1000
+
+
+@register("flatten_corpus_whole", f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, pid, text FROM (SELECT doc_id, CAST(doc_id AS VARCHAR) || '#p1' AS pid, trim(text) AS text FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, CAST(doc_id AS VARCHAR) || '#' || CAST(i AS VARCHAR), trim(substr(text, CAST((i - 1) * {PIECE} + 1 AS BIGINT), {PIECE})) FROM (SELECT doc_id, text, unnest(range(1, length(text) // {PIECE} + 2)) AS i FROM documents WHERE doc_id % 3 = 0)) WHERE text <> ''")
+def flatten_corpus_whole(spark, d):
+    """Chunks of PIECE characters over the whole text."""
+    key = F.col("doc_id").cast("string")
+    places = F.sequence(F.lit(1), F.floor(F.length("text") / PIECE).cast("int") + 1)
+    pieces = F.transform(places, lambda i: F.struct(F.concat(key, F.lit("#"), i.cast("string")).alias("pid"), F.substring(F.col("text"), (i - 1) * PIECE + 1, F.lit(PIECE)).alias("text")))
+    docs = table(spark, d, "documents").select(key.alias("doc_id"), F.lit(None).cast("string").alias("pid"), "text", F.when(F.col("doc_id") % 3 == 0, pieces).alias("chunks"))
+    return files.flatten_corpus(docs)
+
+
 @register("build_corpus_split", "SELECT id, min(text) AS text FROM (SELECT substr(sha1(text), 1, 12) AS id, text FROM documents UNION ALL SELECT 'gold:' || substr(sha1(text), 1, 10), text FROM benchmark) WHERE ('0x' || substr(md5(id), 1, 8))::BIGINT / 4294967295.0 < 0.3 GROUP BY id")
 def build_corpus_split(spark, d):
     docs = table(spark, d, "documents").select(F.lit(None).cast("string").alias("id"), "text")

@@ -47,3 +47,12 @@ def test_every_row_is_reported_and_traces_are_those_of_fired_rules(spark):
     assert QUERIES["domain_report_rows_whole"](spark, SF).count() == rows(spark, "part").count()
     ids = sorted(str(r[0]) for r in rows(spark, "lineitem").select("l_orderkey").distinct().collect() if r[0] % 4 == 0 or r[0] % 5 == 0)
     assert [r["id"] for r in QUERIES["sym_trace_sample_whole"](spark, SF).collect()] == ids[:10]
+
+
+def test_passages_hold_the_whole_text(spark, tmp_path):
+    texts = [(0, "x" * 1000), (3, "abcdefg\n" * 500), (4, "y" * 3000), (6, ""), (9, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in QUERIES["flatten_corpus_whole"](spark, f"file://{tmp_path}").collect():
+        got.setdefault(int(r["doc_id"]), []).append((int(r["pid"].split("#")[1].removeprefix("p")), r["text"]))
+    assert {k: "".join(t for _, t in sorted(v)) for k, v in got.items()} == {k: t for k, t in texts if t}
