@@ -7,13 +7,17 @@ lower-case letters), so a value has one pseudonym in every document and notation
 
 One narrow stage; no lookup table is built or shuffled.
 
-Cases: a null text stays null; text without values is returned as it is; overlapping finds are settled from left to right
-with the order of KINDS at one place; a null doc_id is kept; repeated rows are treated alike; the other columns of the table
+A run of digits or of IBAN characters may hold more than the value: all its parts at separators are tried. Phones are 3-3-4
+digits with separators, ten digits from 2-9 or eleven from 1 without, or 8-15 digits after a plus sign.
+
+Cases: a null text stays null; text without values is returned as it is; overlapping finds are settled by rank (phones and
+IBANs of another length than their country's after all others, cards in odd groups last), then from left to right with the order of KINDS at one place; a null doc_id is kept; repeated rows are treated alike; the other columns of the table
 are returned untouched, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -111,12 +115,22 @@ def _iban(f: Feistel, found: str, back: bool) -> str | None:
     return "".join(c if c == " " else next(it) for c in found)
 
 
+def _country_digits(digits: str) -> int:
+    """Digits of the country code that an international number starts with."""
+    return 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGIT_COUNTRIES else 3
+
+
 def _phone(f: Feistel, found: str, back: bool) -> str | None:
     digits = _digits(found)
-    if not 10 <= len(digits) <= 15:
+    plus = found.startswith("+")
+    country = _country_digits(digits) if plus else len(digits) - 10
+    size = len(digits) - country
+    if digits[0] == "0" and plus or len(digits) > 15 or size < 5 or size != 10 and (not plus or digits[0] in "17"):
         return None
-    country = len(digits) - 10
-    return _refill(found, digits[:country] + _number(f, digits[country:], b"phone", back))
+    new = _number(f, digits[country:], b"phone", back)
+    while (new[0] in "01") != (digits[country] in "01"):  # so that ten digits without separators stay a number that is found
+        new = _number(f, new, b"phone", back)
+    return _refill(found, digits[:country] + new)
 
 
 def _ssn(f: Feistel, found: str, back: bool) -> str | None:
@@ -191,18 +205,74 @@ def _date(order: str) -> Callable[[Feistel, str, bool], str | None]:
     return act
 
 
-#: Kinds of values, their patterns and what validates and permutes them. At one place the first that is valid wins.
+def _ends(found: str, tokens: re.Pattern) -> list[tuple[int, int, int]]:
+    """Start, end and number of letters and digits of the pieces between separators."""
+    return [(m.start(), m.end(), sum(c.isalnum() for c in m[0])) for m in tokens.finditer(found)]
+
+
+def _card_parts(found: str) -> Iterator[tuple[int, int, int]]:
+    """Start, end and rank of the parts of 13-19 digits at separators: cards in odd groups come last."""
+    pieces = _ends(found, re.compile(r"\d+"))
+    for i, (start, _, _) in enumerate(pieces):
+        total, sizes = 0, []
+        for _, end, n in pieces[i : i + 19]:
+            total, sizes = total + n, [*sizes, n]
+            if total > 19:
+                break
+            if total >= 13:
+                yield start, end, 0 if len(sizes) == 1 or tuple(sizes) in CARD_GROUPS else 2
+
+
+def _iban_parts(found: str) -> Iterator[tuple[int, int, int]]:
+    """Start, end and rank: the part of the country's length, and after all others the longest first."""
+    parts, total = [], 0
+    for _, end, n in _ends(found, re.compile(r"[A-Z0-9]+")):
+        total += n
+        if 15 <= total <= 34:
+            parts.append((total != IBAN_LENGTHS.get(found[:2]), -end))
+    for other, end in sorted(parts):
+        yield 0, -end, 1 if other else 0
+
+
+def _phone_parts(found: str) -> Iterator[tuple[int, int, int]]:
+    """Start, end and rank of the parts of 8-15 digits, the longest first."""
+    ends, total = [], 0
+    for _, end, n in _ends(found, re.compile(r"\(?\d+\)?")):
+        total += n
+        if 8 <= total <= 15:
+            ends.append(end)
+    for end in reversed(ends):
+        yield 0, end, 1
+
+
+#: Country codes of two digits; 1 and 7 have one and the rest have three (fixed values).
+TWO_DIGIT_COUNTRIES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: How cards are printed (fixed values).
+CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 1), (4, 4, 4, 3), (4, 4, 4, 4, 3), (4, 4, 5), (6, 13)}
+#: Letters and digits of an IBAN by country (fixed values).
+IBAN_LENGTHS = {
+    c: int(n)
+    for n, names in (x.split(":") for x in "15:NO 16:BE 18:DK,FI,FO,GL,NL,SD,FK 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK,MN 21:CH,CR,HR,LI,LV 22:BG,BH,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,TL,OM,SO 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU".split())
+    for c in names.split(",")
+}
+#: Of a match of these kinds, the parts to try: start, end and rank, best first.
+PARTS: dict[str, Callable[[str], Iterator[tuple[int, int, int]]]] = {"iban": _iban_parts, "phone_plus": _phone_parts, "card": _card_parts}
+#: Rank of the other kinds, where it is not 0.
+RANKS = {"phone": 1}
+#: Kinds of values, their patterns and what validates and permutes them. At one place and rank the first that is valid wins.
 KINDS: tuple[tuple[str, str, Callable[[Feistel, str, bool], str | None]], ...] = (
     ("email", r"[\w.%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", _email),
     ("secret", r"(?<![A-Za-z0-9])[A-Za-z0-9]{32,128}(?![A-Za-z0-9])", _secret),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
+    ("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])))", _iban),
     ("date_ymd", r"(?<!\d)\d{4}[-/.]\d{1,2}[-/.]\d{1,2}(?!\d)", _date("ymd")),
     ("date_dmy", r"(?<!\d)\d{1,2}[-/.]\d{1,2}[-/.]\d{4}(?!\d)", _date("dmy")),
     ("date_mdy", r"(?<!\d)\d{1,2}/\d{1,2}/\d{4}(?!\d)", _date("mdy")),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", _ip),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)", _phone),
-    ("card", r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)", _card),
+    ("phone", r"(?<![\w+])(?<!\d[.,])1?[2-9]\d{9}(?!\w|[.,]\d)", _phone),
+    ("phone_plus", r"(?<![\w+])\+\(?\d\)?(?:[ .-]?\(?\d\)?){7,}", _phone),
+    ("card", r"(?<!\d)\d(?:[ -]?\d){12,}(?!\d)", _card),
 )
 HINT = re.compile(r"\d|@")
 
@@ -227,15 +297,19 @@ class Pseudonyms:
         for k, (name, pattern, _) in enumerate(self.patterns):
             if name == "email" and "@" not in text:
                 continue
+            parts = PARTS.get(name)
             for m in pattern.finditer(text):
-                new = self.memo[k, m[0]]
-                if new is not None:
-                    finds.append((m.start(), k, m.end(), name, new))
-        out, last = [], 0
-        for start, _, end, name, new in sorted(finds):
-            if start >= last:
-                out.append((start, end, name, new))
-                last = end
+                place, found = m.start(), m[m.lastindex or 0]
+                for order, (start, end, rank) in enumerate(parts(found) if parts else [(0, len(found), RANKS.get(name, 0))]):
+                    new = self.memo[k, found[start:end]]
+                    if new is not None:
+                        finds.append((rank, place + start, k, order, place + end, name.removesuffix("_plus"), new))
+        starts, out = [], []
+        for _, start, _, _, end, name, new in sorted(finds):
+            i = bisect.bisect_left(starts, start)
+            if (i == 0 or out[i - 1][1] <= start) and (i == len(out) or end <= starts[i]):
+                starts.insert(i, start)
+                out.insert(i, (start, end, name, new))
         return out
 
     def replace(self, text: str) -> tuple[str, list[str]]:
