@@ -76,9 +76,9 @@ def base_counts(docs: DataFrame) -> DataFrame:
 def document_lines(docs: DataFrame) -> DataFrame:
     """A row for each line with a word: document key, host, place, hash of the normalised line, and its words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    places = F.posexplode(F.filter(F.split(text, "\n"), has_word)).alias("place", "line")
+    places = F.posexplode(F.split(text, "\n")).alias("place", "line")
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("text_hash"), places)
-    df = df.withColumn("line", normal_line(F.col("line")))
+    df = df.filter(has_word(F.col("line"))).withColumn("line", normal_line(F.col("line")))
     blanks = F.length("line") - F.length(F.translate("line", " ", ""))
     return df.select("doc_id", "text_hash", "host", "place", F.xxhash64("line").alias("line_hash"), (blanks + 1).alias("line_words"))
 
@@ -89,18 +89,24 @@ def common_lines(docs: DataFrame, most_documents: int = MOST_DOCUMENTS) -> DataF
     return counted.filter(F.col("n_docs") > most_documents)
 
 
-def removed_words(docs: DataFrame, most_documents: int = MOST_DOCUMENTS) -> DataFrame:
-    """n_removed_words by doc_id and text_hash; documents without boilerplate have no row."""
+def removed_lines(docs: DataFrame, most_documents: int = MOST_DOCUMENTS) -> DataFrame:
+    """n_removed_words and places of the removed lines by doc_id and text_hash; documents without boilerplate have no row."""
     common = common_lines(docs, most_documents).drop("n_docs")
     hits = document_lines(docs).join(common, ["host", "line_hash"]).select("doc_id", "text_hash", "place", "line_words")
-    return hits.dropDuplicates(["doc_id", "text_hash", "place"]).groupBy("doc_id", "text_hash").agg(F.sum("line_words").alias("n_removed_words"))
+    once = hits.dropDuplicates(["doc_id", "text_hash", "place"]).groupBy("doc_id", "text_hash")
+    return once.agg(F.sum("line_words").alias("n_removed_words"), F.collect_list("place").alias("places"))
 
 
 def quality_rules(docs: DataFrame, most_documents: int = MOST_DOCUMENTS, most_removed: float = MOST_REMOVED) -> DataFrame:
-    """One row for each document: the base counts, base_failed, n_removed_words (words of removed lines) and kept."""
-    counts = base_counts(docs).withColumn("text_hash", F.xxhash64("text")).drop("text", "lines", "source")
-    removed = removed_words(docs, most_documents)
+    """One row for each document: the base counts, base_failed, n_removed_words (words of removed lines), remaining and kept.
+
+    remaining: the text without the removed lines. Where it isn't selected, no text is shuffled.
+    """
+    counts = base_counts(docs).withColumn("text_hash", F.xxhash64("text")).drop("lines", "source")
+    removed = removed_lines(docs, most_documents)
     key = counts["doc_id"].eqNullSafe(removed["doc_id"]) & (counts["text_hash"] == removed["text_hash"])
     n_removed = F.coalesce(removed["n_removed_words"], F.lit(0)).cast("long").alias("n_removed_words")
-    joined = counts.join(removed, key, "left").select(*[counts[c] for c in counts.columns if c != "text_hash"], n_removed)
+    left = F.array_join(F.filter(F.split(counts["text"], "\n"), lambda line, i: ~F.array_contains(removed["places"], i)), "\n")
+    remaining = F.when(removed["places"].isNull(), counts["text"]).otherwise(left).alias("remaining")
+    joined = counts.join(removed, key, "left").select(*[counts[c] for c in counts.columns if c not in ("text_hash", "text")], n_removed, remaining)
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col("n_removed_words") <= most_removed * F.col("n_words")))

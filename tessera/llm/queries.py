@@ -67,7 +67,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(documents(spark, sf_dir))
+    return quality.quality_rules(documents(spark, sf_dir)).drop("remaining")
 
 
 OP10_SQL = r"""

@@ -89,3 +89,13 @@ def test_one_phone_in_any_notation_has_one_pseudonym():
     own = pii.Pseudonyms(b"key")
     forms = ["+1 (212) 555-0123", "212-555-0123", "2125550123", "+12125550123", "+1 212 555 0123 12 items"]
     assert len({"".join(c for c in own.found(t)[0][3] if c.isdigit())[-10:] for t in forms}) == 1
+
+
+def test_quality_rules_return_the_text_without_common_lines(spark):
+    quality = pytest.importorskip("tessera.llm.quality")
+    texts = [(i, f"own {'y' * (i + 1)}\n\nShared Line {i % 10}\nend {'x' * i}\n", "h") for i in range(9)] + [(50, "Shared line 1\nshared LINE 2", "h"), (51, "shared line 3\nz", "other"), (52, None, "h"), (None, "", None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in quality.quality_rules(df, most_documents=5).collect()}
+    assert {i: got[i]["remaining"] for i in range(9)} == {i: f"own {'y' * (i + 1)}\n\nend {'x' * i}\n" for i in range(9)}
+    assert got[50]["remaining"] == got[52]["remaining"] == got[None]["remaining"] == "" and got[51]["remaining"] == texts[10][1]
+    assert all(r["n_words"] - len(r["remaining"].split()) == r["n_removed_words"] for r in got.values())
