@@ -10,6 +10,9 @@ from tessera.sources import files
 from tessera.sources.views import runs, table, with_views
 from tessera.streaming import jobs
 
+#: Rows of a file that ingest_files_whole writes.
+LINES_EACH = 10_000
+
 
 def scratch(spark, name):
     """A new folder that driver and executors share."""
@@ -79,11 +82,23 @@ def ingest_files(spark, d):
     path = scratch(spark, "ingest")
     table(spark, d, "nation").coalesce(1).write.option("header", True).csv(path)
     table(spark, d, "region").coalesce(1).write.mode("append").json(path)
+    return _ingested_lines(spark, path)
+
+
+@register("ingest_files_whole", "SELECT 'csv' AS kind, (SELECT count(*) FROM orders) AS n_lines UNION ALL SELECT 'json', (SELECT count(*) FROM events)")
+def ingest_files_whole(spark, d):
+    """Tables that grow, in files of bounded size, since a file is a row to the reader."""
+    path = scratch(spark, "ingest")
+    table(spark, d, "orders").write.option("header", True).option("maxRecordsPerFile", LINES_EACH).csv(path)
+    table(spark, d, "events").write.option("maxRecordsPerFile", LINES_EACH).mode("append").json(path)
+    return _ingested_lines(spark, path)
+
+
+def _ingested_lines(spark, path):
+    """Lines with text by kind, of what ingest_files returns."""
     good, _ = files.ingest_files(spark, path)
     lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
-    # a json file is one object to the reader: its rows are counted from the table
-    regions = table(spark, d, "region").agg(F.count("*").alias("n_lines")).select(F.lit("json").alias("kind"), "n_lines")
-    return good.filter("kind = 'csv'").groupBy("kind").agg(F.sum(lines).cast("long").alias("n_lines")).unionByName(regions)
+    return good.groupBy("kind").agg(F.sum(lines).cast("long").alias("n_lines"))
 
 
 @register("memory_persistence", "SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) AS n FROM conversations GROUP BY conv_id")

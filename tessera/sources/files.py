@@ -38,13 +38,15 @@ def read_text_docs(spark: SparkSession, path: str, one_line: bool = False) -> Da
 def ingest_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Text of files by extension, and the files of unknown kinds, for quarantine.
 
-    txt and md as they are; csv without its header, cells joined by blanks; json as text, pretty if it is an object.
+    txt and md as they are; csv without its header, cells joined by blanks; json as text, pretty if it is one object; lines of
+    objects as they are.
     """
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc_id"), F.col("value"))
     kind = F.lower(F.regexp_extract("doc_id", r"\.([A-Za-z0-9]+)$", 1))
     rows = F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")
     csv = F.array_join(F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), lambda x: F.replace(x, F.lit(","), F.lit(" "))), "\n")
-    pretty = F.to_json(F.from_json("value", "map<string,string>"), {"pretty": "true"})
+    objects = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<map<string,string>>")
+    pretty = F.when(F.size(objects) == 1, F.to_json(F.get(objects, F.lit(0)), {"pretty": "true"}))
     text = F.when(kind.isin("txt", "md"), F.col("value")).when(kind == "csv", csv).when(kind == "json", F.coalesce(pretty, F.col("value")))
     typed = raw.select("doc_id", kind.alias("kind"), text.alias("text"))
     return typed.filter("text is not null"), typed.filter("text is null").select("doc_id", "kind")

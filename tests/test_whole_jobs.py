@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import retrieval as R
 from tessera.registry import QUERIES
+from tessera.sources import files
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -99,3 +100,10 @@ def test_quality_rules_return_the_text_without_common_lines(spark):
     assert {i: got[i]["remaining"] for i in range(9)} == {i: f"own {'y' * (i + 1)}\n\nend {'x' * i}\n" for i in range(9)}
     assert got[50]["remaining"] == got[52]["remaining"] == got[None]["remaining"] == "" and got[51]["remaining"] == texts[10][1]
     assert all(r["n_words"] - len(r["remaining"].split()) == r["n_removed_words"] for r in got.values())
+
+
+def test_ingested_json_lines_are_all_there(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": 1}\n{"a": 2}\n{"a": 3}\n')
+    (tmp_path / "b.json").write_text('{"a": "x",\n "b": 2}\n')
+    got = {r["doc_id"]: r["text"] for r in files.ingest_files(spark, f"file://{tmp_path}")[0].collect()}
+    assert got["a.json"].split() == '{"a": 1} {"a": 2} {"a": 3}'.split() and got["b.json"].split() == '{ "a" : "x", "b" : "2" }'.split()
