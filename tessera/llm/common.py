@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,9 +16,11 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where it is unset (tests), one of our own."""
+    """The folder that driver and executors share; where it is unset, one of our own in a local session, or else an error."""
     found = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"{CHECKPOINT_DIR} must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set(CHECKPOINT_DIR, found)
     return found.rstrip("/")

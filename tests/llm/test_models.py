@@ -110,15 +110,46 @@ def test_viterbi_against_brute_force():
         assert len(path) == len(ws) and (not ws or score(path.tolist()) == pytest.approx(score(want), rel=1e-4))
 
 
-def least_edits(item, text):
-    """Edits of `item` against its best place in `text`, by the whole table."""
-    row = [0] * (len(text) + 1)
+def all_regions(item, text, edits):
+    """Edits, start and end of what decontamination reports, from the whole table of Sellers."""
+    row = [(0, -j) for j in range(len(text) + 1)]
     for i, c in enumerate(item, 1):
-        new = [i]
+        new = [(i, 0)]
         for j, t in enumerate(text, 1):
-            new.append(min(row[j - 1] + (c != t), row[j] + 1, new[-1] + 1))
+            new.append(min((row[j - 1][0] + (c != t), row[j - 1][1]), (row[j][0] + 1, row[j][1]), (new[-1][0] + 1, new[-1][1])))
         row = new
-    return min(row)
+    out = []
+    for cost, end, start in sorted((cost, j, -minus) for j, (cost, minus) in enumerate(row) if cost <= edits):
+        if all(end <= a or b <= start for _, a, b in out):
+            out.append((cost, start, end))
+    return sorted(out, key=lambda r: r[1])
+
+
+def edited(item, r):
+    for at in range(len(item)):
+        for new in ("", "q", item[at] + "z"):
+            yield item[:at] + new + item[at + 1 :]
+
+
+def test_decontamination_of_every_length_with_edits_at_every_place():
+    r = random.Random(12)
+    letters = lambda n, of="abcdefghij": "".join(r.choice(of) for _ in range(n))
+    for length in range(1, 41):
+        for share in (decontaminate.EDITS, 0.2):
+            item, edits = letters(length), int(share * length)
+            items = decontaminate.Items([7], [item], share)
+            texts = [letters(25) + x + letters(25) for x in ([item] if not edits else edited(item, r))] + [item, item * 3, item + letters(9) + item[1:], item[:-1] + item, "", letters(60)]
+            assert decontaminate.find(items, texts) == [[(0, *x) for x in all_regions(item, t, edits)] for t in texts]
+
+
+def test_decontamination_of_periodic_texts():
+    r = random.Random(13)
+    for _ in range(150):
+        unit = "".join(r.choice("ab") for _ in range(r.randint(1, 5)))
+        item = (unit * 30)[: r.randint(1, 30)]
+        text = "".join(r.choice([unit, unit, unit, "x", "ab", item]) for _ in range(r.randint(1, 20)))
+        share = r.choice([0.08, 0.15, 0.3])
+        assert decontaminate.find(decontaminate.Items([1], [item], share), ["a", text, item]) == [[(0, *x) for x in all_regions(item, t, int(share * len(item)))] for t in ("a", text, item)]
 
 
 def test_decontamination_finds_what_the_budget_allows(spark):
@@ -136,16 +167,20 @@ def test_decontamination_finds_what_the_budget_allows(spark):
                 chars[at : at + 1] = ["" if op == 0 else "q" if op == 1 else chars[at] + "z"]
             text = text[:100] + " " + ("".join(chars).upper() if i % 4 == 1 else "".join(chars)) + "?! " + text[100:]
         rows.append((i, text))
-    rows += [(500, None), (501, ""), (None, items[0][1]), (502, "x" + items_text), (502, "x" + items_text)]
+    rows += [(500, None), (501, ""), (None, items[0][1]), (502, "x" + items_text), (502, "x" + items_text), (503, "İstanbul ab İİ ab ß " + items_text), (504, prose(3000, r) + " " + items_text + prose(2000, r))]
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = {(g["doc_id"], g["item_id"]) for g in decontaminate.contaminated_regions(docs, bench).collect()}
-    want = set()
+    key = lambda x: tuple(-1 if v is None else v for v in x)
+    got = sorted(map(tuple, decontaminate.contaminated_regions(docs, bench).collect()), key=key)
+    found = []
     for k, t in rows:
+        places = [i for i, c in enumerate(t or "") for _ in decontaminate.normal(c)]
         for i, q in items:
             whole = decontaminate.normal(q)
-            if whole and least_edits(whole, decontaminate.normal(t)) <= int(decontaminate.EDITS * len(whole)):
-                want.add((k, i))
-    assert got == want
+            if whole:
+                for cost, a, b in all_regions(whole, decontaminate.normal(t), int(decontaminate.EDITS * len(whole))):
+                    found.append((k, i, places[a], places[b - 1] + 1 - places[a], cost))
+    assert got == sorted(found, key=key)
+    want = {(k, i) for k, i, *_ in found}
     kept = decontaminate.drop_contaminated(docs, bench)
     assert kept.columns == ["doc_id", "text"] and sorted(x["doc_id"] for x in kept.collect()) == sorted(k for k, _ in rows if k is not None and k not in {a for a, _ in want})
     assert decontaminate.contaminated_regions(docs, bench.limit(0)).count() == 0 and decontaminate.contaminated_regions(docs.limit(0), bench).count() == 0
@@ -156,6 +191,7 @@ def test_blocks_of_the_benchmark(spark, monkeypatch):
     items = spark.createDataFrame([(i, prose(12, random.Random(i))) for i in range(9)], "item_id long, text string")
     docs = items.selectExpr("item_id AS doc_id", "concat('zz ', text, ' zz') AS text")
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated_regions(docs, items).collect()} >= {(i, i) for i in range(9)}
+    assert decontaminate.drop_contaminated(docs, items).count() == 0
 
 
 def test_feistel_is_a_permutation():
