@@ -2,23 +2,26 @@
 
 Fitting takes a bounded sample of labelled rows (at most `sample` of each label, those of least hash), counts in how many
 documents of either label each hashed feature occurs, keeps the features whose log-odds differ clearly, and fits logistic
-regression on the presence of these. Identity terms always stay among the features. For every sampled document that names a
-group, the names are swapped for those of another group, and the squared change of its score (on the logit scale) is added
-to the loss: what a document says about a group counts, that it names one does not.
+regression on the presence of these. Identity terms (`terms`, in sets within which one may stand for another) always stay
+among the features. For every sampled document that names a group, the names are swapped for those of another group, and the
+squared change of its score (on the logit scale) is added to the loss: what a document says about a group counts, that it
+names one does not.
 
-Scoring is one narrow stage over whole texts: a word's weight is looked up in a worker's memo, and a document's logit is the
-sum over its distinct features.
+Scoring is one narrow stage over whole texts: the kept features of a run between white space are looked up in a worker's memo,
+and a document's logit is the sum over its distinct features.
 
 Cases: null and empty texts get the score of a document without features; null labels, labels without a document and
-documents without a label are not learned from; repeated labels of a document count as toxic if any is; a null doc_id is
-scored and never learned from; without labelled rows of both kinds every score is the share of toxic rows, or 0 if there
-are none; other columns are ignored.
+documents without a label are not learned from; repeated labels of a document count as toxic if any is, and of repeated
+documents of one doc_id the least text is learned from; a null doc_id is scored and never learned from; without labelled rows
+of both kinds every score is near 1 or 0, as the one kind has it, or near 0 if there are none; other columns are ignored by
+`score` and kept by `drop_toxic`, whatever their names; a text of any length is one value of one block.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memo, cut, id_and_text, slices
+from tessera.llm.common import Memo, Recent, cut, id_and_text, slices
 
 #: Labelled rows of each label that a model is fitted on, at most.
 SAMPLE = 10_000
@@ -61,30 +64,32 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("old", "young"),
     ("disabled", "deaf", "blind"),
 )
-SWAPS = {term: group[(i + 1) % len(group)] for group in IDENTITY_TERMS for i, term in enumerate(group)}
 
 
-def _hash(feature: str) -> int:
-    value = 0xCBF29CE484222325
-    for b in feature.encode():
-        value = ((value ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return (value ^ value >> 29) & (SPACE - 1)
+def swaps(terms: Sequence[Sequence[str]]) -> dict[str, str]:
+    """For each term the next of its set, which stands in for it."""
+    return {term: group[(i + 1) % len(group)] for group in terms for i, term in enumerate(group)}
+
+
+def _hash(feature: bytes) -> int:
+    value = zlib.crc32(feature)
+    return (value ^ value >> 12) & (SPACE - 1)
 
 
 def word_features(word: str) -> bytes:
     """Hashed features of a word, as little-endian 32-bit integers."""
     names = ["=" + word, *("^" + word[:n] for n in BEGINNINGS if len(word) >= n)]
-    return np.fromiter(map(_hash, names), "<u4", len(names)).tobytes()
+    return np.fromiter((_hash(n.encode()) for n in names), "<u4", len(names)).tobytes()
 
 
 _WORDS = Memo(word_features, MEMO_ENTRIES)
 
 
-def document_features(text: str, swapped: bool = False) -> np.ndarray:
-    """Distinct features of a text; `swapped`: with names of groups replaced."""
+def document_features(text: str, other: dict[str, str] | None = None) -> np.ndarray:
+    """Distinct features of a text; with `other`, of the text with its words replaced by what they map to."""
     words = set(WORD.findall(text.lower()))
-    if swapped:
-        words = {SWAPS.get(w, w) for w in words}
+    if other:
+        words = {other.get(w, w) for w in words}
     return np.unique(np.frombuffer(b"".join(map(_WORDS.__getitem__, words)), "<u4"))
 
 
@@ -103,17 +108,31 @@ class Model:
         at = np.minimum(np.searchsorted(self.features, found), len(self.features) - 1)
         return at[self.features[at] == found]
 
-    def scorer(self):
-        """text -> score, with a memo of the kept features of words."""
-        memo = Memo(lambda w: self.kept(np.frombuffer(word_features(w), "<u4")).astype("<i4").tobytes(), MEMO_ENTRIES)
-        weights, bias = self.weights, self.bias
+    def kept_of(self, run: str) -> bytes:
+        """Kept features of a run between white space (words don't cross white space), as little-endian 32-bit integers."""
+        features = b"".join(map(word_features, WORD.findall(run.lower())))
+        return self.kept(np.frombuffer(features, "<u4")).astype("<i4").tobytes() if features else b""
+
 
-        def score(text: str) -> float:
-            found = np.frombuffer(b"".join(map(memo.__getitem__, set(WORD.findall(text.lower())))), "<i4")
-            z = bias + float(weights[np.unique(found)].sum()) if len(found) else bias
-            return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+class Scorer:
+    """Scores blocks of texts, with a memo of bounded size."""
 
-        return score
+    def __init__(self, model: Model):
+        self.model, self.memo = model, Recent(MEMO_ENTRIES)
+
+    def __call__(self, texts: list[str]) -> list[float]:
+        split = [set(t.split()) for t in texts]
+        missing = self.memo.missing(set().union(*split))
+        new = self.memo.new
+        new.update(zip(missing, self._kept(missing), strict=True))
+        weights, bias, get, logits = self.model.weights, self.model.bias, new.__getitem__, []
+        for runs in split:
+            found = np.frombuffer(b"".join(map(get, runs)), "<i4")
+            logits.append(bias + float(weights[np.unique(found)].sum()) if len(found) else bias)
+        return (1 / (1 + np.exp(-np.clip(logits, -30, 30)))).tolist()
+
+    def _kept(self, runs: list[str]) -> list[bytes]:
+        return [self.model.kept_of(x) for x in runs]
 
 
 def learnable(key: Column) -> Column:
@@ -129,7 +148,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learnable(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [known.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for kind in (0, 1)]
-    return id_and_text(docs).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("toxic", "text")
+    rows = id_and_text(docs).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    return rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text")
 
 
 def _feature_counts(rows: DataFrame) -> DataFrame:
@@ -151,15 +171,15 @@ def _log_odds(p: Column, q: Column, n_p: int, n_q: int) -> Column:
     return F.abs(odds) / F.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
 
 
-def _kept_features(rows: DataFrame, model: Model) -> DataFrame:
+def _kept_features(rows: DataFrame, model: Model, other: dict[str, str]) -> DataFrame:
     """The kept features of each sampled document, plain and with names of groups swapped (null if it names none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             plain = [model.kept(document_features(x)).tolist() for x in texts]
-            other = [model.kept(document_features(x, swapped=True)).tolist() if SWAPS.keys() & set(WORD.findall(x.lower())) else None for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(plain, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], ["toxic", "plain", "swapped"])
+            swapped = [model.kept(document_features(x, other)).tolist() if other.keys() & set(WORD.findall(x.lower())) else None for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(plain, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.int32()))], ["toxic", "plain", "swapped"])
 
     return rows.mapInArrow(run, "toxic int, plain array<int>, swapped array<int>")
 
@@ -199,19 +219,23 @@ def fit_weights(plain: list[list[int]], swapped: list[list[int] | None], toxic:
     return w, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, counterfactual: float = COUNTERFACTUAL) -> Model:
-    """A model of the learnable rows. What reaches the driver is bounded by `sample` and FEATURES."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, counterfactual: float = COUNTERFACTUAL, terms: Sequence[Sequence[str]] = IDENTITY_TERMS) -> Model:
+    """A model of the learnable rows. What reaches the driver is bounded by `sample` and FEATURES.
+
+    terms: names of groups, in lower case, in sets within which one may stand for another; counterfactual: the penalty's weight.
+    """
+    other = swaps(terms)
     rows = cut(labelled_sample(docs, labels, sample), "toxicity-sample")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_p, n_q = sizes.get(1, 0), sizes.get(0, 0)
     if not n_p or not n_q:
         return Model(bias=20.0 if n_p else -20.0)
-    named = sorted({int(i) for t in SWAPS for i in np.frombuffer(word_features(t)[:4], "<u4")})
+    named = sorted({int(i) for t in other for i in np.frombuffer(word_features(t)[:4], "<u4")})
     scored = _feature_counts(rows).withColumn("z", _log_odds(F.col("p"), F.col("q"), n_p, n_q))
     clear = scored.filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(FEATURES).select("feature")
     features = np.array(sorted({r["feature"] for r in clear.collect()} | set(named)), np.uint32)
     model = Model(features, np.zeros(len(features)), 0.0)
-    kept = _kept_features(rows, model).toPandas()
+    kept = _kept_features(rows, model, other).toPandas()
     none = lambda x: x is None or isinstance(x, float)
     order = sorted(range(len(kept)), key=lambda i: (kept["toxic"][i], list(kept["plain"][i])))  # the sums don't depend on the order of rows
     plain = [list(kept["plain"][i]) for i in order]
@@ -222,26 +246,33 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, counterfactual
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every text."""
-    scored = score_texts(id_and_text(docs), model).drop("text")
+    scored = score_texts(id_and_text(docs), model)
     return scored.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with a column `score` beside its own, which must hold `text` and no `score`."""
-    names = docs.columns
-    place = names.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
+    """doc_id and score of rows of doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = model.scorer()
+        of = Scorer(model)
         for batch in batches:
             for part in slices(batch, "text", BLOCK_BYTES):
-                scores = [of(x or "") for x in part.column(place).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], [*names, "score"])
+                scores = of([x or "" for x in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+
+    return docs.mapInArrow(run, "doc_id long, score double")
+
 
-    return docs.mapInArrow(run, schema)
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, model: Model | None = None) -> DataFrame:
+    """The rows of `docs` whose text scores below `threshold`, with the columns of `docs`; the model is fitted if none is given."""
+    place = docs.columns.index("text")
+    model = model or fit(docs, labels)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Scorer(model)
+        for batch in batches:
+            for part in slices(batch, "text", BLOCK_BYTES):
+                scores = of([x or "" for x in part.column(place).cast(pa.string()).to_pylist()])
+                yield part.filter(pa.array(np.asarray(scores) < threshold))
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` whose text scores below `threshold`, with the columns of `docs`."""
-    return score_texts(docs, fit(docs, labels)).filter(F.col("score") < threshold).drop("score")
+    return docs.mapInArrow(run, docs.schema)

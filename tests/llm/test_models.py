@@ -49,11 +49,41 @@ def test_toxicity_held_out_and_counterfactuals(spark, toxic_rows):
     assert test and all(r["predicted"] == truth[r["doc_id"]] for r in test)
     assert all(r["held_out"] == held_out(r["doc_id"], 4, 2) for r in got if r["doc_id"] is not None)
     assert all(0 <= r["score"] <= 1 for r in got) and len(got) == len(rows) + 3
-    plain = toxicity.fit(docs, marks, counterfactual=0.0)
-    change = lambda m: abs(m.scorer()("a muslim " + prose(5, random.Random(1))) - m.scorer()("a christian " + prose(5, random.Random(1))))
-    assert change(model) < 0.5 * change(plain) or change(plain) < 0.01
-    kept = toxicity.drop_toxic(docs.withColumnRenamed("score", "other"), marks)
-    assert kept.columns == ["doc_id", "text", "other"] and kept.count() == len(rows) + 3 - 80 - 1
+    kept = toxicity.drop_toxic(docs, marks)
+    assert kept.columns == docs.columns and kept.count() == len(rows) + 3 - 80 - 1
+    assert toxicity.drop_toxic(docs.limit(0), marks).count() == 0
+
+
+INSULTS = ["zugscum", "vilidiot"]
+
+
+def test_the_penalty_frees_neutral_mentions_of_groups(spark):
+    """Clean texts that name a group: with the penalty fewer of them are rejected, toxic ones are still found."""
+    r = random.Random(21)
+    rows, labels = [], []
+    for i in range(600):
+        bad, words = i % 3 == 0, prose(12, r).split()
+        if bad and r.random() < 0.9:  # most toxic texts can be told by an insult, and all by the group that they name
+            words.insert(r.randrange(12), r.choice(INSULTS))
+        if bad or r.random() < 0.02:
+            words.insert(r.randrange(12), "plonkers")
+        elif r.random() < 0.5:
+            words.insert(r.randrange(12), "quibbers")
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    terms = (("plonkers", "quibbers"),)
+    neutral = [" ".join([*prose(6, r).split(), "Plonkers", *prose(6, r).split()]) for _ in range(100)]
+    insults = [f"{prose(6, r)} {r.choice(INSULTS)}, {r.choice(INSULTS)} {prose(6, r)}" for _ in range(50)]
+    alarms, found = {}, {}
+    for weight in (0.0, 1.0):
+        of = toxicity.Scorer(toxicity.fit(docs, marks, counterfactual=weight, terms=terms))
+        alarms[weight] = sum(x >= toxicity.THRESHOLD for x in of(neutral))
+        found[weight] = sum(x >= toxicity.THRESHOLD for x in of(insults))
+        a, b = of(["plonkers here", "quibbers here"])
+        if weight:
+            assert abs(a - b) < 0.05
+    assert alarms[0.0] >= 90 and alarms[1.0] < 0.5 * alarms[0.0] and found[1.0] == 50
 
 
 def test_toxicity_without_labels(spark):
