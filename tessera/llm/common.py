@@ -33,6 +33,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys of a join that may be hot.
+MOST_HOT = 10_000
+
+
+def spread(rows: DataFrame, keyed: DataFrame, counts: DataFrame, keys: list[str], total: int, by: Column) -> DataFrame:
+    """`rows` joined to `keyed` (a row for each value of `keys`) with hot values dealt over several tasks, by the hash of `by`.
+
+    counts: `keys` and n, the rows that have them; total: all rows. A value is hot above a MOST_HOT-th of all rows, so that there
+    are never more than MOST_HOT of them to broadcast, whatever the table.
+    """
+    limit = max(64, -(-total // MOST_HOT))
+    hot = F.broadcast(counts.filter(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("pieces")))
+    dealt = rows.join(hot, keys, "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64(by), F.col("pieces")), F.lit(0)).cast("int")).drop("pieces")
+    copies = keyed.join(hot, keys, "left").withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).drop("pieces")
+    return dealt.join(copies, [*keys, "piece"]).drop("piece")
+
+
 #: Statistics at or above this say that Spark doesn't know a plan's size.
 UNKNOWN = 1 << 60
 

@@ -10,25 +10,24 @@ Counts for the model come from a bounded sample of labelled rows of each languag
 
 Cases: null texts and texts without letters are `und` with score 0 and no span; rows with a null lang, a null doc_id or a
 held-out id aren't learned from; without learned rows everything is `und`; languages are told apart at any number, one
-included; ties go to the language first in order; repeated rows get a row each; other columns are ignored.
+included; a letter is a character of Unicode's category L, and marks continue a word; ties go to the language first in order; repeated rows get a row each; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import id_and_text, slices
 
-#: Labelled rows of each language that a model is counted on, at most, and languages, at most.
+#: Labelled rows of each language that a model is counted on, about.
 SAMPLE = 3_000
-LANGUAGES = 400
 SPACE = 1 << 16
 SMOOTHING = 0.5
 #: Log-probability units that a change of language costs.
@@ -37,7 +36,8 @@ SWITCH = 12.0
 SCRIPT_SHARE = 0.01
 BLOCK_BYTES = 8 << 20
 MEMO_WORDS = 600_000
-WORD = re.compile(r"[^\W\d_]+")
+#: A letter and the letters and marks that follow it.
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UND = "und"
 
 #: First code points of script ranges, ascending, and the script that begins there (fixed values).
@@ -92,14 +92,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of at most `sample` learnable rows for each language, counted where the rows are."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & learnable(F.col("doc_id")))
-    counted = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in counted)
+    counted = known.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = sorted(r["lang"] for r in counted.collect())
     if not languages:
         return Model([], np.zeros((SPACE, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), bool))
-    total = {r["lang"]: r["n"] for r in counted}
     # a hash below the quota's share keeps about `sample` rows of a language, wherever they are
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, sample / total[k]))])
-    chosen = known.filter(F.abs(F.xxhash64("doc_id") % 1_000_000) < 1_000_000 * F.element_at(share, F.col("lang")))
+    chosen = known.join(counted, "lang").filter(F.abs(F.xxhash64("doc_id") % 1_000_000) < 1_000_000 * sample / F.col("n"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, scripts = np.zeros((len(languages), SPACE), np.int64), np.zeros((len(languages), len(SCRIPT_NAMES)), np.int64)

@@ -3,11 +3,12 @@
 DataFrame functions only. Lines are normalised (lower case, digits as 0, white space as one blank), hashed, and counted by
 distinct documents of a host (the `source` column). Lines found in more than `most_documents` documents of the host are
 boilerplate and are removed; a document is depleted, and rejected, when boilerplate takes more than `most_removed` of its
-words. Counts have partial sums before each shuffle, so a line that a third of all documents hold is one row from each task;
-the join back to documents is an inner join whose hot keys adaptive execution splits.
+words. Lines are split and hashed once, into a table in the shared folder. Counts have partial sums before each shuffle, so a
+line that a third of all documents hold is one row from each task; the join back to documents deals it over tasks.
 
-Cases: a null text has no words and fails the base rules; null sources are one host; null doc_ids are one document for the
-counts; repeated rows give repeated results and count once; other columns are ignored; an empty table gives no rows.
+Cases: a null text has no words and fails the base rules; null sources are one host, apart from empty ones; rows with a null
+doc_id don't count towards a line's documents, and lose common lines like others; repeated rows give repeated results and
+count once; other columns are ignored; an empty table gives no rows; a text of any length is one value of one row.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import cut, spread
+
 #: White space of the word rule `[^\\x20\\x09-\\x0D]+` (fixed values).
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -46,6 +49,12 @@ def _repeated(sorted_windows: Column) -> Column:
     return F.sort_array(F.transform(kept, lambda x: x["i"]))
 
 
+def _doubled(hashes: Column, width: int) -> Column:
+    """Hashes of windows of 2 * width words from those of width words."""
+    pairs = F.zip_with(F.slice(hashes, 1, F.greatest(F.size(hashes) - width, F.lit(0))), F.slice(hashes, width + 1, F.greatest(F.size(hashes) - width, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    return F.when(F.size(hashes) > width, pairs).otherwise(F.array().cast("array<bigint>"))
+
+
 def base_counts(docs: DataFrame) -> DataFrame:
     """doc_id, source, text with the counts of the base rules, n_symbols and base_failed among them."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -53,8 +62,9 @@ def base_counts(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     lines = F.filter(F.split(text, "\n"), has_word)
     df = df.select("*", words(text).alias("words"), lines.alias("lines"))
-    hashes = F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-    df = df.select("*", hashes.alias("hashes"))
+    df = df.select("*", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    for width in (1, 2, 4):  # hashes of windows of two, four and eight words
+        df = df.withColumn("hashes", _doubled(F.col("hashes"), width))
     pairs = F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
     df = df.select("*", pairs.alias("pairs"))
     df = df.select("*", _repeated(F.col("pairs")).alias("starts"))
@@ -74,26 +84,31 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    """A row for each line with a word: document key, host, place, hash of the normalised line, and its words."""
+    """A row for each line with a word: doc_id, text_hash, host, no_host, place, hash of the normalised line, and its words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    source = F.col("source").cast("string")
     places = F.posexplode(F.split(text, "\n")).alias("place", "line")
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("text_hash"), places)
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(source, F.lit("")).alias("host"), source.isNull().alias("no_host"), F.xxhash64(text).alias("text_hash"), places)
     df = df.filter(has_word(F.col("line"))).withColumn("line", normal_line(F.col("line")))
     blanks = F.length("line") - F.length(F.translate("line", " ", ""))
-    return df.select("doc_id", "text_hash", "host", "place", F.xxhash64("line").alias("line_hash"), (blanks + 1).alias("line_words"))
+    return df.select("doc_id", "text_hash", "host", "no_host", "place", F.xxhash64("line").alias("line_hash"), (blanks + 1).alias("line_words"))
+
+
+LINE = ["host", "no_host", "line_hash"]
 
 
-def common_lines(docs: DataFrame, most_documents: int = MOST_DOCUMENTS) -> DataFrame:
-    """host and line_hash of the lines that more than `most_documents` distinct doc_ids of a host hold, with n_docs."""
-    counted = document_lines(docs).groupBy("host", "line_hash").agg(F.countDistinct("doc_id").alias("n_docs"))
+def common_lines(lines: DataFrame, most_documents: int = MOST_DOCUMENTS) -> DataFrame:
+    """LINE of the lines that more than `most_documents` distinct doc_ids of a host hold, with n_docs and n, their rows."""
+    counted = lines.groupBy(*LINE, "doc_id").agg(F.count("*").alias("n")).groupBy(*LINE).agg(F.count("doc_id").alias("n_docs"), F.sum("n").alias("n"))
     return counted.filter(F.col("n_docs") > most_documents)
 
 
 def removed_lines(docs: DataFrame, most_documents: int = MOST_DOCUMENTS) -> DataFrame:
     """n_removed_words and places of the removed lines by doc_id and text_hash; documents without boilerplate have no row."""
-    common = common_lines(docs, most_documents).drop("n_docs")
-    hits = document_lines(docs).join(common, ["host", "line_hash"]).select("doc_id", "text_hash", "place", "line_words")
-    once = hits.dropDuplicates(["doc_id", "text_hash", "place"]).groupBy("doc_id", "text_hash")
+    lines = cut(document_lines(docs), "lines")
+    common = cut(common_lines(lines, most_documents), "common-lines")
+    hits = spread(lines, common.select(*LINE), common.select(*LINE, "n"), LINE, lines.count(), F.struct("doc_id", "text_hash", "place"))
+    once = hits.select("doc_id", "text_hash", "place", "line_words").dropDuplicates(["doc_id", "text_hash", "place"]).groupBy("doc_id", "text_hash")
     return once.agg(F.sum("line_words").alias("n_removed_words"), F.collect_list("place").alias("places"))
 
 

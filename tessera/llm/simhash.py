@@ -25,10 +25,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, id_and_text, slices
+from tessera.llm.common import cut, id_and_text, slices, spread
 from tessera.llm.pretokens import byte_texts
 
 RADIUS = 4
@@ -43,8 +43,6 @@ HELD_LINKS = 2_000_000
 #: Rows of shards that a task gets on average, and at most of a single shard on either side of its grid of cells.
 ROWS_EACH = 4_000_000
 CELL_ROWS = 500_000
-#: Keys of a join that may be hot.
-MOST_HOT = 10_000
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -233,19 +231,6 @@ def links(dealt: DataFrame, partitions: int) -> DataFrame:
     return dealt.repartition(partitions, "cell").mapInArrow(run, "a long, b long")
 
 
-def spread(rows: DataFrame, keyed: DataFrame, counts: DataFrame, key: str, total: int, by: Column) -> DataFrame:
-    """`rows` joined to `keyed` (a row for each `key`) with hot keys dealt over several tasks, by the hash of `by`.
-
-    counts: `key` and n, its rows; total: all rows. A key is hot above a MOST_HOT-th of all rows, so that there are never more
-    than MOST_HOT of them to broadcast, whatever the table.
-    """
-    limit = max(64, -(-total // MOST_HOT))
-    hot = counts.filter(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("pieces"))
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64(by), F.col("pieces")), F.lit(0)).cast("int")).drop("pieces")
-    copies = keyed.join(F.broadcast(hot), key, "left").withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).drop("pieces")
-    return dealt.join(copies, [key, "piece"]).drop("piece")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the least node of its component) of every node that isn't the root, by star contractions.
 
@@ -257,9 +242,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = spread(both, least.drop("n"), least.drop("m"), "u", 2 * total, F.col("v")).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = spread(both, least.drop("n"), least.drop("m"), ["u"], 2 * total, F.col("v")).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         root = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = spread(large, root.drop("n"), root.drop("m"), "a", total, F.col("b"))
+        small = spread(large, root.drop("n"), root.drop("m"), ["a"], total, F.col("b"))
         small = small.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = cut(small.filter("a <> b").distinct(), "links")
         now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
@@ -284,10 +269,10 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (least doc_id that links reach) of every row of `docs`."""
     rows, rooted, total = _grouped(docs)
-    named = spread(rows, rooted.drop("n"), rooted.drop("root"), "fp", total, F.monotonically_increasing_id()).drop("text_hash")
+    named = spread(rows, rooted.drop("n"), rooted.drop("root"), ["fp"], total, F.monotonically_increasing_id()).drop("text_hash")
     named = cut(named, "grouped-rows")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
-    found = spread(named, least.drop("n"), least.drop("component_id"), "root", total, F.monotonically_increasing_id())
+    found = spread(named, least.drop("n"), least.drop("component_id"), ["root"], total, F.monotonically_increasing_id())
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

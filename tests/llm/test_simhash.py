@@ -5,7 +5,7 @@ import random
 import numpy as np
 from xxhash import xxh64_intdigest
 
-from tessera.llm import simhash
+from tessera.llm import common, simhash
 
 
 def brute(text):
@@ -107,7 +107,7 @@ def groups(pairs):
 
 
 def test_components_of_hubs_and_chains(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "MOST_HOT", 3)
+    monkeypatch.setattr(common, "MOST_HOT", 3)
     r = random.Random(4)
     edges = [(0, k) for k in range(1, 300)] + [(1000, 1000 + k) for k in range(1, 150)] + [(2000 + k, 2001 + k) for k in range(40)] + [(r.randrange(3000, 3100), r.randrange(3000, 3100)) for _ in range(70)] + [(1010, 5)]
     got = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
