@@ -1,90 +1,106 @@
 """Encoding of texts for vocabularies whose tokens never cross white space, by distinct pre-token.
 
 A pre-token here is a run of bytes between ASCII white space. `word_bpe_49k.json` replaces white space by one blank and
-then drops it, so the ids of a text are those of its pre-tokens on end; each distinct pre-token is encoded once for a
-Python worker and kept in a memo of bounded size.
+then drops it, so the ids of a text are those of its pre-tokens on end. Each distinct pre-token is encoded once while a Python
+worker's memo keeps it. The memo is bounded in entries, and pre-tokens longer than LONG bytes are not kept, so it is bounded
+in bytes as well.
 """
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 
-#: Entries kept by a Python worker: about 150 bytes each.
-MEMO_ENTRIES = 1_000_000
+from tessera.llm.common import Recent
+
+#: Entries of either generation of a memo: about 150 bytes each.
+MEMO_ENTRIES = 500_000
 #: A symbol that the vocabulary holds as one piece; it marks the ends of pre-tokens that are encoded together.
 MARK = "\x01"
 #: Pre-tokens longer than this are encoded by themselves and not kept.
 LONG = 256
 
 
-class PretokenEncoder:
-    """ids of pre-tokens, as little-endian unsigned 32-bit integers."""
+class Ids:
+    """Results kept as ids: little-endian unsigned 32-bit integers."""
+
+    total = b"".join
+
+    @staticmethod
+    def of(ids: np.ndarray, starts: list[int], ends: list[int]) -> list[bytes]:
+        raw = ids.astype("<u4").tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
+
+
+class Counts:
+    """Results kept as numbers of ids."""
 
-    def __init__(self, path: str):
-        import os
+    total = sum
 
+    @staticmethod
+    def of(ids: np.ndarray, starts: list[int], ends: list[int]) -> list[int]:
+        return [b - a for a, b in zip(starts, ends, strict=True)]
+
+
+class PretokenEncoder:
+    """ids of pre-tokens, or their numbers, as `kind` says."""
+
+    def __init__(self, path: str, kind: type = Ids):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[bytes, bytes] = {}
-        mark = self._alone(MARK)
-        self.mark = np.frombuffer(mark, "<u4")[0] if len(mark) == 4 else None
+        self.tokenizer, self.kind = Tokenizer.from_file(path), kind
+        self.memo = Recent(MEMO_ENTRIES)
+        mark = self._library(MARK)
+        self.mark = mark[0] if len(mark) == 1 else None
 
-    def _alone(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
 
-    def _together(self, pieces: list[bytes]) -> list[bytes]:
-        joined = f" {MARK} ".join(p.decode() for p in pieces)
-        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+    def _alone(self, text: str):
+        ids = self._library(text)
+        return self.kind.of(ids, [0], [len(ids)])[0]
+
+    def _together(self, pieces: list[str]) -> list:
+        ids = self._library(f" {MARK} ".join(pieces))
         marks = np.flatnonzero(ids == self.mark)
         if len(marks) != len(pieces) - 1:
-            return [self._alone(p.decode()) for p in pieces]
-        raw, ends = ids.tobytes(), [*(4 * marks).tolist(), 4 * len(ids)]
-        starts = [0, *(4 * (marks + 1)).tolist()]
-        return [raw[a:b] for a, b in zip(starts, ends, strict=True)]
-
-    def learn(self, pieces: set[bytes]) -> None:
-        """Encode what the memo lacks."""
-        memo = self.memo
-        if len(memo) + len(pieces) > MEMO_ENTRIES:
-            memo.clear()
-        missing = [p for p in pieces if p not in memo]
-        odd = [p for p in missing if len(p) > LONG or b"\x01" in p or self.mark is None]
-        for p in odd:
-            memo[p] = self._alone(p.decode())
-        if odd:
-            skip = set(odd)
-            missing = [p for p in missing if p not in skip]
-        for i in range(0, len(missing), 2000):
-            some = missing[i : i + 2000]
-            memo.update(zip(some, self._together(some), strict=True))
+            return list(map(self._alone, pieces))
+        return self.kind.of(ids, [0, *(marks + 1).tolist()], [*marks.tolist(), len(ids)])
+
+    def _encoded(self, pieces: list[bytes]) -> dict:
+        """Results of pieces, by the library; those that can be told apart afterwards are encoded together."""
+        odd = [p for p in pieces if len(p) > LONG or b"\x01" in p or self.mark is None]
+        found = {p: self._alone(p.decode()) for p in odd}
+        rest = [p for p in pieces if p not in found] if odd else pieces
+        for k in range(0, len(rest), 2000):
+            some = rest[k : k + 2000]
+            found.update(zip(some, self._together([p.decode() for p in some]), strict=True))
+        return found
+
+    def known(self, pretokens: set[bytes]) -> dict:
+        """A table that holds the results of `pretokens`, until the next call."""
+        found = self._encoded(self.memo.missing(pretokens))
+        long = {p: found.pop(p) for p in [p for p in found if len(p) > LONG]}
+        self.memo.new.update(found)
+        return {**self.memo.new, **long} if long else self.memo.new
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text."""
-        split = [t.split() for t in texts]
-        self.learn(set().union(*split))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
-
-    def frequencies(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Per-text pre-token occurrences: text index and pre-token code of each, and the distinct pre-tokens by code."""
+        """The results of each text."""
         split = [t.split() for t in texts]
-        codes: dict[bytes, int] = {p: i for i, p in enumerate(set().union(*split))}
-        get = codes.__getitem__
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        flat = np.fromiter((c for pieces in split for c in map(get, pieces)), np.int64, int(sizes.sum()))
-        return np.repeat(np.arange(len(split)), sizes), flat, list(codes)
+        get = self.known(set().union(*split)).__getitem__
+        return [self.kind.total(map(get, pieces)) for pieces in split]
 
 
-_ENCODERS: dict[str, PretokenEncoder] = {}
+_ENCODERS: dict[tuple[str, type], PretokenEncoder] = {}
 
 
-def encoder(path: str) -> PretokenEncoder:
-    """One encoder for a Python worker and vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PretokenEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, kind: type = Ids) -> PretokenEncoder:
+    """One encoder for a Python worker, vocabulary file and kind of results."""
+    if (path, kind) not in _ENCODERS:
+        _ENCODERS[path, kind] = PretokenEncoder(path, kind)
+    return _ENCODERS[path, kind]
 
 
 def byte_texts(column) -> list[bytes]:

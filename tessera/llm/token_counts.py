@@ -1,9 +1,10 @@
 """Token counts: pieces are counted once per distinct pre-token and summed by per-document pre-token frequencies.
 
-`token_counts` is one narrow stage. In each block of documents the distinct pre-tokens are found, those that the worker's
-memo lacks are encoded once by the library, and their piece counts are joined to the documents' pre-token frequencies by
-code and summed; ids of documents are never put together. The frequencies stay inside the task: as shuffled rows
-(document, pre-token, frequency) they are about five times the input, far beyond the disk that the count is worth.
+`token_counts` is one narrow stage. In each block of documents the frequencies of each document's pre-tokens are taken, the
+distinct pre-tokens that the worker's memo of counts lacks are counted once by the library, and frequencies and counts are
+joined and summed; neither a document's ids nor a kept pre-token's are ever put together. The frequencies stay inside the
+task: as shuffled rows (document, pre-token, frequency) they are about five times the input, far beyond the disk that the
+count is worth.
 
 Cases: null or empty text has 0 bytes and 0 tokens; a null doc_id is kept; repeated rows are counted each; other columns
 are ignored, whatever their names; an empty table gives no rows. A text of any length is one value of one block.
@@ -11,15 +12,16 @@ are ignored, whatever their names; an empty table gives no rows. A text of any l
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from operator import mul
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import id_and_text, slices
-from tessera.llm.pretokens import byte_texts, encoder
+from tessera.llm.pretokens import Counts, byte_texts, encoder
 
 #: Tokens that a training sample can hold.
 LIMIT = 2048
@@ -33,17 +35,15 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib = encoder(vocabulary)
+        lib = encoder(vocabulary, Counts)
         for batch in batches:
             for part in slices(batch, "text", BLOCK_BYTES):
                 texts = byte_texts(part.column(1))
-                owner, code, distinct = lib.frequencies(texts)
-                lib.learn(set(distinct))
-                pieces = np.fromiter((len(lib.memo[p]) // 4 for p in distinct), np.int64, len(distinct))
-                tokens = np.bincount(owner, weights=pieces[code] if len(code) else None, minlength=len(texts)).astype(np.int64)
-                n_bytes = np.fromiter(map(len, texts), np.int64, len(texts))
-                words = np.bincount(owner, minlength=len(texts)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_bytes), pa.array(tokens), pa.array(words)], ["doc_id", "n_bytes", "n_tokens", "n_pretokens"])
+                frequencies = [Counter(t.split()) for t in texts]
+                count_of = lib.known(set().union(*frequencies)).__getitem__
+                tokens = [sum(map(mul, map(count_of, f), f.values())) for f in frequencies]
+                columns = [pa.array(list(map(len, texts)), pa.int64()), pa.array(tokens, pa.int64()), pa.array([f.total() for f in frequencies], pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_bytes", "n_tokens", "n_pretokens"])
 
     counted = id_and_text(docs).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, n_pretokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

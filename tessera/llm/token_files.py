@@ -10,7 +10,7 @@ its first token in the part, and `codes`, the block's image. Parts are the range
 part are summed from one number for each part, so no task sees more than its own part.
 
 Cases: null or empty text has only the end id; a null doc_id comes first; documents of one doc_id follow each other in the
-order of their texts; other columns are ignored; an empty table gives an empty file.
+order of their ids; other columns are ignored; an empty table gives an empty file.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_and_text, partitions_for, slices
+from tessera.llm.common import cut, id_and_text, partitions_for, slices
 from tessera.llm.pretokens import byte_texts, encoder
 
 BLOCK_BYTES = 4 << 20
@@ -98,25 +98,51 @@ class Block:
 FILE_SCHEMA = "part int, block int, first_token long, n_tokens long, doc_ids binary, has_id binary, lengths binary, codes binary"
 
 
+def _narrow(ids: np.ndarray) -> bytes:
+    width = 4 if len(ids) and ids.max() > 0xFFFF else 2
+    return bytes([width]) + ids.astype(f"<u{width}").tobytes()
+
+
+def _wide(narrow: bytes) -> np.ndarray:
+    return np.frombuffer(narrow, f"<u{narrow[0]}", offset=1).astype("<u4")
+
+
+def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """doc_id and ids of every text: a byte that says how wide ids are, and little-endian unsigned integers of 2 or 4 bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lib = encoder(vocabulary)
+        for batch in batches:
+            for some in slices(batch, "text", BLOCK_BYTES):
+                ids = [_narrow(np.frombuffer(x, "<u4")) for x in lib.encode(byte_texts(some.column(1)))]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    return id_and_text(docs).mapInArrow(run, "doc_id long, ids binary")
+
+
 def token_blocks(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
-    """The blocks of a token file: every text's ids and `end_id`, in ascending doc_id order."""
+    """The blocks of a token file: every text's ids and `end_id`, in ascending doc_id order.
+
+    Texts are encoded where they are, into a table in the shared folder; only ids are dealt by ranges of doc_id and sorted.
+    """
+    ids = cut(encoded(docs, vocabulary), "token-ids")
     n = partitions_for(docs, PART_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        lib, part, block, first = encoder(vocabulary), TaskContext.get().partitionId(), 0, 0
-        end = np.array([end_id], "<u4").tobytes()
+        part, block, first = TaskContext.get().partitionId(), 0, 0
+        end = np.array([end_id], "<u4")
         for batch in batches:
-            for some in slices(batch, "text", BLOCK_BYTES):
-                ids = [x + end for x in lib.encode(byte_texts(some.column(1)))]
-                lengths = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+            for some in slices(batch, "ids", BLOCK_BYTES):
+                ids = [np.append(_wide(x), end) for x in some.column(1).to_pylist()]
+                lengths = np.fromiter(map(len, ids), np.int64, len(ids))
                 keys = some.column(0)
-                row = [part, block, first, int(lengths.sum()), keys.fill_null(0).to_numpy().astype("<i8").tobytes(), np.packbits(keys.is_valid().to_numpy(zero_copy_only=False)).tobytes(), lengths.astype("<i8").tobytes(), encode_block(np.frombuffer(b"".join(ids), "<u4"))]
+                row = [part, block, first, int(lengths.sum()), keys.fill_null(0).to_numpy().astype("<i8").tobytes(), np.packbits(keys.is_valid().to_numpy(zero_copy_only=False)).tobytes(), lengths.astype("<i8").tobytes(), encode_block(np.concatenate(ids))]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], [c.split()[0] for c in FILE_SCHEMA.split(", ")])
                 block, first = block + 1, first + row[3]
 
-    return id_and_text(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, FILE_SCHEMA)
+    return ids.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(run, FILE_SCHEMA)
 
 
 def write_token_file(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1) -> None:
@@ -136,16 +162,18 @@ def read_token_file(spark, path: str) -> DataFrame:
 
 
 def document_tokens(blocks: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids (array) of each document of a token file."""
+    """doc_id, start, n_tokens, middle_id and ids (array) of each document of a token file."""
     return _documents(blocks, "ids array<int>", lambda ids: ids.astype(np.int32).tolist(), pa.list_(pa.int32()))
 
 
 def document_checksums(blocks: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document of a token file."""
+    """doc_id, start, n_tokens, middle_id and ids_crc32 of each document of a token file."""
     return _documents(blocks, "ids_crc32 long", lambda ids: zlib.crc32(ids.astype("<u4").tobytes()), pa.int64())
 
 
 def _documents(blocks: DataFrame, column: str, value, kind: pa.DataType) -> DataFrame:
+    """middle_id: the id at place n_tokens // 2 of the document, read by its place."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -153,8 +181,28 @@ def _documents(blocks: DataFrame, column: str, value, kind: pa.DataType) -> Data
                 keys = np.frombuffer(row["doc_ids"], "<i8")
                 valid = np.unpackbits(np.frombuffer(row["has_id"], np.uint8), count=len(keys)).astype(bool)
                 ends = np.cumsum(lengths)
-                ids = Block(row["codes"]).ids()
+                block = Block(row["codes"])
+                ids = block.ids()
+                middle = [block[i] for i in (ends - lengths + lengths // 2).tolist()]
                 values = [value(ids[b - n : b]) for b, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64(), mask=~valid), pa.array(row["start"] + ends - lengths), pa.array(lengths), pa.array(values, kind)], ["doc_id", "start", "n_tokens", column.split()[0]])
+                columns = [pa.array(keys, pa.int64(), mask=~valid), pa.array(row["start"] + ends - lengths), pa.array(lengths), pa.array(middle, pa.int64()), pa.array(values, kind)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "middle_id", column.split()[0]])
+
+    return blocks.select("start", "doc_ids", "has_id", "lengths", "codes").mapInArrow(run, f"doc_id long, start long, n_tokens long, middle_id long, {column}")
+
+
+def tokens_at(blocks: DataFrame, places: DataFrame) -> DataFrame:
+    """place and id of each distinct `place` (counted over the whole file) that the file has, without decoding the blocks."""
+    stride = 1 << 20
+    where = blocks.select("part", "block", "start", "n_tokens").withColumn("stride", F.explode(F.sequence(F.floor(F.col("start") / stride), F.floor((F.col("start") + F.col("n_tokens") - 1) / stride))))
+    asked = places.select(F.col("place").cast("long").alias("place")).filter("place >= 0").distinct().withColumn("stride", F.floor(F.col("place") / stride))
+    found = asked.join(where, "stride").filter("place >= start and place < start + n_tokens")
+    by_block = found.groupBy("part", "block").agg(F.collect_list("place").alias("places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                block, start = Block(row["codes"]), row["start"]
+                yield pa.RecordBatch.from_arrays([pa.array(row["places"], pa.int64()), pa.array([block[p - start] for p in row["places"]], pa.int64())], ["place", "id"])
 
-    return blocks.select("start", "doc_ids", "has_id", "lengths", "codes").mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
+    return blocks.select("part", "block", "start", "codes").join(by_block, ["part", "block"]).select("start", "codes", "places").mapInArrow(run, "place long, id long")

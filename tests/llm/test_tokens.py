@@ -64,7 +64,7 @@ def test_token_file_round_trip(spark, tmp_path):
     path = f"file://{tmp_path}/tokens"
     token_files.write_token_file(df, WORDS, path)
     blocks = token_files.read_token_file(spark, path)
-    order = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    order = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, np.array(lib.encode(r[1] or "", add_special_tokens=False).ids, "<u2").tobytes()))
     start, want = 0, []
     for k, t, _ in order:
         ids = [*lib.encode(t or "", add_special_tokens=False).ids, 1]
@@ -72,6 +72,11 @@ def test_token_file_round_trip(spark, tmp_path):
         start += len(ids)
     got = [(r["doc_id"], r["start"], list(r["ids"])) for r in token_files.document_tokens(blocks).orderBy("start").collect()]
     assert got == want
+    whole = [x for _, _, ids in want for x in ids]
+    places = [0, 1, 7, len(whole) // 2, len(whole) - 1, len(whole), -1, 7]
+    asked = spark.createDataFrame([(p,) for p in places] + [(None,)], "place long")
+    assert sorted(map(tuple, token_files.tokens_at(blocks, asked).collect())) == sorted({(p, whole[p]) for p in places if 0 <= p < len(whole)})
+    assert all(r["middle_id"] == r["ids"][r["n_tokens"] // 2] for r in token_files.document_tokens(blocks).collect())
     sums = {(r["start"], r["ids_crc32"]) for r in token_files.document_checksums(blocks).collect()}
     assert sums == {(s, zlib.crc32(np.array(i, "<u4").tobytes())) for _, s, i in want}
 
@@ -92,8 +97,11 @@ def test_empty_tables(spark, tmp_path):
     assert token_files.document_tokens(token_files.read_token_file(spark, f"file://{tmp_path}/none")).count() == 0
 
 
-def test_memos_may_overflow(monkeypatch):
+def test_memos_may_overflow_and_keep_nothing_long(monkeypatch):
     monkeypatch.setattr(pretokens, "MEMO_ENTRIES", 5)
-    lib, ref = pretokens.PretokenEncoder(WORDS), Tokenizer.from_file(WORDS)
-    for t in ("one two three four", "five six seven eight nine", "one two"):
-        assert np.frombuffer(lib.encode([t.encode()])[0], "<u4").tolist() == ref.encode(t, add_special_tokens=False).ids
+    lib, counts, ref = pretokens.PretokenEncoder(WORDS), pretokens.PretokenEncoder(WORDS, pretokens.Counts), Tokenizer.from_file(WORDS)
+    for t in ("one two three four", "five six seven eight nine", "one two", "x" * 5000 + " one", "Don't WON'T it's 'S 's 'll. a1b22,c", "<|endoftext|> a<|endoftext|>b <| |>"):
+        ids = ref.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(lib.encode([t.encode()])[0], "<u4").tolist() == ids and counts.encode([t.encode()]) == [len(ids)]
+        for memo in (lib.memo, counts.memo):
+            assert all(len(k) <= pretokens.LONG for k in memo.new)
