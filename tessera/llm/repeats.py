@@ -12,7 +12,9 @@ where their anchors agree. A sparse suffix array is built over the anchors in fo
    a group of suffixes that no byte extends on both sides is a maximal repeat. Its least doc_id goes back to every member;
 4. each document bucket marks the occurrences of repeats that a smaller doc_id holds too.
 
-A hot anchor, found in more than HOT documents, is taken apart exactly: its suffixes are keyed by the whole 50-byte string,
+There is a task for each bucket, so tasks stay as they are while the table grows.
+
+A hot anchor, found in more than HOT documents, is split exactly: its suffixes are keyed by the whole 50-byte string,
 one context for each bucket and string. Nothing that grows with a group's size meets in one task but one row for each bucket
 of documents, and no pair of occurrences is ever listed.
 
@@ -178,7 +180,7 @@ def _anchor_pairs(docs: DataFrame, buckets: int) -> DataFrame:
         other = new.copy()
         other[1:] |= doc[1:] != doc[:-1]
         first = np.flatnonzero(new)
-        count = np.minimum(np.add.reduceat(other.astype(np.int64), first), 255).astype(np.uint8)
+        count = np.add.reduceat(other.astype(np.int64), first).astype("<u4")
         key, home = key[first], home[first]
         # a row goes to the anchors' bucket; inside, entries of one document bucket follow each other
         order = np.lexsort([home, key >> np.uint64(40)])
@@ -209,12 +211,12 @@ def _anchor_pairs(docs: DataFrame, buckets: int) -> DataFrame:
     return _bucketed(docs, buckets).mapInArrow(run, PACKED)
 
 
-def _repeated(pairs: DataFrame) -> DataFrame:
+def _repeated(pairs: DataFrame, buckets: int) -> DataFrame:
     """Step 1, after the shuffle: for each document bucket its anchors that two documents or more have, and which are hot."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table["target"][0].as_py()
-        _, high, low, home, count = _gathered(table, "<u4", "u1", "<i4", "u1")
+        _, high, low, home, count = _gathered(table, "<u4", "u1", "<i4", "<u4")
         key = high.astype(np.uint64) << np.uint64(8) | low
         order = np.argsort(key, kind="stable")
         key, home, count = key[order], home[order], count[order]
@@ -228,7 +230,7 @@ def _repeated(pairs: DataFrame) -> DataFrame:
         new[1:] = (key[1:] != key[:-1]) | (home[1:] != home[:-1])
         return _as_table(_rows(home[new].astype(np.int64), bucket, (key[new] >> np.uint64(8)).astype("<u4"), key[new].astype(np.uint8), hot[new]))
 
-    return pairs.groupBy("target").applyInArrow(run, PACKED)
+    return pairs.repartition(buckets, "target").groupBy("target").applyInArrow(run, PACKED)
 
 
 #: Key, hot anchor (or 0), context, bytes on either side, least and greatest doc_id.
@@ -278,7 +280,8 @@ def _split_hot(data, ends, place, h, anchor, doc, least, ids, buckets) -> tuple[
 
 
 def _with_texts(docs: DataFrame, other: DataFrame, buckets: int, run, schema: str) -> DataFrame:
-    return _bucketed(docs, buckets).filter("doc_id is not null").groupBy("bucket").cogroup(other.groupBy("target")).applyInArrow(run, schema)
+    texts = _bucketed(docs, buckets).filter("doc_id is not null").repartition(buckets, "bucket")
+    return texts.groupBy("bucket").cogroup(other.repartition(buckets, "target").groupBy("target")).applyInArrow(run, schema)
 
 
 def lcp_intervals(lcps: list[int], floor: int) -> Iterator[tuple[int, int, int]]:
@@ -317,7 +320,7 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int = LENGTH
                 yield extent, length, [order[k] for k in members]
 
 
-def _repeat_groups(elements: DataFrame) -> DataFrame:
+def _repeat_groups(elements: DataFrame, buckets: int) -> DataFrame:
     """Step 3: for each context its maximal repeats and their least doc_id, to the document buckets that can use them."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -364,7 +367,7 @@ def _repeat_groups(elements: DataFrame) -> DataFrame:
         holder, entry = holder[useful], entry[useful]
         return _as_table(_rows(source[order][holder].astype(np.int64), 0, code[holder], left[entry], right[entry], owner[entry].astype("<i8"), hot[order][holder]))
 
-    return elements.groupBy("target").applyInArrow(run, PACKED)
+    return elements.repartition(buckets, "target").groupBy("target").applyInArrow(run, PACKED)
 
 
 def _marked(docs: DataFrame, repeats: DataFrame, buckets: int) -> DataFrame:
@@ -441,8 +444,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs: doc_id and text; the documents are shuffled once, by bucket, for both steps that need them.
     """
     buckets = partitions_for(docs, BUCKET_BYTES)
-    repeated = _repeated(_anchor_pairs(docs, buckets))
-    repeats = _repeat_groups(_elements(docs, repeated, buckets))
+    repeated = _repeated(_anchor_pairs(docs, buckets), buckets)
+    repeats = _repeat_groups(_elements(docs, repeated, buckets), buckets)
     unnamed = id_and_text(docs).filter("doc_id is null")
     rest = unnamed.select("doc_id", F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"), F.octet_length("text").cast("long").alias("n_bytes"), F.col("text").cast("binary").alias("kept"))
     return _marked(docs, repeats, buckets).unionByName(rest)
