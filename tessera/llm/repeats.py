@@ -90,7 +90,11 @@ def find_anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _key(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket and 40 bits of a hash, as one number: what anchors are matched by before their bytes are."""
+    """Bucket and 40 bits of a hash, as one number: what anchors are matched by before their bytes are.
+
+    Hashes of anchors are the least of their strings, so mostly small: they are mixed again, or the first buckets held most.
+    """
+    h = _mix(h * C3)
     bucket = (h >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
     return bucket << np.uint64(40) | h & LOW40
 
