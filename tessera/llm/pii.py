@@ -8,23 +8,33 @@ lower-case letters), so a value has one pseudonym in every document and notation
 One narrow stage; no lookup table is built or shuffled.
 
 A run of digits or of IBAN characters may hold more than the value: all its parts at separators are tried. Phones are 3-3-4
-digits with separators, ten digits from 2-9 or eleven from 1 without, or 8-15 digits after a plus sign.
+digits with separators, ten digits from 2-9 or eleven from 1 without, or 8-15 digits after a plus sign. Dates stay among those
+with as many digits in day and month and on the same side of day 12, so that their length stays and so does which order they
+can be read in; a date that can be read in both orders is read day first. Groups of an IP address keep their number of digits, and
+zero groups of IPv6 stay zero, so that every notation of it still can be written. Whatever is replaced is found again, so
+`back` undoes it, up to the capitals of IPv6 addresses.
 
 Cases: a null text stays null; text without values is returned as it is; overlapping finds are settled by rank (phones and
-IBANs of another length than their country's after all others, cards in odd groups last), then from left to right with the order of KINDS at one place; a null doc_id is kept; repeated rows are treated alike; the other columns of the table
-are returned untouched, whatever their names.
+IBANs of another length than their country's after all others, cards in odd groups last), then from left to right with the
+order of KINDS at one place; a null doc_id is kept; repeated rows are treated alike; the other columns of the table are returned
+untouched, whatever their names (the column of kinds takes another name where the table has one of its name); an empty table
+gives no rows; a text of any length is one value of one block and takes time in proportion to it.
 """
 
 from __future__ import annotations
 
 import bisect
 import datetime
+import functools
 import hashlib
+import ipaddress
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tessera.llm.common import Memo, slices
 
@@ -144,12 +154,26 @@ def _ssn(f: Feistel, found: str, back: bool) -> str | None:
     return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
+def _in_widths(f: Feistel, values: list[int], lows: list[int], sizes: list[int], tweak: bytes, back: bool) -> list[int]:
+    """Values permuted together, each of them within `lows` and the `sizes` values from there on."""
+    n, value = 1, 0
+    for v, low, size in zip(values, lows, sizes, strict=True):
+        n, value = n * size, value * size + v - low
+    value, new = f.permute(value, n, tweak + repr(lows).encode(), back), []
+    for low, size in zip(reversed(lows), reversed(sizes), strict=True):
+        value, v = divmod(value, size)
+        new.append(v + low)
+    return new[::-1]
+
+
 def _ip(f: Feistel, found: str, back: bool) -> str | None:
-    parts = list(map(int, found.split(".")))
-    if max(parts) > 255:
+    parts = found.split(".")
+    values = list(map(int, parts))
+    if max(values) > 255:
         return None
-    value = f.permute(int.from_bytes(bytes(parts), "big"), 1 << 32, b"ip", back)
-    return ".".join(map(str, value.to_bytes(4, "big")))
+    lows = [0 if v < 10 else 10 if v < 100 else 100 for v in values]
+    new = _in_widths(f, values, lows, [{0: 10, 10: 90, 100: 156}[low] for low in lows], b"ip", back)
+    return ".".join(f"{v:0{len(p)}d}" for v, p in zip(new, parts, strict=True))
 
 
 def _mixed(f: Feistel, text: str, tweak: bytes, back: bool) -> str:
@@ -180,31 +204,89 @@ def _email(f: Feistel, found: str, back: bool) -> str | None:
     return f"{_mixed(f, local, b'mail', back)}@{_mixed(f, host, b'host', back)}.{top}"
 
 
+def _cased(text: str, like: str) -> str:
+    """`text` in lower case with the capitals of `like`: of its letters, and elsewhere of the last letter before."""
+    upper, out = next((c.isupper() for c in like if c.isalpha()), False), []
+    for c, was in zip(text, like, strict=True):
+        upper = was.isupper() if was.isalpha() else upper
+        out.append(c.upper() if upper else c)
+    return "".join(out)
+
+
 def _secret(f: Feistel, found: str, back: bool) -> str | None:
     if not any(c in DIGITS for c in found) or not any(c.isalpha() for c in found):
         return None
-    if all(c in "0123456789abcdefABCDEF" for c in found):
+    if found in (found.lower(), found.upper()) and all(c in "0123456789abcdefABCDEF" for c in found):
         value = f.permute(int(found, 16), 16 ** len(found), b"hex", back)
-        out = f"{value:0{len(found)}x}"
-        return out.upper() if found != found.lower() else out
+        return _cased(f"{value:0{len(found)}x}", found)
     return _mixed(f, found, b"secret", back)
 
 
+def _prefixed(f: Feistel, found: str, back: bool) -> str | None:
+    """A key whose kind its first letters tell; they stay."""
+    prefix = next(p for p in KEY_PREFIXES if found.startswith(p))
+    return prefix + _mixed(f, found[len(prefix) :], b"key", back)
+
+
+def _ip6(f: Feistel, found: str, back: bool) -> str | None:
+    try:
+        address = ipaddress.IPv6Address(found)
+    except ValueError:
+        return None
+    if address.is_loopback or address.is_unspecified or not any(c in DIGITS for c in found):
+        return None
+    groups = [int(g, 16) for g in address.exploded.split(":")]
+    lows = [16 ** ((g.bit_length() - 1) // 4) if g else 0 for g in groups]
+    new = _in_widths(f, groups, lows, [15 * low or 1 for low in lows], b"ip6", back)
+    head, _, tail = found.partition("::")
+    written = [g for g in head.split(":") if g] + [g for g in tail.split(":") if g]
+    n_head = len([g for g in head.split(":") if g])
+    kept = iter(new[:n_head] + new[8 - (len(written) - n_head) :])
+    return re.sub(r"[0-9A-Fa-f]+", lambda m: _cased(f"{next(kept):0{len(m[0])}x}", m[0]), found)
+
+
+def _day_class(day: datetime.date) -> tuple[bool, bool, bool]:
+    return day.day < 10, day.day > 12, day.month < 10
+
+
+@functools.cache
+def _days() -> dict[tuple[bool, bool, bool], list[int]]:
+    """Days by class, in order."""
+    out: dict[tuple[bool, bool, bool], list[int]] = {}
+    for n in range(FIRST_DAY, LAST_DAY + 1):
+        out.setdefault(_day_class(datetime.date.fromordinal(n)), []).append(n)
+    return out
+
+
 def _date(order: str) -> Callable[[Feistel, str, bool], str | None]:
     def act(f: Feistel, found: str, back: bool) -> str | None:
         parts = dict(zip(order, re.split(r"\D", found), strict=True))
         try:
-            day = datetime.date(int(parts["y"]), int(parts["m"]), int(parts["d"])).toordinal()
+            day = datetime.date(int(parts["y"]), int(parts["m"]), int(parts["d"]))
         except ValueError:
             return None
-        if not FIRST_DAY <= day <= LAST_DAY:
+        if not FIRST_DAY <= day.toordinal() <= LAST_DAY:
             return None
-        new = datetime.date.fromordinal(FIRST_DAY + f.permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, b"date", back))
-        return _refill(re.sub(r"\d+", lambda m: "0" * (4 if len(m[0]) == 4 else 2), found), "".join(f"{new.year:04d}" if c == "y" else f"{new.month if c == 'm' else new.day:02d}" for c in order))
+        kind = _day_class(day)
+        days = _days()[kind]
+        at = f.permute(bisect.bisect_left(days, day.toordinal()), len(days), b"date" + bytes(kind), back)
+        new = datetime.date.fromordinal(days[at])
+        values = {"y": new.year, "m": new.month, "d": new.day}
+        return _refill(found, "".join(f"{values[c]:0{len(parts[c])}d}" for c in order))
 
     return act
 
 
+def _emails(text: str) -> Iterator[tuple[int, str]]:
+    """Start and text of what looks like an address, from each @ to both sides: every character is passed once or twice."""
+    for m in re.finditer(r"@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", text):
+        start = m.start()
+        while start and (text[start - 1].isalnum() or text[start - 1] in "_.%+-"):
+            start -= 1
+        if start < m.start():
+            yield start, text[start : m.end()]
+
+
 def _ends(found: str, tokens: re.Pattern) -> list[tuple[int, int, int]]:
     """Start, end and number of letters and digits of the pieces between separators."""
     return [(m.start(), m.end(), sum(c.isalnum() for c in m[0])) for m in tokens.finditer(found)]
@@ -255,19 +337,23 @@ IBAN_LENGTHS = {
     for n, names in (x.split(":") for x in "15:NO 16:BE 18:DK,FI,FO,GL,NL,SD,FK 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK,MN 21:CH,CR,HR,LI,LV 22:BG,BH,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,TL,OM,SO 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU".split())
     for c in names.split(",")
 }
+#: How keys of well-known services begin (fixed values).
+KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "sk-", "xoxb-", "xoxp-")
 #: Of a match of these kinds, the parts to try: start, end and rank, best first.
 PARTS: dict[str, Callable[[str], Iterator[tuple[int, int, int]]]] = {"iban": _iban_parts, "phone_plus": _phone_parts, "card": _card_parts}
 #: Rank of the other kinds, where it is not 0.
 RANKS = {"phone": 1}
 #: Kinds of values, their patterns and what validates and permutes them. At one place and rank the first that is valid wins.
-KINDS: tuple[tuple[str, str, Callable[[Feistel, str, bool], str | None]], ...] = (
-    ("email", r"[\w.%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", _email),
+KINDS: tuple[tuple[str, str | Callable[[str], Iterator[tuple[int, str]]], Callable[[Feistel, str, bool], str | None]], ...] = (
+    ("email", _emails, _email),
+    ("key", rf"(?<![A-Za-z0-9])(?:{'|'.join(KEY_PREFIXES)})[A-Za-z0-9]{{16,128}}(?![A-Za-z0-9])", _prefixed),
     ("secret", r"(?<![A-Za-z0-9])[A-Za-z0-9]{32,128}(?![A-Za-z0-9])", _secret),
     ("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])))", _iban),
     ("date_ymd", r"(?<!\d)\d{4}[-/.]\d{1,2}[-/.]\d{1,2}(?!\d)", _date("ymd")),
     ("date_dmy", r"(?<!\d)\d{1,2}[-/.]\d{1,2}[-/.]\d{4}(?!\d)", _date("dmy")),
     ("date_mdy", r"(?<!\d)\d{1,2}/\d{1,2}/\d{4}(?!\d)", _date("mdy")),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
+    ("ip6", r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|:(?=:))[0-9A-Fa-f:]{1,38}(?![\w:]|\.\d)", _ip6),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", _ip),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)", _phone),
     ("phone", r"(?<![\w+])(?<!\d[.,])1?[2-9]\d{9}(?!\w|[.,]\d)", _phone),
@@ -277,29 +363,30 @@ KINDS: tuple[tuple[str, str, Callable[[Feistel, str, bool], str | None]], ...] =
 HINT = re.compile(r"\d|@")
 
 
+def _finder(pattern: re.Pattern) -> Callable[[str], Iterator[tuple[int, str]]]:
+    return lambda text: ((m.start(), m[m.lastindex or 0]) for m in pattern.finditer(text))
+
+
 class Pseudonyms:
-    """Replaces the values of texts under a key."""
+    """Replaces the values of texts under a key, or with `back` pseudonyms by the values that they stand for."""
 
-    def __init__(self, key: bytes):
-        self.feistel = Feistel(key)
-        self.patterns = [(name, re.compile(pattern), act) for name, pattern, act in KINDS]
+    def __init__(self, key: bytes, back: bool = False):
+        self.feistel, self.back = Feistel(key), back
+        self.patterns = [(name, pattern if callable(pattern) else _finder(re.compile(pattern)), act) for name, pattern, act in KINDS]
         self.memo = Memo(self._of, MEMO_ENTRIES)
 
     def _of(self, kind_and_value: tuple[int, str]) -> str | None:
         kind, value = kind_and_value
-        return self.patterns[kind][2](self.feistel, value, False)
+        return self.patterns[kind][2](self.feistel, value, self.back)
 
     def found(self, text: str) -> list[tuple[int, int, str, str]]:
         """start, end, kind and pseudonym of the valid values of a text, in order and apart from each other."""
         if not HINT.search(text):
             return []
         finds = []
-        for k, (name, pattern, _) in enumerate(self.patterns):
-            if name == "email" and "@" not in text:
-                continue
+        for k, (name, finder, _) in enumerate(self.patterns):
             parts = PARTS.get(name)
-            for m in pattern.finditer(text):
-                place, found = m.start(), m[m.lastindex or 0]
+            for place, found in finder(text):
                 for order, (start, end, rank) in enumerate(parts(found) if parts else [(0, len(found), RANKS.get(name, 0))]):
                     new = self.memo[k, found[start:end]]
                     if new is not None:
@@ -323,21 +410,24 @@ class Pseudonyms:
         return "".join([*pieces, text[last:]]), [name for _, _, name, _ in finds]
 
 
-def pseudonymise(docs: DataFrame, key: bytes, counts: bool = True) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, counts: bool = True, back: bool = False) -> DataFrame:
     """`docs` with `text` replaced and, with `counts`, an array `pii_kinds` of the kinds found, in order.
 
-    key: whoever has it can undo the permutations; without it the pseudonyms don't lead back.
+    key: whoever has it can undo the permutations, by `back`; without it the pseudonyms don't lead back. Where `docs` has a
+    column pii_kinds, the new one is named pii_kinds_2 (or _3, ...).
     """
     names = docs.columns
     place = names.index("text")
-    extra = ["pii_kinds"] if counts else []
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + (", pii_kinds array<string>" if counts else "")
+    taken = {n.lower() for n in names}
+    extra = [next(n for n in itertools.chain(["pii_kinds"], (f"pii_kinds_{k}" for k in itertools.count(2))) if n not in taken)] if counts else []
+    text = StructField("text", StringType())
+    schema = StructType([text if i == place else f for i, f in enumerate(docs.schema)] + [StructField(n, ArrayType(StringType())) for n in extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Pseudonyms(key)
+        own = Pseudonyms(key, back)
         for batch in batches:
             for part in slices(batch, "text", BLOCK_BYTES):
-                done = [(None, []) if x is None else own.replace(x) for x in part.column(place).to_pylist()]
+                done = [(None, []) if x is None else own.replace(x) for x in part.column(place).cast(pa.string()).to_pylist()]
                 columns = list(part.columns)
                 columns[place] = pa.array([t for t, _ in done], pa.string())
                 if counts:

@@ -115,6 +115,19 @@ def test_language_spans_scripts_and_edges(spark):
     assert language.identify(df, language.fit(nothing)).filter("lang_pred <> 'und'").count() == 0 and language.identify(nothing, language.fit(df)).count() == 0
 
 
+def test_letters_are_unicode_letters(spark):
+    rows = [(i, k, " ".join(LANGS[k])) for i, k in enumerate([*LANGS] * 9)] + [(50 + i, f"l{i:03}", "zz yy") for i in range(450)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert len(model.languages) > 250  # as many languages as have learnable rows
+    odd = ["½ ²", "①②", "Ⅷ 7", "_ -", None, "", "़ ा"]
+    df = spark.createDataFrame([*enumerate(odd), (10, "हिन्दी में")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language.identify(df, model).collect()}
+    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in range(len(odd))) and got[10]["lang_pred"] != "und"
+    assert language.WORD.findall("हिन्दी में") == ["हिन्दी", "में"]
+    long = spark.createDataFrame([(1, "banana kana " * 60_000)], "doc_id long, text string")
+    assert language.identify(long, model).first()["spans"][0]["n_words"] == 120_000
+
+
 def brute_viterbi(scores, switch):
     best, back = scores[0], []
     for row in scores[1:]:
@@ -250,6 +263,74 @@ def test_pseudonyms_are_valid_linked_and_format_preserving(spark):
     assert got[3]["text"] is None and got[None]["text"] == "" and got[4]["text"] == rows[4][1]
     assert pii.pseudonymise(df, b"other").filter("doc_id = 1").first()["text"] != new
     assert pii.pseudonymise(df.limit(0), b"key", counts=False).columns == df.columns
+    clash = pii.pseudonymise(df.withColumnRenamed("pii", "pii_kinds"), b"key")
+    assert clash.columns == ["doc_id", "text", "pii_kinds", "pii_kinds_2"] and {r["pii_kinds"] for r in clash.collect()} == {"k"}
+    undone = pii.pseudonymise(clash.select("doc_id", "text"), b"key", back=True)
+    assert sorted(((r["doc_id"], r["text"]) for r in undone.collect()), key=repr) == sorted(((k, t) for k, t, _ in rows), key=repr)
+
+
+def with_check_digit(digits):
+    return next(digits + str(k) for k in range(10) if sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits + str(k)))) % 10 == 0)
+
+
+def made_values(r):
+    """Kind and text of made-up personal values."""
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    card = with_check_digit("4" + d(14))
+    yield "card", r.choice([card, f"{card[:4]} {card[4:8]} {card[8:12]} {card[12:]}", f"{card[:4]}-{card[4:8]}-{card[8:12]}-{card[12:]}"])
+    day, month, year = r.randint(1, 28), r.randint(1, 12), r.randint(1900, 2099)
+    yield "date_dmy", r.choice(["{}/{}/{}", "{:02}.{:02}.{}", "{}-{:02}-{}"]).format(day, month, year)
+    yield "date_ymd", f"{year}-{month:02}-{day:02}"
+    yield "date_mdy", f"{month:02}/{r.randint(13, 28)}/{year}"
+    yield "ssn", f"{r.randint(1, 665):03}-{r.randint(1, 99):02}-{r.randint(1, 9999):04}"
+    yield "ip", ".".join(str(r.randint(0, 255)) for _ in range(4))
+    groups = [f"{r.randint(1, 65535):x}" for _ in range(8)]
+    yield "ip6", r.choice([":".join(groups), "2001:db8::" + ":".join(groups[:3]), "fe80::" + groups[0], ":".join(g.rjust(4, "0") for g in groups)])
+    yield "email", f"{r.choice(VOCAB)}.{d(2)}@{r.choice(VOCAB)}-mail.example.org"
+    yield "phone", r.choice([f"+49 30 {d(6)}", f"({r.randint(200, 999)}) {r.randint(200, 999)}-{d(4)}", f"{r.randint(200, 999)}-{r.randint(200, 999)}-{d(4)}", f"+44 20 {r.randint(2000, 9999)} {d(4)}"])
+    yield "key", "AKIA" + "".join(r.choice("ABCDEFGHIJ0123456789") for _ in range(16))
+    yield "secret", "".join(r.choice("0123456789abcdef") for _ in range(40)) + "a1"
+    yield "secret", "".join(r.choice("0123456789abcdefABCDEF") for _ in range(40)) + "B2"
+
+
+def test_made_values_are_found_whole_linked_and_undone():
+    r = random.Random(17)
+    own, back, links = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", back=True), {}
+    for _ in range(150):
+        values = list(made_values(r))
+        r.shuffle(values)
+        pieces = [x for kind, value in values for x in (prose(2, r) + " ", value, ", ")]
+        text = "".join(pieces)
+        finds = own.found(text)
+        assert [(k, text[a:b]) for a, b, k, _ in finds] == values
+        assert [(text[a:b], new) for a, b, _, new in finds if len(new) != b - a or new == text[a:b]] == []
+        assert all([c for c in new if not c.isalnum()] == [c for c in text[a:b] if not c.isalnum()] for a, b, _, new in finds)
+        changed, kinds = own.replace(text)
+        assert kinds == [k for k, _ in values] and back.replace(changed)[0] == text
+        for a, b, k, new in finds:
+            assert links.setdefault((k, text[a:b]), new) == new
+
+
+def test_notations_of_one_value_stay_linked():
+    own = pii.Pseudonyms(b"k")
+    new = lambda t: own.found(t)[0][3]
+    assert datetime.date(*map(int, new("1990-02-01").split("-"))) == datetime.date(*map(int, reversed(new("1/2/1990").split("/")))) and len(new("1/2/1990")) == 8
+    import ipaddress
+
+    assert ipaddress.ip_address(new("2001:db8::1")) == ipaddress.ip_address(new("2001:0DB8:0:0:0:0:0:0001"))
+    assert not own.found("::1 12:34:56 a::b :: 1:2 std::vector 12:00") and own.found("at 10:30 from 2001:db8::ff00:42:8329.")[0][2] == "ip6"
+
+
+def test_search_is_linear():
+    import time
+
+    own, took = pii.Pseudonyms(b"k"), []
+    for n in (20_000, 160_000):
+        began = time.perf_counter()
+        for unit in ("a", "a.", "a1", "1", "1 ", "1-", "+1", "@a.", ":1", "A1 "):
+            own.replace(unit * (n // len(unit)) + " x@y")
+        took.append(time.perf_counter() - began)
+    assert took[1] < 24 * took[0]
 
 
 def test_quality_lines_and_repeats(spark):
@@ -266,3 +347,15 @@ def test_quality_lines_and_repeats(spark):
     assert got[102][0]["n_words"] == 0 and got[102][0]["base_failed"] and got[103][0]["base_failed"]
     assert len(got[104]) == 2 and got[104][0]["n_repeat_words"] == 32 and got[104][0]["base_failed"]
     assert quality.quality_rules(df.limit(0)).count() == 0
+
+
+def test_quality_hosts_and_ids_that_are_null(spark):
+    line, own = "one shared line of words", lambda i: f"line {i} alone " + " ".join(prose(25, random.Random(i)).split())
+    rows = [(i, f"{line}\n{own(i)}", None) for i in range(4)] + [(10 + i, f"{line}\n{own(i + 10)}", "") for i in range(2)] + [(None, f"{line}\n{own(30 + i)}", "") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {(r["doc_id"], r["remaining"].count("\n")): r["n_removed_words"] for r in quality.quality_rules(df, most_documents=3).collect()}
+    assert got == {**{(i, 0): 5 for i in range(4)}, (10, 1): 0, (11, 1): 0, (None, 1): 0}  # null ids don't count, and null is a host of its own
+    words = "ab " * 20_000
+    long = spark.createDataFrame([(1, words + "\n" + words, "x")], "doc_id long, text string, source string")
+    r = quality.quality_rules(long).first()
+    assert r["n_words"] == 40_000 and r["n_repeat_words"] == 40_000 and r["n_dup_lines"] == 1 and r["base_failed"]
