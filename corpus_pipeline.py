@@ -1,7 +1,13 @@
 """The corpus pipeline: each stage reads what its predecessor kept, as Parquet, and its decisions take effect.
 
 STAGES, in order: toxic documents go; one document of each near-duplicate group stays; documents that hold a benchmark item
-go; personal values are replaced by pseudonyms; texts are encoded and decoded by byte-level BPE.
+go; personal values are replaced by pseudonyms, under the key of the setting spark.tessera.pii.key where it is set; texts are
+encoded and decoded by byte-level BPE.
+
+Cases: a null text counts as empty and stays null up to the last stage, which gives it no ids; null and empty texts, and texts
+without words, are one group of near-duplicates; a row without a doc_id stays only if its whole group has none; rows of one
+doc_id with unlike texts stay; of repeated rows one stays; columns of the table are kept by all but the last stage, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import byte_bpe, common, decontaminate, pii, simhash, toxicity
-from tessera.llm.queries import BYTE_RANKS, PII_KEY
+from tessera.llm.queries import BYTE_RANKS, pii_key
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +39,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values as pseudonyms; n_chars follows the text."""
-    done = pii.pseudonymise(docs, PII_KEY, counts=False)
+    done = pii.pseudonymise(docs, pii_key(spark), counts=False)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 
