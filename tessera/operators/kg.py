@@ -6,8 +6,6 @@ small, and the closure over them is what loops run on.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -15,22 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.text import local_name
+from tessera.sources.shared import written
 
 TYPE, SUBCLASS, SUBPROPERTY, DOMAIN, RANGE, LABEL, SAME = ("type", "subClassOf", "subPropertyOf", "domain", "range", "label", "sameAs")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table in the shared folder: a loop's lineage is cut there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def transitive(edges: DataFrame, name: str) -> DataFrame:
     """(a, b) of every path of edges a -> b, semi-naive: only new pairs are extended in the next round."""
     all_pairs = new = written(edges.select("a", "b").filter("a <> b").distinct(), name)
@@ -50,12 +37,12 @@ def closure(triples: DataFrame) -> DataFrame:
     triple = lambda df, s, p, o, lit=F.lit(False): df.select(s.alias("s"), p.alias("p"), o.alias("o"), lit.alias("o_is_literal"))
     c = F.col
     schema = triple(classes, c("a"), F.lit(SUBCLASS), c("b")).unionByName(triple(properties, c("a"), F.lit(SUBPROPERTY), c("b")))
-    facts = triples.unionByName(triple(triples.join(properties, c("p") == c("a")), c("s"), c("b"), c("o"), c("o_is_literal")))
+    facts = written(triples.select("s", "p", "o", "o_is_literal").unionByName(triple(triples.join(properties, c("p") == c("a")), c("s"), c("b"), c("o"), c("o_is_literal"))), "facts")
     by_domain = triple(facts.join(pairs(DOMAIN), c("p") == c("a")), c("s"), F.lit(TYPE), c("b"))
     by_range = triple(facts.filter(~c("o_is_literal")).join(pairs(RANGE), c("p") == c("a")), c("o"), F.lit(TYPE), c("b"))
-    types = facts.filter(c("p") == TYPE).unionByName(by_domain).unionByName(by_range)
+    types = written(facts.filter(c("p") == TYPE).unionByName(by_domain).unionByName(by_range).distinct(), "types")
     lifted = triple(types.join(classes, c("o") == c("a")), c("s"), F.lit(TYPE), c("b"))
-    return facts.unionByName(schema).unionByName(by_domain).unionByName(by_range).unionByName(lifted).distinct()
+    return facts.unionByName(schema).unionByName(types).unionByName(lifted).distinct()
 
 
 @dataclass(frozen=True)

@@ -1,13 +1,15 @@
 """Sparse, dense, hybrid and per-session top-k retrieval.
 
-Sparse search joins the query's terms to an inverted index (term, pid, weight); frequent terms are cut by stop words and a
-document-frequency limit, and the query side is broadcast by Spark when its size allows. Dense search multiplies blocks of
+Sparse search joins the query's terms to an inverted index (term, pid, tf) that is written once to the shared folder; frequent
+terms are cut by stop words and, where a caller sets it, by a document-frequency limit; the query side is broadcast by Spark
+when its size allows. Dense search multiplies blocks of
 vectors in Arrow batches by the query matrix and keeps k of each batch before anything is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.routing import ranked
+from tessera.sources.shared import written
 
 #: Default stop words (fixed values); callers pass their own list for other languages or a fuller one.
 STOP_WORDS = (
@@ -24,7 +27,7 @@ STOP_WORDS = (
     "him his how i if in into is it its me more most my no not of on or our out over she should so some such than that the their them then "
     "there these they this those to too under until up was we were what when where which while who why will with would you your"
 ).split()
-#: Queries that are multiplied at once: dense search asks more in blocks, hybrid search checks its query set against it.
+#: Queries that are multiplied at once; more are asked in blocks.
 MOST_QUERIES = 10_000
 #: Scores of a block of queries that a task of the dense search holds at once.
 CELLS = 2_000_000
@@ -48,24 +51,42 @@ def term_counts(df: DataFrame, key: str, text: str, stop_words: Sequence[str] =
     return words.select(key, F.explode(grams(F.col("_w"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def tfidf_index(passages: DataFrame, key: str = "pid", text: str = "text", most_df: float = 1.0, stop_words: Sequence[str] = STOP_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(term, idf) and (term, pid, w): smoothed idf, rows of unit length; terms in more than `most_df` of passages are cut."""
-    tf = term_counts(passages, key, text, stop_words)
+@dataclass
+class Index:
+    """postings (term, key, tf), idf (term, idf) and norms (key, norm) of passages, as tables of the shared folder."""
+
+    postings: DataFrame
+    idf: DataFrame
+    norms: DataFrame
+    key: str
+
+    def weights(self) -> DataFrame:
+        """term, key and w: rows of unit length."""
+        weighted = self.postings.join(self.idf, "term").join(self.norms, self.key)
+        return weighted.select("term", self.key, (F.col("tf") * F.col("idf") / F.col("norm")).alias("w"))
+
+
+def tfidf_index(passages: DataFrame, key: str = "pid", text: str = "text", most_df: float = 1.0, stop_words: Sequence[str] = STOP_WORDS) -> Index:
+    """The inverted index of passages with smoothed idf; terms in more than `most_df` of passages are cut. Texts are split once."""
+    postings = written(term_counts(passages, key, text, stop_words), "postings")
     n = passages.agg(F.count("*").alias("n"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).filter(F.col("df") <= most_df * F.col("n"))
-    idf = df.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf")).drop("idf", "tf")
-    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return idf, weighted.join(norms, key).select("term", key, (F.col("w") / F.col("norm")).alias("w"))
+    df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).filter(F.col("df") <= most_df * F.col("n"))
+    idf = written(df.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
+    w = F.col("tf") * F.col("idf")
+    norms = written(postings.join(idf, "term").groupBy(key).agg(F.sqrt(F.sum(w * w)).alias("norm")), "norms")
+    return Index(postings, idf, norms, key)
+
 
+def tfidf_scores(queries: DataFrame, index: Index, qid: str = "qid", text: str = "query", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """qid, key and cosine of every passage that shares a term with the query; others, whose score is 0, have no row.
 
-def tfidf_scores(queries: DataFrame, index: tuple[DataFrame, DataFrame], qid: str = "qid", key: str = "pid", text: str = "query", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """qid, pid and cosine of every passage that shares a term with the query; others, whose score is 0, have no row."""
-    idf, postings = index
-    q = term_counts(queries, qid, text, stop_words).join(idf, "term").withColumn("wq", F.col("tf") * F.col("idf")).select(qid, "term", "wq")
+    Only postings of the queries' terms are weighted; passages' norms are joined to the sums.
+    """
+    q = term_counts(queries, qid, text, stop_words).join(index.idf, "term").withColumn("wq", F.col("tf") * F.col("idf"))
     norms = q.groupBy(qid).agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("norm"))
-    q = q.join(norms, qid).select(qid, "term", (F.col("wq") / F.col("norm")).alias("wq"))
-    return postings.join(q, "term").groupBy(qid, key).agg(F.sum(F.col("wq") * F.col("w")).alias("score"))
+    q = q.join(norms, qid).select(qid, "term", (F.col("wq") * F.col("idf") / F.col("norm")).alias("wq"))
+    sums = index.postings.join(q, "term").groupBy(qid, index.key).agg(F.sum(F.col("wq") * F.col("tf")).alias("sum"))
+    return sums.join(index.norms, index.key).select(qid, index.key, (F.col("sum") / F.col("norm")).alias("score"))
 
 
 def overlap_scores(queries: DataFrame, passages: DataFrame, qid: str = "qid", key: str = "pid") -> DataFrame:
@@ -141,36 +162,57 @@ def hybrid_topk(sparse: DataFrame, vectors: DataFrame, queries: DataFrame, k: in
     """weight * z(sparse) + (1 - weight) * z(dense) over all passages, top k; a spread of 0 counts as z = 0.
 
     Moments come without listing all pairs: sparse ones from the matches and the number of passages; dense ones from the mean
-    vector and the matrix of mean products (one pass). The sum needs a dense score for every passage: block products again,
-    with the sparse scores joined to the vectors as an array for each passage.
+    vector and the matrix of mean products, summed in one pass. The sum needs a dense score for every passage: block products
+    again, with the sparse scores joined to the vectors as an array for each passage. Queries are asked in blocks of
+    MOST_QUERIES; queries and passages with a null vector are left out; without queries or passages there are no rows.
     """
-    asked = queries.select(qid, "embedding").orderBy(qid).limit(MOST_QUERIES + 1).collect()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: ask them in blocks")
-    ids, width = [r[qid] for r in asked], len(asked[0]["embedding"])
-    q = np.array([r["embedding"] for r in asked], np.float64)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
+    schema = f"{qid} {dict(queries.dtypes)[qid]}, {key} {dict(vectors.dtypes)[key]}, score double"
+    pool = vectors.filter(F.col("embedding").isNotNull()).select(key, "embedding")
+    asked = queries.select(qid, "embedding").filter(F.col("embedding").isNotNull()).orderBy(qid).toLocalIterator()
+    near, moments, scores = None, None, None
+    while block := list(islice(asked, MOST_QUERIES)):
+        if moments is None:
+            moments, scores = _dense_moments(pool, len(block[0]["embedding"])), written(sparse, "sparse-scores")
+            if not moments[0]:
+                break
+        ids = pool.sparkSession.createDataFrame([(r[qid],) for r in block], queries.select(qid).schema)
+        found = _hybrid_block(scores.join(F.broadcast(ids), qid, "left_semi"), pool, block, moments, k, weight, qid, key, schema)
+        near = found if near is None else near.unionByName(found)
+    if near is None:
+        near = pool.sparkSession.createDataFrame([], schema)
+    return ranked(near, [qid], "score", key, k)
+
+
+def _dense_moments(pool: DataFrame, width: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of vectors, their mean, and their mean products, by one pass; at most 1 + width + width ** 2 numbers arrive."""
 
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, mean, products = 0, np.zeros(width), np.zeros((width, width))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, products = 0, np.zeros(width), np.zeros((width, width))
         for batch in batches:
             if batch.num_rows:
                 m = _matrix(batch.column(0), width)
-                n, mean, products = n + len(m), mean + m.sum(0), products + m.T @ m
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([mean.tolist()]), pa.array([products.ravel().tolist()])], ["n", "mean", "products"])
-
-    parts = vectors.select("embedding").mapInArrow(moments, "n long, mean array<double>, products array<double>")
-    add = lambda c, size: F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(size)])
-    total = parts.agg(F.sum("n").alias("n"), add("mean", width).alias("mean")).first()
-    products = parts.select(F.posexplode("products").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toPandas()["x"].to_numpy().reshape(width, width)
-    n = total["n"]
-    dense_mean = q @ (np.array(total["mean"]) / n)
-    dense_sd = np.sqrt(np.maximum(0, np.einsum("ij,jk,ik->i", q, products / n, q) - dense_mean**2))
-    sums = {r[qid]: (r["a"], r["b"]) for r in sparse.groupBy(qid).agg(F.sum("score").alias("a"), F.sum(F.col("score") * F.col("score")).alias("b")).collect()}
+                n, total, products = n + len(m), total + m.sum(0), products + m.T @ m
+        values = np.concatenate([[n], total, products.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["i", "x"])
+
+    parts = pool.select("embedding").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toPandas()["x"].to_numpy()
+    if not len(parts) or not parts[0]:
+        return 0, np.zeros(width), np.zeros((width, width))
+    return int(parts[0]), parts[1 : 1 + width] / parts[0], parts[1 + width :].reshape(width, width) / parts[0]
+
+
+def _hybrid_block(scores: DataFrame, pool: DataFrame, block: list, moments: tuple, k: int, weight: float, qid: str, key: str, schema: str) -> DataFrame:
+    """The k best of each Arrow batch for each query of a block."""
+    n, mean, products = moments
+    ids, width = [r[qid] for r in block], len(mean)
+    q = np.array([r["embedding"] for r in block], np.float64)
+    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
+    dense_mean = q @ mean
+    dense_sd = np.sqrt(np.maximum(0, np.einsum("ij,jk,ik->i", q, products, q) - dense_mean**2))
+    sums = {r[qid]: (r["a"], r["b"]) for r in scores.groupBy(qid).agg(F.sum("score").alias("a"), F.sum(F.col("score") * F.col("score")).alias("b")).collect()}
     sparse_mean = np.array([sums.get(i, (0, 0))[0] / n for i in ids])
     sparse_sd = np.sqrt(np.maximum(0, np.array([sums.get(i, (0, 0))[1] / n for i in ids]) - sparse_mean**2))
     place = {v: i for i, v in enumerate(ids)}
-    kind = dict(queries.dtypes)[qid], dict(vectors.dtypes)[key]
     z = lambda x, mean, sd: np.where(sd[:, None] > 1e-9, (x - mean[:, None]) / np.where(sd > 1e-9, sd, 1)[:, None], 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,14 +224,13 @@ def hybrid_topk(sparse: DataFrame, vectors: DataFrame, queries: DataFrame, k: in
             for j, hits in enumerate(batch.column(2).to_pylist()):
                 for h in hits or ():
                     matched[place[h["q"]], j] = h["s"]
-            scores = np.round(weight * z(matched, sparse_mean, sparse_sd) + (1 - weight) * z(dense, dense_mean, dense_sd), 6)
-            order = np.lexsort([np.broadcast_to(names, scores.shape), -scores], axis=1)[:, :k]
+            fused = np.round(weight * z(matched, sparse_mean, sparse_sd) + (1 - weight) * z(dense, dense_mean, dense_sd), 6)
+            order = np.lexsort([np.broadcast_to(names, fused.shape), -fused], axis=1)[:, :k]
             rows = np.repeat(np.arange(len(ids)), order.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in rows]), pa.array(names[order.ravel()]), pa.array(scores[rows, order.ravel()])], [qid, key, "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in rows]), pa.array(names[order.ravel()]), pa.array(fused[rows, order.ravel()])], [qid, key, "score"])
 
-    hits = sparse.groupBy(key).agg(F.collect_list(F.struct(F.col(qid).alias("q"), F.col("score").alias("s"))).alias("hits"))
-    near = vectors.join(hits, key, "left").select(key, "embedding", "hits").mapInArrow(run, f"{qid} {kind[0]}, {key} {kind[1]}, score double")
-    return ranked(near, [qid], "score", key, k)
+    hits = scores.groupBy(key).agg(F.collect_list(F.struct(F.col(qid).alias("q"), F.col("score").alias("s"))).alias("hits"))
+    return pool.join(hits, key, "left").select(key, "embedding", "hits").mapInArrow(run, schema)
 
 
 def hash_embed(text: Column, dim: int = 16) -> Column:

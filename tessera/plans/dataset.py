@@ -104,14 +104,8 @@ def score_success(spark, d):
     return said(spark, d).select("id", "type", N.score_success(F.col("type"), *got()).alias("success"))
 
 
-@register("domain_report_rows", with_views(f"SELECT id, type, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS stored, {SUCCESS} AS rescored FROM said WHERE id % 3 = 0", "said"))
+@register("domain_report_rows", with_views(f"SELECT id, type, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS stored, {SUCCESS} AS rescored FROM said", "said"))
 def domain_report_rows(spark, d):
-    own = table(spark, d, "part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"))
-    return reported(said(spark, d).join(own, "id", "left_semi"))
-
-
-@register("domain_report_rows_whole", with_views(f"SELECT id, type, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS stored, {SUCCESS} AS rescored FROM said", "said"))
-def domain_report_rows_whole(spark, d):
     """Rows of every domain."""
     return reported(said(spark, d))
 
@@ -160,13 +154,8 @@ def lint_questions(spark, d):
     return N.lint(questions(spark, d))
 
 
-@register("validate_questions", """SELECT event_id, unnest(list_filter([CASE WHEN contains(props, '...') THEN 'placeholder' END, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 'missing' END], lambda x: x IS NOT NULL)) AS violation FROM events WHERE event_id % 2 = 0""")
+@register("validate_questions", """SELECT event_id, unnest(list_filter([CASE WHEN contains(props, '...') THEN 'placeholder' END, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 'missing' END], lambda x: x IS NOT NULL)) AS violation FROM events""")
 def validate_questions(spark, d):
-    return violations(table(spark, d, "events").filter("event_id % 2 = 0"))
-
-
-@register("validate_questions_whole", """SELECT event_id, unnest(list_filter([CASE WHEN contains(props, '...') THEN 'placeholder' END, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 'missing' END], lambda x: x IS NOT NULL)) AS violation FROM events""")
-def validate_questions_whole(spark, d):
     """Every row is parsed and checked."""
     return violations(table(spark, d, "events"))
 
@@ -305,20 +294,12 @@ def contrastive_negatives(spark, d):
     return T.contrastive_negatives(questions(spark, d)).select("id", "contrastive")
 
 
-@register("flatten_corpus", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, pid, text FROM (SELECT doc_id, CAST(doc_id AS VARCHAR) || '#p1' AS pid, trim(text) AS text FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, CAST(doc_id AS VARCHAR) || '#' || CAST(i AS VARCHAR), trim(c) FROM (SELECT doc_id, unnest([substr(text, 1, 50), substr(text, 51, 50)]) AS c, unnest([1, 2]) AS i FROM documents WHERE doc_id % 3 = 0)) WHERE text <> ''")
-def flatten_corpus(spark, d):
-    key = F.col("doc_id").cast("string")
-    piece = lambda i, start: F.struct(F.concat(key, F.lit(f"#{i}")).alias("pid"), F.substring("text", start, 50).alias("text"))
-    docs = table(spark, d, "documents").select(key.alias("doc_id"), F.lit(None).cast("string").alias("pid"), "text", F.when(F.col("doc_id") % 3 == 0, F.array(piece(1, 1), piece(2, 51))).alias("chunks"))
-    return files.flatten_corpus(docs)
-
-
-#: Characters of a chunk of flatten_corpus_whole.
+#: Characters of a chunk of flatten_corpus.
 PIECE = 1000
 
 
-@register("flatten_corpus_whole", f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, pid, text FROM (SELECT doc_id, CAST(doc_id AS VARCHAR) || '#p1' AS pid, trim(text) AS text FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, CAST(doc_id AS VARCHAR) || '#' || CAST(i AS VARCHAR), trim(substr(text, CAST((i - 1) * {PIECE} + 1 AS BIGINT), {PIECE})) FROM (SELECT doc_id, text, unnest(range(1, length(text) // {PIECE} + 2)) AS i FROM documents WHERE doc_id % 3 = 0)) WHERE text <> ''")
-def flatten_corpus_whole(spark, d):
+@register("flatten_corpus", f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, pid, text FROM (SELECT doc_id, CAST(doc_id AS VARCHAR) || '#p1' AS pid, trim(text) AS text FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, CAST(doc_id AS VARCHAR) || '#' || CAST(i AS VARCHAR), trim(substr(text, CAST((i - 1) * {PIECE} + 1 AS BIGINT), {PIECE})) FROM (SELECT doc_id, text, unnest(range(1, length(text) // {PIECE} + 2)) AS i FROM documents WHERE doc_id % 3 = 0)) WHERE text <> ''")
+def flatten_corpus(spark, d):
     """Chunks of PIECE characters over the whole text."""
     key = F.col("doc_id").cast("string")
     places = F.sequence(F.lit(1), F.floor(F.length("text") / PIECE).cast("int") + 1)
@@ -364,9 +345,9 @@ def text_rule_fires(spark, d):
     return contexts(spark, d).select("id", F.exists("contexts", lambda c: c.rlike(FIRES)).alias("fired"))
 
 
-@register("runs_trace_join", with_views(f"SELECT runs.mode, count(*) AS n_total, count(*) FILTER (WHERE coalesce(fired, false)) AS fired_n, round(avg(success) FILTER (WHERE fired), 6) AS precision FROM runs LEFT JOIN (SELECT id, bool_or({RULE_TEXTS}) AS fired FROM contexts WHERE CAST(id AS BIGINT) % 3 <> 0 GROUP BY id) t USING (id) GROUP BY mode", "runs", "contexts"))
+@register("runs_trace_join", with_views(f"SELECT runs.mode, count(*) AS n_total, count(*) FILTER (WHERE coalesce(fired, false)) AS fired_n, round(avg(success) FILTER (WHERE fired), 6) AS precision FROM runs LEFT JOIN (SELECT id, bool_or({RULE_TEXTS}) AS fired FROM contexts GROUP BY id) t USING (id) GROUP BY mode", "runs", "contexts"))
 def runs_trace_join(spark, d):
-    traces = contexts(spark, d).filter("cast(id as bigint) % 3 <> 0")
+    traces = contexts(spark, d)
     joined = runs(spark, d).join(traces, "id", "left").withColumn("fired", F.exists(F.coalesce("contexts", F.array().cast("array<string>")), lambda c: c.rlike(FIRES)))
     return joined.groupBy("mode").agg(F.count("*").alias("n_total"), F.count_if("fired").alias("fired_n"), rounded(F.avg(F.when(F.col("fired"), F.col("success")))).alias("precision"))
 
@@ -376,13 +357,8 @@ def trace_digest(spark, d):
     return R.sample_per_group(runs(spark, d).select("mode", "success", "id"), ["mode", "success"], "id", 4, seed="5").groupBy("mode", "success").agg(F.count("*").alias("n"), F.min("id").alias("least_id"))
 
 
-@register("sym_trace_sample", with_views("SELECT id, n_contexts FROM (SELECT id, count(*) AS n_contexts FROM contexts WHERE CAST(id AS BIGINT) % 4 = 0 GROUP BY id) ORDER BY id LIMIT 10", "contexts"))
+@register("sym_trace_sample", with_views(f"SELECT id, n_contexts FROM (SELECT id, count(*) AS n_contexts FROM contexts GROUP BY id HAVING bool_or({RULE_TEXTS})) ORDER BY id LIMIT 10", "contexts"))
 def sym_trace_sample(spark, d):
-    return contexts(spark, d).filter("cast(id as bigint) % 4 = 0").select("id", F.size("contexts").cast("long").alias("n_contexts")).orderBy("id").limit(10)
-
-
-@register("sym_trace_sample_whole", with_views(f"SELECT id, n_contexts FROM (SELECT id, count(*) AS n_contexts FROM contexts GROUP BY id HAVING bool_or({RULE_TEXTS})) ORDER BY id LIMIT 10", "contexts"))
-def sym_trace_sample_whole(spark, d):
     """The first rows that have a symbolic trace: a rule fired in one of their contexts."""
     traced = contexts(spark, d).filter(F.exists("contexts", lambda c: c.rlike(FIRES)))
     return traced.select("id", F.size("contexts").cast("long").alias("n_contexts")).orderBy("id").limit(10)

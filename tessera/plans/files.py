@@ -1,28 +1,19 @@
 """Round trips through the readers and writers, and the streaming jobs, over the given tables."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from tessera.registry import register
 from tessera.sources import files
+from tessera.sources.shared import scratch
 from tessera.sources.views import runs, table, with_views
 from tessera.streaming import jobs
 
-#: Rows of a file that ingest_files_whole writes.
+#: Rows of a file that ingest_files writes.
 LINES_EACH = 10_000
 
 
-def scratch(spark, name):
-    """A new folder that driver and executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @register("read_jsonl", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def read_jsonl(spark, d):
     path = scratch(spark, "jsonl")
@@ -39,11 +30,11 @@ def write_jsonl(spark, d):
     return files.read_jsonl(spark, path, "item_id long, text string", strict=True).agg(F.count("*").alias("n"))
 
 
-@register("read_runs", with_views("SELECT mode, count(*) AS n, count(*) FILTER (WHERE mode = 'M1') * 0.5 AS defaulted FROM runs WHERE mode IN ('M1', 'M2') GROUP BY mode", "runs"))
+@register("read_runs", with_views("SELECT mode, count(*) AS n, count(*) FILTER (WHERE mode = 'M1') * 0.5 AS defaulted FROM runs GROUP BY mode", "runs"))
 def read_runs(spark, d):
     a, b, df = scratch(spark, "a"), scratch(spark, "b"), runs(spark, d)
     files.write_csv(df.filter("mode = 'M1'").select("id", "mode", "success"), a)
-    files.write_csv(df.filter("mode = 'M2'").select("id", "mode", "success", F.lit(0.0).alias("confidence")), b)
+    files.write_csv(df.filter("mode <> 'M1'").select("id", "mode", "success", F.lit(0.0).alias("confidence")), b)
     back = files.read_runs(spark, [a, b], {"confidence": 0.5})
     return back.groupBy("mode").agg(F.count("*").alias("n"), F.sum("confidence").alias("defaulted"))
 
@@ -55,11 +46,11 @@ def write_csv(spark, d):
     return spark.read.option("header", True).csv(path).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
-@register("append_trace", with_views("SELECT mode, count(*) AS n FROM runs WHERE mode IN ('M1', 'M2', 'M3') GROUP BY mode", "runs"))
+@register("append_trace", with_views("SELECT mode, count(*) AS n FROM runs GROUP BY mode", "runs"))
 def append_trace(spark, d):
     path, df = scratch(spark, "trace"), runs(spark, d).select("id", "mode", "success", F.array(F.struct(F.lit("MEM").alias("source"))).alias("steps"))
     files.append_trace(df.filter("mode in ('M1', 'M2')"), path)
-    files.append_trace(df.filter("mode = 'M3'"), path)
+    files.append_trace(df.filter("mode not in ('M1', 'M2')"), path)
     return spark.read.parquet(path).groupBy("mode").agg(F.count("*").alias("n"))
 
 
@@ -77,16 +68,8 @@ def read_text_docs(spark, d):
     return files.read_text_docs(spark, path, one_line=True).agg(F.count("*").alias("n_files"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@register("ingest_files", "SELECT 'csv' AS kind, (SELECT count(*) FROM nation) AS n_lines UNION ALL SELECT 'json', (SELECT count(*) FROM region)")
+@register("ingest_files", "SELECT 'csv' AS kind, (SELECT count(*) FROM orders) AS n_lines UNION ALL SELECT 'json', (SELECT count(*) FROM events)")
 def ingest_files(spark, d):
-    path = scratch(spark, "ingest")
-    table(spark, d, "nation").coalesce(1).write.option("header", True).csv(path)
-    table(spark, d, "region").coalesce(1).write.mode("append").json(path)
-    return _ingested_lines(spark, path)
-
-
-@register("ingest_files_whole", "SELECT 'csv' AS kind, (SELECT count(*) FROM orders) AS n_lines UNION ALL SELECT 'json', (SELECT count(*) FROM events)")
-def ingest_files_whole(spark, d):
     """Tables that grow, in files of bounded size, since a file is a row to the reader."""
     path = scratch(spark, "ingest")
     table(spark, d, "orders").write.option("header", True).option("maxRecordsPerFile", LINES_EACH).csv(path)

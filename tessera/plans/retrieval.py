@@ -6,7 +6,7 @@ from tessera.operators import memory as M
 from tessera.operators import retrieval as R
 from tessera.operators.routing import ranked
 from tessera.operators.stats import rounded
-from tessera.registry import ORACLES, register
+from tessera.registry import register
 from tessera.sources.views import table, view, with_views
 
 STOP = "[" + ", ".join(f"'{w}'" for w in R.STOP_WORDS) + "]"
@@ -48,7 +48,7 @@ def extractive_answer(spark, d):
 
 @register("tfidf_index", with_views("SELECT term, pid, round(w, 6) AS w FROM post", "post"))
 def tfidf_index(spark, d):
-    return R.tfidf_index(passages(spark, d))[1].select("term", "pid", rounded(F.col("w")).alias("w"))
+    return R.tfidf_index(passages(spark, d)).weights().select("term", "pid", rounded(F.col("w")).alias("w"))
 
 
 @register("tfidf_search", with_views("SELECT qid, pid, score, rank FROM hits", "hits"))
@@ -90,26 +90,26 @@ def snippet(spark, d):
     return table(spark, d, "documents").select("doc_id", cut(F.col("text")).alias("snippet"))
 
 
-#: The queries of the dense searches: a fixed few, and in the `_whole` queries a share that grows with the table.
-FEW, WHOLE = "vec_id < 20", "vec_id % 50 = 0"
+#: The queries of the dense searches: a share that grows with the table.
+ASKED = "vec_id % 50 = 0"
 COSINE = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
-@register("topk_dense", f"""WITH s AS (SELECT b.vec_id AS qid, a.vec_id AS pid, {COSINE} AS score FROM embeddings a, embeddings b WHERE b.vec_id < 20)
+@register("topk_dense", f"""WITH s AS (SELECT b.vec_id AS qid, a.vec_id AS pid, {COSINE} AS score FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0)
 SELECT qid, pid, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, pid) AS rank FROM s) WHERE rank <= 5""")
-def topk_dense(spark, d, asked=FEW):
+def topk_dense(spark, d):
     e = table(spark, d, "embeddings")
-    vectors, queries = e.select(F.col("vec_id").alias("pid"), "embedding"), e.filter(asked).select(F.col("vec_id").alias("qid"), "embedding")
+    vectors, queries = e.select(F.col("vec_id").alias("pid"), "embedding"), e.filter(ASKED).select(F.col("vec_id").alias("qid"), "embedding")
     return R.dense_topk(vectors, queries, 5).withColumn("score", rounded(F.col("score"), 5))
 
 
-SESSION = f"""WITH s AS (SELECT a.label AS session_id, b.vec_id AS qid, a.vec_id AS memory_id, round({COSINE}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE b.vec_id < 20)
+SESSION = f"""WITH s AS (SELECT a.label AS session_id, b.vec_id AS qid, a.vec_id AS memory_id, round({COSINE}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE b.vec_id % 50 = 0)
 SELECT session_id, qid, memory_id, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, memory_id) AS rank FROM s) WHERE rank <= 5"""
 
 
-def sessions(spark, d, asked=FEW):
+def sessions(spark, d):
     e = table(spark, d, "embeddings").withColumnRenamed("label", "session_id")
-    return e.withColumnRenamed("vec_id", "memory_id"), e.filter(asked).withColumnRenamed("vec_id", "qid")
+    return e.withColumnRenamed("vec_id", "memory_id"), e.filter(ASKED).withColumnRenamed("vec_id", "qid")
 
 
 def five_digits(score):
@@ -118,13 +118,13 @@ def five_digits(score):
 
 
 @register("topk_session", SESSION)
-def topk_session(spark, d, asked=FEW):
-    return R.session_topk(*sessions(spark, d, asked), 5).withColumn("score", five_digits(F.col("score")))
+def topk_session(spark, d):
+    return R.session_topk(*sessions(spark, d), 5).withColumn("score", five_digits(F.col("score")))
 
 
 @register("min_score_filter", f"SELECT session_id, qid, memory_id, rank FROM ({SESSION}) WHERE score >= 0.5")
-def min_score_filter(spark, d, asked=FEW):
-    return R.session_topk(*sessions(spark, d, asked), 5, least=0.5).filter(five_digits(F.col("score")) >= 0.5).drop("score")
+def min_score_filter(spark, d):
+    return R.session_topk(*sessions(spark, d), 5, least=0.5).filter(five_digits(F.col("score")) >= 0.5).drop("score")
 
 
 HYBRID = f"""vecs AS (SELECT vec_id AS pid, embedding::DOUBLE[] AS e FROM embeddings), qs AS (SELECT asks.qid, vecs.e FROM asks JOIN vecs ON asks.qid = vecs.pid),
@@ -197,25 +197,15 @@ def reindex(spark, d):
     return M.reindex(m, unit).groupBy("session_id").agg(rounded(F.sum(F.get("embedding", F.lit(0))), 4).alias("checksum"))
 
 
-@register("two_store_choice", f"""WITH best AS (SELECT qid, max(score) AS score FROM (SELECT b.vec_id AS qid, {COSINE} AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE b.vec_id < 20) GROUP BY qid)
+@register("two_store_choice", f"""WITH best AS (SELECT qid, max(score) AS score FROM (SELECT b.vec_id AS qid, {COSINE} AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE b.vec_id % 50 = 0) GROUP BY qid)
 SELECT choice, count(*) AS n FROM (SELECT CASE WHEN score >= 0.5 THEN 'memory' WHEN qid % 2 = 0 THEN 'doc' ELSE 'none' END AS choice FROM best) GROUP BY choice""")
-def two_store_choice(spark, d, asked=FEW):
-    m, q = sessions(spark, d, asked)
+def two_store_choice(spark, d):
+    m, q = sessions(spark, d)
     best = R.session_topk(m, q, 2).filter("memory_id <> qid").groupBy("qid").agg(F.max("score").alias("score"))
     choice = R.two_store_choice(F.col("score"), F.when(F.col("qid") % 2 == 0, F.lit(1.0)), 0.5)
     return best.groupBy(choice.alias("choice")).agg(F.count("*").alias("n"))
 
 
-def whole(query):
-    """Files `query` once more as `{name}_whole`, asked by WHOLE in place of FEW."""
-    name = query.__name__
-    register(f"{name}_whole", ORACLES[name].replace(FEW, WHOLE))(lambda spark, d: query(spark, d, WHOLE))
-
-
-for query in (topk_dense, topk_session, min_score_filter, two_store_choice):
-    whole(query)
-
-
 CITED = "regexp_matches(answer, '\\[[0-9]+\\]')"
 
 
