@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.routing import ranked
-from tessera.sources.shared import written
+from tessera.sources.shared import partitions_for, written
 
 #: Default stop words (fixed values); callers pass their own list for other languages or a fuller one.
 STOP_WORDS = (
@@ -29,6 +29,8 @@ STOP_WORDS = (
 ).split()
 #: Queries that are multiplied at once; more are asked in blocks.
 MOST_QUERIES = 10_000
+#: Size of the texts that a task splits into terms, as they are stored.
+TEXT_BYTES = 32 << 20
 #: Scores of a block of queries that a task of the dense search holds at once.
 CELLS = 2_000_000
 
@@ -46,8 +48,13 @@ def grams(words: Column) -> Column:
 
 
 def term_counts(df: DataFrame, key: str, text: str, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """key, term and tf of words and pairs."""
-    words = df.select(key, tokens(F.col(text), stop_words).alias("_w"))
+    """key, term and tf of words and pairs.
+
+    Texts are dealt by key before they are split: the counts need no shuffle then, and terms on end are many times the texts.
+    """
+    texts = df.select(key, text)
+    dealt = texts.repartition(partitions_for(texts, TEXT_BYTES), key)
+    words = dealt.select(key, tokens(F.col(text), stop_words).alias("_w"))
     return words.select(key, F.explode(grams(F.col("_w"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
