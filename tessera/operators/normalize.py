@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,11 +87,23 @@ def score_logic(answer: Column, label: Column) -> Column:
     return F.coalesce((said == want) | said.startswith(F.concat(want, F.lit(" "))), F.lit(False)).cast("int")
 
 
-def score_success(kind: Column, answer: Column, gold: Column, aliases: Column) -> Column:
-    """By type; logic compares labels only for yes and no, else looks for the gold; unknown types score 0."""
+def _score_yes_no(answer: Column, gold: Column, aliases: Column) -> Column:
+    """Labels are compared only for yes and no, else the gold is looked for."""
     inside = F.coalesce((F.lower(gold) != "") & F.lower(answer).contains(F.lower(gold)), F.lit(False)).cast("int")
-    logic = F.when(normal(gold).isin("yes", "no"), score_logic(answer, gold)).otherwise(inside)
-    return F.when(kind == "recall", score_recall(answer, gold, aliases)).when(kind == "open", score_open(answer, gold)).when(kind == "logic", logic).otherwise(0)
+    return F.when(normal(gold).isin("yes", "no"), score_logic(answer, gold)).otherwise(inside)
+
+
+Scorer = Callable[[Column, Column, Column], Column]
+#: The scorer of each type of question, from answer, gold and aliases.
+SCORERS: Mapping[str, Scorer] = {"recall": score_recall, "open": lambda answer, gold, aliases: score_open(answer, gold), "logic": _score_yes_no}
+
+
+def score_success(kind: Column, answer: Column, gold: Column, aliases: Column, scorers: Mapping[str, Scorer] = SCORERS) -> Column:
+    """By type, with the scorer that `scorers` has for it; types without one score 0."""
+    out = F.lit(0)
+    for name, scorer in scorers.items():
+        out = F.when(kind == name, scorer(answer, gold, aliases)).otherwise(out)
+    return out
 
 
 def repair_success(success: Column, answer: Column, expected: Column) -> Column:

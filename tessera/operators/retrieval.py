@@ -277,3 +277,15 @@ def extractive_answers(queries: DataFrame, hits: DataFrame, key: str = "qid", n:
 def two_store_choice(memory: Column, document: Column, threshold: float) -> Column:
     """memory if its score reaches the threshold, else doc if there is one, else none."""
     return F.when(memory >= threshold, "memory").when(document.isNotNull(), "doc").otherwise("none")
+
+
+def query_features(queries: DataFrame, memory: DataFrame, search: DataFrame, fired: Column, qid: str = "qid") -> DataFrame:
+    """The features that routers read: length, digits and product of a query, its best scores in either store, and `fired`.
+
+    queries: qid, query and product; memory, search: qid, score and rank of the three best hits; no hits count as 0.
+    """
+    top = lambda hits, name: hits.filter("rank <= 3").groupBy(qid).agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias(f"{name}_top"), F.max("score").alias(f"{name}_max3"))
+    joined = queries.join(top(memory, "mem"), qid, "left").join(top(search, "search"), qid, "left")
+    scores = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("mem_top", "mem_max3", "search_top", "search_max3")]
+    given = F.coalesce(F.col("product") != "", F.lit(False))
+    return joined.select(qid, F.length("query").cast("long").alias("len_query"), F.col("query").rlike("[0-9]").alias("has_number"), given.alias("has_product"), *scores, F.coalesce(fired, F.lit(False)).alias("sym_fired"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -163,12 +163,18 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b)))
 
 
-def episode_reward(answer: Column, contains: Column, want_req: Column, want_miss: Column, got_req: Column, got_miss: Column) -> Column:
-    """Reward of a logged episode: +1 or -1 by substring; else 2 * mean Jaccard - 0.5; -0.2 without gold; -0.5 unanswered."""
-    by_text = F.when(F.contains(F.lower(answer), F.lower(contains)), 1.0).otherwise(-1.0)
-    sets = jaccard(want_req, got_req) + jaccard(want_miss, got_miss) - 0.5
-    scored = F.when(contains.isNotNull(), by_text).when(F.size(want_req) + F.size(want_miss) > 0, sets).otherwise(-0.2)
-    return F.when(answer.isNull(), -0.5).otherwise(scored)
+def default_evaluator(episode: Mapping[str, Column]) -> Column:
+    """+1 or -1 by substring of the gold text; else 2 * mean Jaccard of the sets - 0.5; -0.2 without gold."""
+    e = episode
+    by_text = F.when(F.contains(F.lower(e["answer"]), F.lower(e["contains"])), 1.0).otherwise(-1.0)
+    sets = jaccard(e["want_req"], e["got_req"]) + jaccard(e["want_miss"], e["got_miss"]) - 0.5
+    return F.when(e["contains"].isNotNull(), by_text).when(F.size(e["want_req"]) + F.size(e["want_miss"]) > 0, sets).otherwise(-0.2)
+
+
+def episode_reward(answer: Column, contains: Column, want_req: Column, want_miss: Column, got_req: Column, got_miss: Column, evaluator: Callable[[Mapping[str, Column]], Column] = default_evaluator) -> Column:
+    """Reward of a logged episode: what `evaluator` makes of its columns (named as the arguments); -0.5 unanswered."""
+    episode = {"answer": answer, "contains": contains, "want_req": want_req, "want_miss": want_miss, "got_req": got_req, "got_miss": got_miss}
+    return F.when(answer.isNull(), -0.5).otherwise(evaluator(episode))
 
 
 def ranked(df: DataFrame, keys: Sequence[str], score: str, tie: str, k: int) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -283,3 +283,18 @@ def pareto_sweep(df: DataFrame, alphas: Sequence[float]) -> DataFrame:
     sums = df.agg(F.avg("success").alias("a"), F.avg("cost").alias("c"), F.avg("steps").alias("s"), F.count("*").alias("n"))
     with_alpha = sums.select("*", F.explode(F.array(*[F.lit(float(x)) for x in alphas])).alias("alpha"))
     return with_alpha.select("alpha", rounded(F.col("a")).alias("accuracy"), rounded(F.col("c")).alias("avg_cost"), rounded(F.col("s")).alias("avg_steps"), "n", rounded(F.col("a") - F.col("alpha") * F.col("c")).alias("utility"))
+
+
+def ablation_drops(runs: DataFrame, base: str, key: str = "id") -> DataFrame:
+    """ablation, n, mean_drop, share_dropped and n_dropped of each other mode, over what `base` has right."""
+    right = runs.filter((F.col("mode") == base) & (F.col("success") == 1)).select(key)
+    others = runs.filter(F.col("mode") != base).join(right, key, "left_semi")
+    drop = F.greatest(F.lit(0), 1 - F.col("success"))
+    return others.groupBy(F.col("mode").alias("ablation")).agg(F.count("*").alias("n"), rounded(F.avg(drop)).alias("mean_drop"), rounded(F.avg((drop > 0).cast("int"))).alias("share_dropped"), F.count_if(drop > 0).alias("n_dropped"))
+
+
+def by_setting(runs: DataFrame, settings: Mapping[str, Column]) -> DataFrame:
+    """n, accuracy, avg_latency_ms and avg_cost by setting, value of the setting and mode; rows pass once for all settings."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("setting"), value.alias("param")) for name, value in settings.items()])).alias("_s")
+    rows = runs.select("mode", "success", "latency_ms", "cost", pairs).select("_s.*", "mode", "success", "latency_ms", "cost")
+    return rows.groupBy("setting", "param", "mode").agg(F.count("*").alias("n"), rounded(F.avg("success")).alias("accuracy"), rounded(F.avg("latency_ms"), 4).alias("avg_latency_ms"), rounded(F.avg("cost")).alias("avg_cost"))

@@ -76,16 +76,28 @@ def extract_kv(df: DataFrame, key: str, text: str) -> DataFrame:
     return first.select(key, "label", "value", "line_no")
 
 
-#: Units of numeric facts (fixed values), longer ones first.
-UNITS = "kWh|mAh|Wh|kW|kg|mm|cm|Ah|ppm|bar|psi|years|year|months|month|days|day|W|V|A|C|g|m|%"
+#: Units of numeric facts (fixed values).
+UNITS = "kWh|Wh|W|kW|V|mAh|Ah|A|°C|C|kg|g|mm|cm|m|%|ppm|bar|psi|years?|months?|days?"
+NUMERIC = rf"(?i)\b[0-9]+(?:[.,][0-9]+)? ?(?:{UNITS})(?![A-Za-z0-9])"
 
 
 def extract_numeric(df: DataFrame, key: str, text: str) -> DataFrame:
     """key and value of each number with a unit, once each, with how often it occurs."""
-    values = F.regexp_extract_all(F.col(text), F.lit(rf"(?i)(\b[0-9]+(?:[.,][0-9]+)? ?(?:{UNITS})(?![A-Za-z0-9]))"), F.lit(1))
+    values = F.regexp_extract_all(F.col(text), F.lit(f"({NUMERIC})"), F.lit(1))
     return df.select(key, F.explode(values).alias("value")).groupBy(key, "value").agg(F.count("*").alias("n"))
 
 
+def numeric_contexts(df: DataFrame, key: str, text: str, width: int = 40) -> DataFrame:
+    """key, value, start (from 0) and context of each number with a unit: the text from `width` characters before to as many after."""
+    found = df.select(key, F.col(text).alias("_t"), F.regexp_extract_all(F.col(text), F.lit(f"({NUMERIC})"), F.lit(1)).alias("_v"), F.split(text, NUMERIC).alias("_p"))
+    size = lambda column, k: F.aggregate(F.slice(column, 1, k), F.lit(0), lambda a, x: a + F.length(x))
+    places = F.transform("_v", lambda v, k: F.struct(v.alias("value"), (size("_p", k + 1) + size("_v", k)).alias("start")))
+    one = found.filter(F.size("_v") > 0).select(key, "_t", F.explode(places).alias("_x")).select(key, "_t", "_x.value", "_x.start")
+    begin = F.greatest(F.lit(0), F.col("start") - width)
+    context = F.substring("_t", begin + 1, F.col("start") + F.length("value") + width - begin)
+    return one.select(key, "value", "start", context.alias("context"))
+
+
 def extract_title(text: Column) -> Column:
     """What follows an em dash on the first line, up to a bracket; null unless 3 to 80 characters."""
     value = F.trim(F.regexp_extract(F.substring_index(text, "\n", 1), "— *([^(]{3,80})", 1))

@@ -240,6 +240,15 @@ def extract_numeric(spark, d):
     return T.extract_numeric(sheets(spark, d), "doc", "text")
 
 
+@register("numeric_contexts", """WITH s AS (SELECT p_partkey AS doc, 'Pack ' || p_name || ', kept at ' || CAST(p_size AS VARCHAR) || ' °C for ' || CAST(p_size + 1 AS VARCHAR) || '.5 kWh ' || p_type AS t, CAST(p_size AS VARCHAR) || ' °C' AS a, CAST(p_size + 1 AS VARCHAR) || '.5 kWh' AS b FROM part),
+v AS (SELECT doc, t, a AS value, strpos(t, 'kept at ') + 7 AS start FROM s UNION ALL SELECT doc, t, b, strpos(t, ' °C for ') + 7 FROM s)
+SELECT doc, value, CAST(start AS INTEGER) AS start, substr(t, CAST(greatest(0, start - 40) + 1 AS BIGINT), CAST(start + length(value) + 40 - greatest(0, start - 40) AS BIGINT)) AS context FROM v""")
+def numeric_contexts(spark, d):
+    size = lambda n: (F.col("p_size") + n).cast("string")
+    t = F.concat(F.lit("Pack "), "p_name", F.lit(", kept at "), size(0), F.lit(" °C for "), size(1), F.lit(".5 kWh "), "p_type")
+    return T.numeric_contexts(table(spark, d, "part").select(F.col("p_partkey").alias("doc"), t.alias("t")), "doc", "t")
+
+
 @register("extract_title", "SELECT p_partkey AS doc, CASE WHEN length(trim(p_name)) BETWEEN 3 AND 80 THEN trim(p_name) END AS title FROM part")
 def extract_title(spark, d):
     t = F.concat(F.lit("Data sheet — "), "p_name", F.lit(" (2024)\nnext — line"))

@@ -349,6 +349,23 @@ def knockout_join(spark, d):
     return ablated.join(base, "id").select("id", F.col("mode").alias("ablation"), F.greatest(F.lit(0), F.col("base") - F.col("success")).alias("delta"))
 
 
+@register("faithfulness_by_rule", sql("""
+WITH base AS (SELECT id, success FROM runs WHERE mode = 'M1' AND success = 1)
+SELECT r.mode AS ablation, count(*) AS n, round(avg(greatest(0, base.success - r.success)), 6) AS mean_drop, round(avg(CASE WHEN base.success > r.success THEN 1 ELSE 0 END), 6) AS share_dropped,
+count(*) FILTER (WHERE base.success > r.success) AS n_dropped FROM base JOIN runs r ON r.id = base.id WHERE r.mode <> 'M1' GROUP BY r.mode"""))
+def faithfulness_by_rule(spark, d):
+    """Runs of M1 without one of its rules are the other modes: what each costs."""
+    return S.ablation_drops(runs(spark, d), "M1")
+
+
+@register("robustness_by_setting", sql("""
+SELECT setting, param, mode, count(*) AS n, round(avg(success), 6) AS accuracy, round(avg(latency_ms), 4) AS avg_latency_ms, round(avg(steps / 6.0), 6) AS avg_cost
+FROM (SELECT *, 'steps' AS setting, CAST(steps AS VARCHAR) AS param FROM runs UNION ALL SELECT *, 'type', type FROM runs) GROUP BY setting, param, mode"""))
+def robustness_by_setting(spark, d):
+    df = runs(spark, d).withColumn("cost", F.col("steps") / 6.0)
+    return S.by_setting(df, {"steps": F.col("steps").cast("string"), "type": F.col("type")})
+
+
 @register("latest_run_per_domain", sql("WITH m AS (SELECT domain AS dm, max(run_id) AS r FROM runs GROUP BY domain) SELECT domain, run_id, count(*) AS n FROM runs JOIN m ON domain = dm AND run_id = r GROUP BY domain, run_id"))
 def latest_run_per_domain(spark, d):
     return R.latest_run_per_domain(runs(spark, d)).groupBy("domain", "run_id").agg(F.count("*").alias("n"))

@@ -218,12 +218,23 @@ def ensure_citation(spark, d):
     return a.select("qid", had.alias("had"), F.when(had, F.col("answer")).otherwise(F.concat("answer", mark)).alias("answer"))
 
 
-@register("query_features", with_views("""WITH t AS (SELECT qid, max(score) AS search_top, avg(score) AS search_mean3 FROM hits WHERE rank <= 3 GROUP BY qid)
-SELECT asks.qid, length(query) AS len_query, regexp_matches(query, '[0-9]') AS has_number, round(coalesce(search_top, 0), 5) AS search_top, round(coalesce(search_mean3, 0), 5) AS search_mean3 FROM asks LEFT JOIN t USING (qid)""", "hits"))
+#: A phrase in a query that counts as a rule having fired, in the query below.
+FIRED = r"(?i)\bthe\b"
+
+
+@register("query_features", with_views(f"""WITH t AS (SELECT qid, max(CASE WHEN rank = 1 THEN score END) AS search_top, max(score) AS search_max3 FROM hits WHERE rank <= 3 GROUP BY qid),
+near AS (SELECT b.vec_id AS qid, round({COSINE}, 6) AS score, a.vec_id AS memory_id FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE b.vec_id IN (SELECT qid FROM asks)),
+m AS (SELECT qid, max(CASE WHEN rank = 1 THEN score END) AS mem_top, max(score) AS mem_max3 FROM (SELECT qid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, memory_id) AS rank FROM near) WHERE rank <= 3 GROUP BY qid)
+SELECT asks.qid, length(query) AS len_query, regexp_matches(query, '[0-9]') AS has_number, coalesce(p_name <> '', false) AS has_product, round(coalesce(mem_top, 0), 5) AS mem_top, round(coalesce(mem_max3, 0), 5) AS mem_max3,
+round(coalesce(search_top, 0), 5) AS search_top, round(coalesce(search_max3, 0), 5) AS search_max3, regexp_matches(query, '{FIRED}') AS sym_fired
+FROM asks LEFT JOIN t USING (qid) LEFT JOIN m USING (qid) LEFT JOIN part ON p_partkey = asks.qid""", "hits"))
 def query_features(spark, d):
-    t = hits(spark, d, 3).groupBy("qid").agg(F.max("score").alias("t"), F.avg("score").alias("m"))
-    zero = lambda c: rounded(F.coalesce(c, F.lit(0.0)), 5)
-    return asks(spark, d).join(t, "qid", "left").select("qid", F.length("query").cast("long").alias("len_query"), F.col("query").rlike("[0-9]").alias("has_number"), zero("t").alias("search_top"), zero("m").alias("search_mean3"))
+    e = table(spark, d, "embeddings").withColumnRenamed("label", "session_id")
+    own = e.join(asks(spark, d).select(F.col("qid").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "qid")
+    memory = R.session_topk(e.withColumnRenamed("vec_id", "memory_id"), own, 3)
+    named = asks(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("product")), "qid", "left").withColumn("fired", F.col("query").rlike(FIRED))
+    found = R.query_features(named, memory, hits(spark, d, 3), F.col("fired"))
+    return found.withColumns({c: rounded(F.col(c), 5) for c in ("mem_top", "mem_max3", "search_top", "search_max3")})
 
 
 @register("fuse_query", "SELECT p_partkey, trim(concat_ws(' ', nullif(trim(p_name), ''), 'size ' || CAST(p_size AS VARCHAR))) AS query FROM part")

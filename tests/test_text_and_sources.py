@@ -77,3 +77,23 @@ def test_questions_quarantine(spark):
     df = spark.createDataFrame([(None, None, "What?", None, "d", 1), ("a", " ", None, None, "d", 2)], "id string, query string, question string, type string, domain string, position int")
     good, bad = N.canonical_questions(df, "position")
     assert [tuple(r) for r in good.select("id", "query", "session", "type").collect()] == [("d_1", "What?", "s1", "open")] and bad.count() == 1
+
+
+def test_scorers_and_evaluators_are_parameters(spark):
+    from tessera.operators import routing as G
+
+    df = spark.createDataFrame([("recall", "It is X", "x"), ("yesno", "Yes sir", "yes"), ("open", None, "y")], "kind string, answer string, gold string")
+    own = {**N.SCORERS, "yesno": lambda answer, gold, aliases: F.lower(answer).startswith(gold).cast("int")}
+    got = [r[0] for r in df.select(N.score_success(F.col("kind"), F.col("answer"), F.col("gold"), F.lit(None).cast("array<string>"), own)).collect()]
+    assert got == [1, 1, 0] and df.select(N.score_success(F.col("kind"), F.col("answer"), F.col("gold"), F.lit(None).cast("array<string>")).alias("s")).filter("s = 1").count() == 1
+    none = F.array().cast("array<string>")
+    length = lambda e: F.length(e["answer"]).cast("double")
+    rewards = [r[0] for r in df.select(G.episode_reward(F.col("answer"), F.col("gold"), none, none, none, none, evaluator=length)).collect()]
+    assert rewards == [7.0, 7.0, -0.5]
+
+
+def test_numeric_contexts_over_repeats_and_edges(spark):
+    text = "5 kg " + "x" * 50 + " 5 kg and 7,5 °C." + "y" * 60
+    got = [tuple(r)[1:] for r in T.numeric_contexts(spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "none")], "k int, t string"), "k", "t").collect()]
+    want = [(v, at, text[max(0, at - 40) : at + len(v) + 40]) for v, at in (("5 kg", 0), ("5 kg", 56), ("7,5 °C", 65))]
+    assert got == want
