@@ -125,7 +125,7 @@ def token_blocks(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame
 
     Texts are encoded where they are, into a table in the shared folder; only ids are dealt by ranges of doc_id and sorted.
     """
-    ids = cut(encoded(docs, vocabulary), "token-ids")
+    ids = cut(encoded(docs, vocabulary), "token-ids", "zstd")
     n = partitions_for(docs, PART_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +147,7 @@ def token_blocks(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame
 
 def write_token_file(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1) -> None:
     """Write the blocks of `docs` under `path`; Spark's committer makes the write whole or absent."""
-    token_blocks(docs, vocabulary, end_id).write.option("parquet.enable.dictionary", "false").parquet(path)
+    token_blocks(docs, vocabulary, end_id).write.option("parquet.enable.dictionary", "false").option("compression", "zstd").parquet(path)
 
 
 def read_token_file(spark, path: str) -> DataFrame:
