@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, id_and_text, partitions_for, slices
+from tessera.llm.common import id_and_text, partitions_for, slices
 from tessera.llm.pretokens import byte_texts, encoder
 
 BLOCK_BYTES = 4 << 20
@@ -107,42 +107,54 @@ def _wide(narrow: bytes) -> np.ndarray:
     return np.frombuffer(narrow, f"<u{narrow[0]}", offset=1).astype("<u4")
 
 
-def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id and ids of every text: a byte that says how wide ids are, and little-endian unsigned integers of 2 or 4 bytes."""
+def part_bounds(docs: DataFrame, parts: int) -> np.ndarray:
+    """The least doc_id of each of at most `parts` ranges of about as many rows: one number a part reaches the driver."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
+    least = ids.repartitionByRange(parts, "doc_id").groupBy(F.spark_partition_id().alias("part")).agg(F.min("doc_id").alias("least"))
+    return np.array(sorted(r["least"] for r in least.select("least").collect()), np.int64)
+
+
+def encoded(docs: DataFrame, vocabulary: str, bounds: np.ndarray) -> DataFrame:
+    """part (by `bounds`), doc_id and ids of every text: a byte that says how wide ids are, and little-endian unsigned integers."""
+    sent = docs.sparkSession.sparkContext.broadcast(bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib = encoder(vocabulary)
         for batch in batches:
             for some in slices(batch, "text", BLOCK_BYTES):
                 ids = [_narrow(np.frombuffer(x, "<u4")) for x in lib.encode(byte_texts(some.column(1)))]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                keys = some.column(0)
+                part = np.searchsorted(sent.value, keys.fill_null(0).to_numpy(), side="right") - 1
+                part = np.where(keys.is_valid().to_numpy(zero_copy_only=False), np.maximum(part, 0), 0)
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), keys, pa.array(ids, pa.binary())], ["part", "doc_id", "ids"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, ids binary")
+    return id_and_text(docs).mapInArrow(run, "part int, doc_id long, ids binary")
 
 
 def token_blocks(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
     """The blocks of a token file: every text's ids and `end_id`, in ascending doc_id order.
 
-    Texts are encoded where they are, into a table in the shared folder; only ids are dealt by ranges of doc_id and sorted.
+    Texts are encoded where they are; only ids are dealt by ranges of doc_id and sorted.
     """
-    ids = cut(encoded(docs, vocabulary), "token-ids", "zstd")
     n = partitions_for(docs, PART_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, block, first = TaskContext.get().partitionId(), 0, 0
-        end = np.array([end_id], "<u4")
+        end, last, block, first = np.array([end_id], "<u4"), None, 0, 0
         for batch in batches:
             for some in slices(batch, "ids", BLOCK_BYTES):
-                ids = [np.append(_wide(x), end) for x in some.column(1).to_pylist()]
-                lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-                keys = some.column(0)
-                row = [part, block, first, int(lengths.sum()), keys.fill_null(0).to_numpy().astype("<i8").tobytes(), np.packbits(keys.is_valid().to_numpy(zero_copy_only=False)).tobytes(), lengths.astype("<i8").tobytes(), encode_block(np.concatenate(ids))]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], [c.split()[0] for c in FILE_SCHEMA.split(", ")])
-                block, first = block + 1, first + row[3]
-
-    return ids.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(run, FILE_SCHEMA)
+                parts = some.column(0).to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    if parts[a] != last:
+                        last, block, first = int(parts[a]), 0, 0
+                    ids = [np.append(_wide(x), end) for x in some.column(2).slice(a, b - a).to_pylist()]
+                    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+                    keys = some.column(1).slice(a, b - a)
+                    row = [last, block, first, int(lengths.sum()), keys.fill_null(0).to_numpy().astype("<i8").tobytes(), np.packbits(keys.is_valid().to_numpy(zero_copy_only=False)).tobytes(), lengths.astype("<i8").tobytes(), encode_block(np.concatenate(ids))]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], [c.split()[0] for c in FILE_SCHEMA.split(", ")])
+                    block, first = block + 1, first + row[3]
+
+    return encoded(docs, vocabulary, part_bounds(docs, n)).repartition(n, "part").sortWithinPartitions("part", "doc_id", "ids").mapInArrow(run, FILE_SCHEMA)
 
 
 def write_token_file(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1) -> None:
