@@ -92,12 +92,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of at most `sample` learnable rows for each language, counted where the rows are."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & learnable(F.col("doc_id")))
-    counted = known.groupBy("lang").agg(F.count("*").alias("n"))
-    languages = sorted(r["lang"] for r in counted.collect())
+    counted = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    languages = sorted(r["lang"] for r in counted)
     if not languages:
         return Model([], np.zeros((SPACE, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), bool))
     # a hash below the quota's share keeps about `sample` rows of a language, wherever they are
-    chosen = known.join(counted, "lang").filter(F.abs(F.xxhash64("doc_id") % 1_000_000) < 1_000_000 * sample / F.col("n"))
+    # (one row for each language, of which the model has a column of SPACE numbers)
+    share = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], sample / r["n"]) for r in counted], "lang string, share double"))
+    chosen = known.join(share, "lang").filter(F.abs(F.xxhash64("doc_id") % 1_000_000) < 1_000_000 * F.col("share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, scripts = np.zeros((len(languages), SPACE), np.int64), np.zeros((len(languages), len(SCRIPT_NAMES)), np.int64)
