@@ -130,15 +130,20 @@ def router_label(scores: Column) -> Column:
 
 
 def router_train(labelled: DataFrame, features: Sequence[str], label: str = "label") -> tuple[Mapping[str, list[float]], Mapping[str, float]]:
-    """One-vs-rest logistic regression: weights and bias by label. Fitting runs on the executors; a model is a few numbers."""
+    """One-vs-rest logistic regression: weights and bias by label. Fitting runs on the executors; a model is a few numbers.
+
+    All fits read the same persisted vectors and labels; rows with a null feature or label are left out.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    rows = VectorAssembler(inputCols=list(features), outputCol="x", handleInvalid="skip").transform(labelled)
+    known = labelled.filter(F.col(label).isNotNull()).select(*features, F.col(label).alias("_label"))
+    rows = VectorAssembler(inputCols=list(features), outputCol="_vector", handleInvalid="skip").transform(known).select("_vector", "_label").persist()
     weights, bias = {}, {}
-    for k in sorted(r[0] for r in labelled.select(label).filter(F.col(label).isNotNull()).distinct().collect()):
-        model = LogisticRegression(featuresCol="x", labelCol="y", regParam=0.01).fit(rows.withColumn("y", (F.col(label) == k).cast("double")))
+    for k in sorted(r[0] for r in rows.select("_label").distinct().collect()):
+        model = LogisticRegression(featuresCol="_vector", labelCol="_is", regParam=0.01).fit(rows.withColumn("_is", (F.col("_label") == k).cast("double")))
         weights[k], bias[k] = [float(v) for v in model.coefficients], float(model.intercept)
+    rows.unpersist()
     return weights, bias
 
 

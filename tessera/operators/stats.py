@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,18 +14,40 @@ from pyspark.sql.types import DoubleType
 #: Two-sided 95 % quantile of the normal distribution, to the digits that the published tables use.
 Z95 = 1.96
 THRESHOLDS = [round(i * 0.02, 4) for i in range(51)]
+#: Equal parts of [0, 1] that confidences are ranked and pooled in.
+SLOTS = 1024
 
 
 def rounded(c: Column, digits: int = 6) -> Column:
     return F.round(c, digits)
 
 
+def joined(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join by keys, where null equals null; the keys are those of `a`."""
+    other = [f"_key{i}" for i in range(len(keys))]
+    b = b.withColumnsRenamed(dict(zip(keys, other, strict=True)))
+    return a.join(b, reduce(Column.__and__, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(keys, other, strict=True)], F.lit(True)), how).drop(*other)
+
+
 def summary(df: DataFrame, *keys: str) -> DataFrame:
-    """n, accuracy, mean and exact median latency, and mean steps of each group."""
-    return df.groupBy(*keys).agg(
+    """n, accuracy, mean and exact median latency, and mean steps of each group.
+
+    No task holds the latencies of a group: a sketch in the first pass bounds the middle, and the second pass counts the values
+    between the bounds, a five-hundredth of the rows; all others are clipped to the bounds. The sketch's ranks are off by
+    1/10,000 of the rows at most, so the median lies well inside.
+    """
+    first = df.groupBy(*keys).agg(
         F.count("*").alias("n"), rounded(F.avg("success"), 4).alias("accuracy"), rounded(F.avg("latency_ms"), 2).alias("avg_latency_ms"),
-        rounded(F.median("latency_ms"), 2).alias("median_latency_ms"), rounded(F.avg("steps"), 2).alias("avg_steps"),
+        rounded(F.avg("steps"), 2).alias("avg_steps"), F.percentile_approx("latency_ms", [0.499, 0.501], 10_000).alias("_bounds"), F.count("latency_ms").alias("_known"),
     )
+    clipped = F.greatest(F.get("_bounds", F.lit(0)), F.least(F.get("_bounds", F.lit(1)), F.col("latency_ms"))).alias("_value")
+    rows = joined(df.filter(F.col("latency_ms").isNotNull()).select(*keys, "latency_ms"), first.select(*keys, "_bounds", "_known"), keys)
+    counts = rows.groupBy(*keys, "_known", clipped).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_value"))
+    # of m values those of rank (m + 1) div 2 and m div 2 + 1 are the middle ones
+    low, high = F.expr("(_known + 1) div 2"), F.expr("_known div 2 + 1")
+    middle = counts.withColumn("_upto", upto).groupBy(*keys).agg(((F.min(F.when(F.col("_upto") >= low, F.col("_value"))) + F.min(F.when(F.col("_upto") >= high, F.col("_value")))) / 2).alias("_median"))
+    return joined(first, middle, keys, "left").select(*keys, "n", "accuracy", "avg_latency_ms", rounded(F.col("_median"), 2).alias("median_latency_ms"), "avg_steps")
 
 
 def wilson(n: Column, k: Column, z: float = Z95) -> tuple[Column, Column]:
@@ -49,15 +72,23 @@ def acc_ci(df: DataFrame) -> DataFrame:
 
 @F.pandas_udf(DoubleType())
 def exact_binomial(b: pd.Series, c: pd.Series) -> pd.Series:
-    """Two-sided exact p of b and c discordant pairs, in log space; 1 without any. Runs on aggregated rows only."""
+    """Two-sided exact p of b and c discordant pairs; 1 without any. Runs on aggregated rows only.
+
+    The tail is the likeliest term times the sum of the ratios below it, which ends where they no longer count: after about
+    the square root of n terms, whatever n is, and without a list of them.
+    """
 
     def p(b: int, c: int) -> float:
         n, k = int(b + c), int(min(b, c))
         if not n:
             return 1.0
-        terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(k + 1)]
-        top = max(terms)
-        return min(1.0, 2 * math.exp(top) * sum(math.exp(t - top) for t in terms))
+        top = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)
+        ratio = total = 1.0
+        while k and ratio > total * 1e-17:
+            ratio *= k / (n - k + 1)
+            total += ratio
+            k -= 1
+        return min(1.0, 2 * math.exp(top) * total)
 
     return pd.Series([p(x, y) for x, y in zip(b, c, strict=True)])
 
@@ -105,13 +136,23 @@ def pick_threshold(curve: DataFrame, target: float, *keys: str) -> DataFrame:
 def confidence_rows(df: DataFrame, *keys: str) -> DataFrame:
     """Rows and successes at each distinct confidence (clipped to [0, 1], nulls out) with the rows before it in its group.
 
-    Ranks come from these sums, so a mode with a third of all rows isn't sorted by one task; inside a tie every row has the
-    tie's mean success.
+    Ranks come from these sums, so a mode with a third of all rows isn't sorted by one task: rows are ranked inside their slot of
+    the confidences, and the sums of the slots, SLOTS rows a group, are ranked beside them. Inside a tie every row has the tie's
+    mean success.
     """
+    sums = confidence_sums(df, *keys)
+    slots = sums.groupBy(*keys, "slot").agg(F.sum("n").alias("_n"))
+    earlier = lambda *c: Window.partitionBy(*keys, *c).rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.select(*keys, "slot", F.coalesce(F.sum("_n").over(earlier().orderBy("slot")), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("total"))
+    inside = sums.withColumn("_inside", F.coalesce(F.sum("n").over(earlier("slot").orderBy("confidence")), F.lit(0)))
+    return joined(inside, slots, [*keys, "slot"]).select(*keys, "confidence", "n", "k", (F.col("_before") + F.col("_inside")).alias("before"), "total")
+
+
+def confidence_sums(df: DataFrame, *keys: str) -> DataFrame:
+    """n and k (successes) at each distinct confidence, clipped to [0, 1], with its slot of SLOTS equal parts; nulls are out."""
     clipped = df.filter(F.col("confidence").isNotNull()).withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))))
     sums = clipped.groupBy(*keys, "confidence").agg(F.count("*").alias("n"), F.sum("success").cast("long").alias("k"))
-    over = Window.partitionBy(*keys).orderBy("confidence").rowsBetween(Window.unboundedPreceding, -1)
-    return sums.withColumn("before", F.coalesce(F.sum("n").over(over), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
+    return sums.withColumn("slot", F.least(F.lit(SLOTS - 1), F.floor(F.col("confidence") * SLOTS)).cast("int"))
 
 
 def quantile_bins(df: DataFrame, *keys: str, bins: int = 10) -> DataFrame:
@@ -147,37 +188,58 @@ def fixed_bins(df: DataFrame, *keys: str, bins: int = 5) -> DataFrame:
     return binned.select(*keys, "bin", "n", rounded(F.col("c")).alias("avg_conf"), rounded(F.col("s")).alias("accuracy"), rounded(F.col("s") - F.col("c")).alias("gap"))
 
 
+def pooled_blocks(k: Sequence[int], n: Sequence[int]) -> list[int]:
+    """Lengths of the blocks that pooling adjacent violators of k / n leaves."""
+    blocks: list[list[int]] = []
+    for one in zip(map(int, k), map(int, n), strict=True):
+        blocks.append([*one, 1])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            last = blocks.pop()
+            blocks[-1] = [x + y for x, y in zip(blocks[-1], last, strict=True)]
+    return [m for *_, m in blocks]
+
+
 def isotonic(df: DataFrame, *keys: str) -> DataFrame:
     """Monotone fit of success on confidence at each distinct confidence, by pooling adjacent violators of the sums.
 
-    The sums have a row for each distinct confidence, so a group is as large as the resolution of the confidences, not as
-    the runs; with fewer than two of them, or one class only, the fit is the identity.
+    Violators may be pooled in any order, so each slot of the confidences is pooled by its own task, and then the blocks of all
+    slots of a group, which are few beside its rows. With fewer than two distinct confidences, or one class only, the fit is the
+    identity.
     """
-    sums = confidence_rows(df, *keys).select(*keys, "confidence", "n", "k")
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("confidence")
-        total, hits = int(group["n"].sum()), int(group["k"].sum())
-        if len(group) < 2 or hits in (0, total):
-            fitted = group["confidence"].astype(float)
-        else:
-            blocks: list[list[float]] = []
-            for k, n in zip(group["k"], group["n"], strict=True):
-                blocks.append([float(k), float(n), 1])
-                while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
-                    k2, n2, m2 = blocks.pop()
-                    blocks[-1] = [blocks[-1][0] + k2, blocks[-1][1] + n2, blocks[-1][2] + m2]
-            fitted = [k / n for k, n, m in blocks for _ in range(int(m))]
-        return group[[*keys, "confidence"]].assign(calibrated=list(fitted))
-
+    sums = confidence_sums(df, *keys)
     types = dict(sums.dtypes)
-    out = sums.groupBy(*keys).applyInPandas(fit, ", ".join(f"{c} {types[c]}" for c in (*keys, "confidence")) + ", calibrated double")
-    return out.withColumn("calibrated", rounded(F.col("calibrated")))
+    named = "".join(f"`{c}` {types[c]}, " for c in keys)
+
+    def in_slot(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("confidence")
+        lengths = pooled_blocks(rows["k"], rows["n"])
+        return rows[[*keys, "slot", "confidence", "n", "k"]].assign(block=[i for i, m in enumerate(lengths) for _ in range(m)])
+
+    def across(blocks: pd.DataFrame) -> pd.DataFrame:
+        blocks = blocks.sort_values(["slot", "block"])
+        number = [i for i, m in enumerate(pooled_blocks(blocks["k"], blocks["n"])) for _ in range(m)]
+        whole = blocks.groupby(number)[["k", "n"]].transform("sum")
+        trivial = blocks["rows"].sum() < 2 or blocks["k"].sum() in (0, blocks["n"].sum())
+        return blocks[[*keys, "slot", "block"]].assign(calibrated=None if trivial else whole["k"] / whole["n"])
+
+    rows = sums.groupBy(*keys, "slot").applyInPandas(in_slot, f"{named}slot int, confidence double, n long, k long, block long")
+    blocks = rows.groupBy(*keys, "slot", "block").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count("*").alias("rows"))
+    fits = blocks.groupBy(*keys).applyInPandas(across, f"{named}slot int, block long, calibrated double")
+    return joined(rows, fits, [*keys, "slot", "block"]).select(*keys, "confidence", rounded(F.coalesce("calibrated", "confidence")).alias("calibrated"))
 
 
 def calibration_map(fitted: DataFrame, key: str, points: int = 101) -> DataFrame:
-    """The fit on an even grid of `points`, as an array for each group: linear between the fitted points, flat outside."""
-    knots = fitted.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("confidence", "calibrated"))).alias("knots"))
+    """The fit on an even grid of `points`, as an array for each group: linear between the fitted points, flat outside.
+
+    Only the first and the last fitted point of each cell of the grid have a grid point as neighbour, so that is all that a
+    group's array holds.
+    """
+    last = float(points - 1)
+    place = F.ceil(F.col("confidence") * last)
+    cell = F.when((place - 1) / last >= F.col("confidence"), place - 1).when(place / last < F.col("confidence"), place + 1).otherwise(place)
+    point = F.struct("confidence", "calibrated")
+    ends = fitted.groupBy(key, cell.alias("_cell")).agg(F.array(F.min(point), F.max(point)).alias("_ends"))
+    knots = ends.groupBy(key).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("_ends")))).alias("knots"))
     grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: i / F.lit(float(points - 1)))
 
     def at(x: Column) -> Column:
