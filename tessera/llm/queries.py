@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, common, decontaminate, language, pii, quality, repeats, simhash, token_counts, token_files, toxicity
+from tessera.llm import byte_bpe, collocations, common, decontaminate, language, merkle, oracles, pii, quality, repeats, secrets, simhash, token_counts, token_files, toxicity
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: The setting that holds the key of pseudonyms. Without it the registered queries, whose results must be the same every time,
@@ -77,6 +77,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir)).drop("remaining")
 
 
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of all documents, over a new ledger."""
+    found = secrets.scan(documents(spark, sf_dir), f"{common.shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    base = F.filter("findings", lambda f: f["kind"].isin("assign", "access", "hex"))
+    counts = [secrets.n_of(F.col("findings"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("findings")).alias("spans"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir)).drop("cut")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir), merkle.tampered())
+
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS text FROM documents
@@ -129,5 +145,13 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_language": op9_language,
     "op10_quality_rules": op10_quality_rules,
+    "op11_secret_scans": op11_secret_scans,
+    "op12_collocations": op12_collocations,
+    "op13_merkle": op13_merkle,
+}
+ORACLES = {
+    "op10_quality_rules": OP10_SQL,
+    "op11_secret_scans": oracles.secret_scans(secrets.RULES),
+    "op12_collocations": oracles.COLLOCATIONS,
+    "op13_merkle": oracles.merkle(),
 }
-ORACLES = {"op10_quality_rules": OP10_SQL}
