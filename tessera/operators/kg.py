@@ -118,25 +118,111 @@ def fire(triples: DataFrame, rule: Rule) -> DataFrame:
     return products.select(c("product").alias("s"), heads.alias("h")).select("s", "h.p", "h.o", F.lit(rule.name).alias("rule"))
 
 
+def reads(rule: Rule, heads: Sequence[tuple[str, str]]) -> bool:
+    """Whether heads may be triples that the rule's body or its `unless` looks for."""
+    bodies = {rule.predicate, "hasComponent"} | ({TYPE} if rule.via_type is not None else set())
+    return rule.unless in heads or any(p in bodies for p, _ in heads)
+
+
+def _in_order(base: DataFrame, rules: Sequence[Rule], fired) -> DataFrame | None:
+    """The union of fired(seen, rule) of all rules, in order, where `seen` is the base with what the rule may read of earlier ones.
+
+    What a later rule reads is written once, so that chains of rules are read, not nested into each other's plans.
+    """
+    legs: list[tuple[Rule, DataFrame]] = []
+    for k, rule in enumerate(rules):
+        seen = base
+        for earlier, leg in legs:
+            if reads(rule, earlier.heads):
+                seen = seen.unionByName(leg.select(*base.columns))
+        new = fired(seen, rule)
+        legs.append((rule, written(new, "heads") if any(reads(later, rule.heads) for later in rules[k + 1 :]) else new))
+    out = None
+    for _, leg in legs:
+        out = leg if out is None else out.unionByName(leg)
+    return out
+
+
 def apply_rules(triples: DataFrame, rules: Sequence[Rule], disabled: Sequence[str] = ()) -> DataFrame:
-    """s, p, o and rule of all triples that the rules add, in order and in one pass: later rules see what earlier ones added.
+    """s, p, o and rule of all triples that the rules add, in order and in one pass: later rules see what earlier ones added."""
+    base = triples.select("s", "p", "o")
+    added = _in_order(base, [rule for rule in rules if rule.name not in disabled], fire)
+    if added is None:
+        return base.limit(0).withColumn("rule", F.lit(""))
+    known = base.filter(F.col("p").isin(*{p for rule in rules for p, _ in rule.heads}))
+    return added.dropDuplicates(["s", "p", "o", "rule"]).join(known, ["s", "p", "o"], "left_anti")
+
+
+#: Worlds that one pass may tell apart: bits of a positive long.
+MOST_WORLDS = 62
+
+
+def _fire_in_worlds(triples: DataFrame, rule: Rule, on: int) -> DataFrame:
+    """As `fire`, over triples with `worlds`: in which worlds each head is added. on: worlds that have the rule."""
+    c = F.col
+    part = triples.filter(c("p") == "hasComponent").select(c("s").alias("product"), c("o").alias("component"), c("worlds").alias("wp"))
+    wanted = triples.filter(c("p") == rule.predicate)
+    if rule.object is not None:
+        wanted = wanted.filter(c("o") == rule.object)
+    wanted = wanted.select(c("s").alias("component"), c("o").alias("value"), c("worlds").alias("wc"))
+    if rule.via_type is not None:
+        typed = triples.filter((c("p") == TYPE) & (c("o") == rule.via_type)).groupBy(c("s").alias("value")).agg(F.bit_or("worlds").alias("wt"))
+        wanted = wanted.join(typed, "value").withColumn("wc", c("wc").bitwiseAND(c("wt")))
+    wanted = wanted.groupBy("component").agg(F.bit_or("wc").alias("wc"))
+    products = part.join(wanted, "component").groupBy("product").agg(F.bit_or(c("wp").bitwiseAND(c("wc"))).alias("w")).withColumn("w", c("w").bitwiseAND(F.lit(on)))
+    if rule.unless is not None:
+        has = triples.filter((c("p") == rule.unless[0]) & (c("o") == rule.unless[1])).groupBy(c("s").alias("product")).agg(F.bit_or("worlds").alias("blocked"))
+        products = products.join(has, "product", "left").withColumn("w", c("w").bitwiseAND(F.bitwise_not(F.coalesce("blocked", F.lit(0).cast("long")))))
+    heads = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(o).alias("o")) for p, o in rule.heads]))
+    return products.filter("w <> 0").select(c("product").alias("s"), heads.alias("h"), c("w").alias("worlds")).select("s", "h.p", "h.o", F.lit(rule.name).alias("rule"), "worlds")
+
+
+def apply_rules_in_worlds(triples: DataFrame, rules: Sequence[Rule], disabled: Sequence[Sequence[str]]) -> DataFrame:
+    """s, p, o, worlds of what the rules add, in one pass for many choices of rules: bit k is set where `apply_rules` with
+    disabled=disabled[k] adds the triple.
 
-    A rule that reads neither heads of earlier rules nor has an `unless` among them runs on the base alone.
+    Each triple carries the worlds in which it holds: bodies intersect them, several derivations unite them, and an `unless`
+    takes away those of the triple that it looks for, so that what a lost blocker sets free appears in just those worlds.
     """
-    added: DataFrame | None = None
-    heads: set[tuple[str, str]] = set()
-    for rule in rules:
-        if rule.name in disabled:
-            continue
-        sees = added is not None and (rule.unless in heads or rule.predicate in {p for p, _ in heads})
-        seen = triples.unionByName(added.select("s", "p", "o", F.lit(False).alias("o_is_literal"))) if sees else triples
-        new = fire(seen, rule)
-        added = new if added is None else added.unionByName(new)
-        heads |= set(rule.heads)
+    if len(disabled) > MOST_WORLDS:
+        raise ValueError(f"at most {MOST_WORLDS} worlds a pass")
+    everywhere = (1 << len(disabled)) - 1
+    base = triples.select("s", "p", "o", F.lit(everywhere).cast("long").alias("worlds"))
+    on = {rule.name: sum(1 << k for k, names in enumerate(disabled) if rule.name not in names) for rule in rules}
+    rules = [rule for rule in rules if on[rule.name]]
+    added = _in_order(base, rules, lambda seen, rule: _fire_in_worlds(seen, rule, on[rule.name]))
     if added is None:
-        return triples.limit(0).select("s", "p", "o", F.lit("").alias("rule"))
-    base = triples.filter(F.col("p").isin(COMPLIANCE, STEP)).select("s", "p", "o")
-    return added.dropDuplicates(["s", "p", "o", "rule"]).join(base, ["s", "p", "o"], "left_anti")
+        return base.limit(0)
+    united = added.groupBy("s", "p", "o").agg(F.bit_or("worlds").alias("worlds"))
+    known = triples.filter(F.col("p").isin(*{p for rule in rules for p, _ in rule.heads})).select("s", "p", "o")
+    return united.join(known, ["s", "p", "o"], "left_anti")
+
+
+def single_knockouts(rules: Sequence[Rule]) -> list[tuple[str, ...]]:
+    """Worlds: all rules, then without each one."""
+    return [(), *((rule.name,) for rule in rules)]
+
+
+def rule_knockouts(triples: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """rule, n (triples added with all rules) and n_without (without this one), by one pass."""
+    worlds = apply_rules_in_worlds(triples, rules, single_knockouts(rules))
+    bit = lambda k: F.sum(F.shiftright("worlds", k).bitwiseAND(F.lit(1).cast("long")))
+    zero = F.lit(0).cast("long")
+    counts = worlds.agg(*[F.coalesce(bit(k), zero).alias(f"n{k}") for k in range(len(rules) + 1)])
+    rows = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.col("n0").alias("n"), F.col(f"n{k}").alias("n_without")) for k, r in enumerate(rules, 1)]))
+    return counts.select(rows.alias("r")).select("r.*")
+
+
+def answers_in_worlds(added: DataFrame, n: int, domain_text: str = "standards") -> DataFrame:
+    """product and answers: the symbolic answer in each of n worlds, null where nothing is required."""
+    held = lambda p, k: F.sort_array(F.transform(F.filter("heads", lambda h: (h["p"] == p) & (F.shiftright(h["worlds"], k).bitwiseAND(F.lit(1).cast("long")) == 1)), lambda h: h["o"]))
+
+    def answer(k: int) -> Column:
+        stds, steps = held(COMPLIANCE, k), held(STEP, k)
+        return F.nullif(F.concat_ws(" ", _standards(F.col("product"), stds, domain_text), _steps(steps)), F.lit(""))
+
+    grouped = added.groupBy(F.col("s").alias("product")).agg(F.collect_list(F.struct("p", "o", "worlds")).alias("heads"))
+    return grouped.select("product", F.array(*[answer(k) for k in range(n)]).alias("answers"))
 
 
 def required(added: DataFrame) -> DataFrame:
@@ -159,11 +245,18 @@ def with_label(df: DataFrame, column: str, named: DataFrame, to: str, literal: C
     return df.join(other, F.col(column) == F.col("_node"), "left").withColumn(to, value).drop("_node", "_label")
 
 
+def _standards(product: Column, compliances: Column, domain_text: str) -> Column:
+    return F.when(F.size(compliances) > 0, F.concat(F.lit(f"Symbolic: {domain_text} for "), product, F.lit(": "), F.array_join(compliances, ", "), F.lit(".")))
+
+
+def _steps(steps: Column) -> Column:
+    return F.when(F.size(steps) > 0, F.concat(F.lit("Required steps: "), F.array_join(steps, ", "), F.lit(".")))
+
+
 def answers(added: DataFrame, domain_text: str = "standards") -> DataFrame:
     """product, its symbolic answer, and the kinds of rules that fired."""
     r = required(added)
-    stds = F.when(F.size("compliances") > 0, F.concat(F.lit(f"Symbolic: {domain_text} for "), "product", F.lit(": "), F.array_join("compliances", ", "), F.lit(".")))
-    steps = F.when(F.size("steps") > 0, F.concat(F.lit("Required steps: "), F.array_join("steps", ", "), F.lit(".")))
+    stds, steps = _standards(F.col("product"), F.col("compliances"), domain_text), _steps(F.col("steps"))
     fired = F.array_compact(F.array(F.when(F.size("compliances") > 0, COMPLIANCE), F.when(F.size("steps") > 0, STEP)))
     return r.select("product", F.concat_ws(" ", stds, steps).alias("answer"), fired.alias("rules_fired"))
 

@@ -159,14 +159,14 @@ def noise_inserted(key: Column, text: Column, n: int, pool: Sequence[str] = NOIS
     return F.array_join(out, " ")
 
 
-def augment_grid(df: DataFrame, key: str, text: str, intensities: Sequence[int] = (1, 2)) -> DataFrame:
-    """Every query in every kind and intensity; ids {id}_{kind}{n}. The grid is a literal of at most a dozen cells."""
+def augment_grid(df: DataFrame, key: str, text: str, intensities: Sequence[int] = (1, 2), pool: Mapping[str, Sequence[str]] = SYNONYMS, noise: Sequence[str] = NOISE) -> DataFrame:
+    """Every query in every kind and intensity; ids {id}_{kind}{n}, and the query's own as base. The grid is a literal of at most a dozen cells."""
     cells = []
     for n in intensities:
-        made = {"synswap": synonyms_swapped(F.col(key), F.col(text), n), "noise": noise_inserted(F.col(key), F.col(text), n), "num+": numbers_shifted(F.col(text), n), "num-": numbers_shifted(F.col(text), -n)}
+        made = {"synswap": synonyms_swapped(F.col(key), F.col(text), n, pool), "noise": noise_inserted(F.col(key), F.col(text), n, noise), "num+": numbers_shifted(F.col(text), n), "num-": numbers_shifted(F.col(text), -n)}
         cells += [F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("intensity"), q.alias("query")) for kind, q in made.items()]
-    grid = df.select(F.col(key).alias("_key"), F.explode(F.array(*cells)).alias("c"))
-    return grid.select(F.concat("_key", F.lit("_"), "c.kind", F.col("c.intensity").cast("string")).alias("id"), "c.kind", "c.intensity", "c.query")
+    grid = df.select(F.col(key).alias("base"), F.explode(F.array(*cells)).alias("c"))
+    return grid.select(F.concat("base", F.lit("_"), "c.kind", F.col("c.intensity").cast("string")).alias("id"), "base", "c.kind", "c.intensity", "c.query")
 
 
 #: Phrases and what may stand for them (fixed values).

@@ -330,31 +330,31 @@ def paper_numbers(spark, d):
     return sets.select(kind.alias("kind"), F.coalesce("domain", "type", F.lit("all")).alias("value"), "n")
 
 
-@register("faithfulness_summary", sql("""
+@register("mode_drop_summary", sql("""
 WITH base AS (SELECT id, success FROM runs WHERE mode = 'M1' AND success = 1), knocked AS (SELECT id, success AS without FROM runs WHERE mode = 'M2')
 SELECT count(*) AS n_correct, round(avg(greatest(0, success - without)), 6) AS mean_drop, round(avg(CASE WHEN success > without THEN 1 ELSE 0 END), 6) AS share_dropped FROM base JOIN knocked USING (id)"""))
-def faithfulness_summary(spark, d):
+def mode_drop_summary(spark, d):
     pairs = R.paired_modes(runs(spark, d), "M1", "M2", ["id"]).filter("success_a = 1")
     drop = F.greatest(F.lit(0), F.col("success_a") - F.col("success_b"))
     return pairs.agg(F.count("*").alias("n_correct"), S.rounded(F.avg(drop)).alias("mean_drop"), S.rounded(F.avg((drop > 0).cast("int"))).alias("share_dropped"))
 
 
-@register("knockout_join", sql("""
+@register("mode_drop_join", sql("""
 WITH base AS (SELECT id, success FROM runs WHERE mode = 'M1' AND success = 1)
 SELECT base.id, r.mode AS ablation, greatest(0, base.success - r.success) AS delta FROM base JOIN runs r ON r.id = base.id WHERE r.mode IN ('M2', 'M3', 'M4')"""))
-def knockout_join(spark, d):
+def mode_drop_join(spark, d):
     df = runs(spark, d)
     base = df.filter("mode = 'M1' and success = 1").select("id", F.col("success").alias("base"))
     ablated = df.filter(F.col("mode").isin("M2", "M3", "M4"))
     return ablated.join(base, "id").select("id", F.col("mode").alias("ablation"), F.greatest(F.lit(0), F.col("base") - F.col("success")).alias("delta"))
 
 
-@register("faithfulness_by_rule", sql("""
+@register("mode_drops", sql("""
 WITH base AS (SELECT id, success FROM runs WHERE mode = 'M1' AND success = 1)
 SELECT r.mode AS ablation, count(*) AS n, round(avg(greatest(0, base.success - r.success)), 6) AS mean_drop, round(avg(CASE WHEN base.success > r.success THEN 1 ELSE 0 END), 6) AS share_dropped,
 count(*) FILTER (WHERE base.success > r.success) AS n_dropped FROM base JOIN runs r ON r.id = base.id WHERE r.mode <> 'M1' GROUP BY r.mode"""))
-def faithfulness_by_rule(spark, d):
-    """Runs of M1 without one of its rules are the other modes: what each costs."""
+def mode_drops(spark, d):
+    """What each other mode loses of what M1 has right."""
     return S.ablation_drops(runs(spark, d), "M1")
 
 

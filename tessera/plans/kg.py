@@ -115,13 +115,9 @@ def apply_rules(spark, d):
     return added(spark, d).select("s", "p", "o").distinct().agg(F.count("*").alias("added"))
 
 
-@register("rule_ablation", sql("SELECT rule, count(*) AS n, (SELECT count(*) FROM (SELECT DISTINCT s, p, o FROM added a2 WHERE a2.rule <> a1.rule)) AS n_without FROM added a1 GROUP BY rule", "added"))
+@register("rule_ablation", sql(f"SELECT r.rule, (SELECT count(*) FROM (SELECT DISTINCT s, p, o FROM added)) AS n, (SELECT count(*) FROM (SELECT DISTINCT s, p, o FROM added a WHERE a.rule <> r.rule)) AS n_without FROM (VALUES {', '.join(f'({r.name!r})' for r in K.RULES['battery'])}) r(rule)", "added"))
 def rule_ablation(spark, d):
-    a = K.written(added(spark, d), "added")  # tagged by rule: one run has all ablations
-    each = a.groupBy("s", "p", "o").agg(F.collect_set("rule").alias("rules"))
-    total = each.agg(F.count("*").alias("total"))
-    only = each.filter(F.size("rules") == 1).groupBy(F.get("rules", F.lit(0)).alias("rule")).agg(F.count("*").alias("alone"))
-    return a.groupBy("rule").agg(F.count("*").alias("n")).join(only, "rule", "left").crossJoin(total).select("rule", "n", (F.col("total") - F.coalesce("alone", F.lit(0))).alias("n_without"))
+    return K.rule_knockouts(triples(spark, d), K.RULES["battery"])
 
 
 REQUIRED = "SELECT s AS product, coalesce(string_agg(DISTINCT o, ', ' ORDER BY o) FILTER (WHERE p = 'requiresCompliance'), '') AS compliances, coalesce(string_agg(DISTINCT o, ', ' ORDER BY o) FILTER (WHERE p = 'requiresStep'), '') AS steps FROM added GROUP BY s"

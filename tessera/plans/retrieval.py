@@ -242,11 +242,11 @@ def fuse_query(spark, d):
     return table(spark, d, "part").select("p_partkey", F.trim(F.concat_ws(" ", F.nullif(F.trim("p_name"), F.lit("")), F.concat(F.lit("size "), F.col("p_size").cast("string")))).alias("query"))
 
 
-@register("robustness_summary", with_views("""
+@register("typo_agreement", with_views("""
 WITH shifted AS (SELECT qid, n, regexp_replace(query, 'th', repeat('t', n), 'g') AS query FROM asks, (SELECT unnest([0, 1]) AS n)), q AS (SELECT qid, n, unnest(""" + TOKENS.format(c="query") + """) AS term FROM shifted), p AS (SELECT DISTINCT pid, unnest(""" + TOKENS.format(c="text") + """) AS term FROM passages),
 s AS (SELECT qid, n, pid, count(DISTINCT term) AS score FROM q JOIN p USING (term) GROUP BY qid, n, pid), t AS (SELECT qid, n, max_by(pid, score * 1000000000 - pid) AS top FROM s GROUP BY qid, n)
 SELECT a.n AS intensity, count(*) AS n, round(avg(CASE WHEN a.top = b.top THEN 1 ELSE 0 END), 6) AS agreement FROM t a JOIN t b ON a.qid = b.qid AND b.n = 0 GROUP BY a.n""", "passages", "asks"))
-def robustness_summary(spark, d):
+def typo_agreement(spark, d):
     a = asks(spark, d).select("qid", F.explode(F.array(F.lit(0), F.lit(1))).alias("intensity"), "query")
     a = a.select(F.struct("qid", "intensity").alias("qid"), F.when(F.col("intensity") == 0, F.regexp_replace("query", "th", "")).otherwise(F.regexp_replace("query", "th", "t")).alias("query"))
     top = ranked(R.overlap_scores(a, passages(spark, d)), ["qid"], "score", "pid", 1).select("qid.qid", "qid.intensity", F.col("pid").alias("top"))
