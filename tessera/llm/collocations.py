@@ -34,12 +34,13 @@ PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
 UNKNOWN_LANG = "und"
 
-BURST = 32_768
+BURST = 65_536
 MOST_ENTRIES = 1_000_000
 #: Words of a task that have an id; beyond it all tries are spilled and ids start anew.
 MOST_WORDS = 500_000
 STEP = 500_000
 BLOCK_BYTES = 4 << 20
+#: A power of two.
 FILTER_BITS = 1 << 27
 #: Bytes of spilled runs in a range partition.
 RANGE_BYTES = 32 << 20
@@ -53,19 +54,26 @@ _ID_BITS = 21
 _ID_MASK = (1 << _ID_BITS) - 1
 
 
-def pieces(text: bytes) -> list[bytes]:
-    """Words of a text in order, with _END after each piece."""
-    return [w for w in text.translate(_MAP).replace(_END, b" \n ").split(b" ") if w] + [_END]
+def words_of(raw: bytes) -> pa.LargeBinaryArray:
+    """Words of texts that stand on end with a piece's end between them, in order, and _END for each end of a piece."""
+    data = np.frombuffer(raw.translate(_MAP), np.uint8)
+    data = np.append(data, np.uint8(10))
+    end, blank = data == 10, data == 32
+    after = np.append(True, (end | blank)[:-1])
+    starts = (after | end)[~blank]
+    data = data[~blank]
+    offsets = np.append(np.flatnonzero(starts), len(data)).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 def word_hash(lang: str, word: bytes) -> int:
     return xxhash.xxh64_intdigest(lang.encode() + b"\n" + word)
 
 
-def mixed(hashes: np.ndarray) -> np.ndarray:
+def mixed(columns: list[np.ndarray]) -> np.ndarray:
     """Hash of each row of word hashes, by place."""
-    out = np.zeros(len(hashes), np.uint64)
-    for column in hashes.T:
+    out = np.zeros(len(columns[0]), np.uint64)
+    for column in columns:
         out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     return out
@@ -73,7 +81,8 @@ def mixed(hashes: np.ndarray) -> np.ndarray:
 
 def bits_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two bits of the filter for each hash."""
-    return (hashes % np.uint64(FILTER_BITS)).astype(np.int64), ((hashes >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F) % np.uint64(FILTER_BITS)).astype(np.int64)
+    mask = np.uint64(FILTER_BITS - 1)
+    return (hashes & mask).astype(np.int64), (hashes * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(32) & mask).astype(np.int64)
 
 
 class HatTrie:
@@ -105,15 +114,16 @@ class HatTrie:
 
     def _burst(self, k: int) -> None:
         container = self.containers[k]
-        keys = np.fromiter(container, np.int64, len(container))
+        keys = np.fromiter(container.keys(), np.int64, len(container))
+        counts = np.fromiter(container.values(), np.int64, len(container))
         middle = int(np.partition(keys, len(keys) // 2)[len(keys) // 2])
         for bits in (2 * _ID_BITS, _ID_BITS):  # at a first word, or else at a second one
             for at in (middle >> bits << bits, (middle >> bits) + 1 << bits):
-                right = int((keys >= at).sum())
-                if 0 < right < len(keys):
+                right = keys >= at
+                if 0 < right.sum() < len(keys):
                     self.starts.insert(k + 1, at)
-                    self.containers.insert(k + 1, Counter({key: n for key, n in container.items() if key >= at}))
-                    self.containers[k] = Counter({key: n for key, n in container.items() if key < at})
+                    halves = [Counter(dict(zip(keys[side].tolist(), counts[side].tolist(), strict=True))) for side in (~right, right)]
+                    self.containers[k : k + 1] = halves
                     for half in (k + 1, k):
                         if len(self.containers[half]) > BURST:
                             self._burst(half)
@@ -137,6 +147,19 @@ RUN = "lang string, phrase string, n long"
 _RUN = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
+class _Ids(dict):
+    """Ids of words, given when a word is first asked for; 0 is the end of a piece."""
+
+    def __init__(self):
+        super().__init__({_END: 0})
+        self.words: list[bytes] = [_END]
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = len(self.words)
+        self.words.append(word)
+        return found
+
+
 class Counting:
     """Counts phrases of `lengths` words over a task's texts; what it holds is bounded by MOST_ENTRIES and MOST_WORDS."""
 
@@ -145,32 +168,31 @@ class Counting:
         self._reset()
 
     def _reset(self) -> None:
-        self.ids: dict[bytes, int] = {_END: 0}
-        self.words: list[bytes] = [_END]
-        self.hashes: dict[str, list[int]] = {}
+        self.ids = _Ids()
+        self.words = self.ids.words
+        self.hashes: dict[str, np.ndarray] = {}
         self.tries: dict[str, HatTrie] = {}
 
     def _hashes(self, lang: str) -> np.ndarray:
-        known = self.hashes.setdefault(lang, [])
-        known.extend(word_hash(lang, w) for w in self.words[len(known) :])
-        return np.array(known, np.uint64)
-
-    def block(self, lang: str, tokens: list[bytes]) -> Iterator[pa.RecordBatch]:
-        """Adds all phrases of `tokens`, in steps of STEP words that look ahead for the phrases that start in them."""
-        for first in range(0, len(tokens), STEP):
-            self._add(lang, tokens[first : first + STEP + max(self.lengths) - 1], min(STEP, len(tokens) - first))
+        known = self.hashes.get(lang, np.zeros(0, np.uint64))
+        new = np.array([word_hash(lang, w) for w in self.words[len(known) :]], np.uint64)
+        self.hashes[lang] = np.concatenate([known, new])
+        return self.hashes[lang]
+
+    def block(self, lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """Adds all phrases of `texts`, in steps of STEP words that look ahead for the phrases that start in them."""
+        words = words_of(_END.join(texts))
+        for first in range(0, len(words), STEP):
+            self._add(lang, words.slice(first, STEP + max(self.lengths) - 1), min(STEP, len(words) - first))
             if len(self.words) > MOST_WORDS:
                 yield from self.flush()
             elif sum(t.entries for t in self.tries.values()) > MOST_ENTRIES:
                 yield from self._spill(MOST_ENTRIES // 2)
 
-    def _add(self, lang: str, tokens: list[bytes], n: int) -> None:
-        ids, words = self.ids, self.words
-        for token in set(tokens):
-            if token not in ids:
-                ids[token] = len(words)
-                words.append(token)
-        x = np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens))
+    def _add(self, lang: str, words: pa.LargeBinaryArray, n: int) -> None:
+        distinct = words.dictionary_encode()
+        ids = np.array([self.ids[w] for w in distinct.dictionary.to_pylist()], np.int64)
+        x = ids[distinct.indices.to_numpy()]
         x = np.r_[x, np.zeros(max(self.lengths), np.int64)]
         trie = self.tries.setdefault(lang, HatTrie())
         for k in self.lengths:
@@ -186,9 +208,9 @@ class Counting:
             trie.add(keys)
 
     def _passes(self, lang: str, x: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-        hashes, ok = self._hashes(lang), np.ones(len(at), bool)
+        hashes, ok = self._hashes(lang)[x], np.ones(len(at), bool)
         for first in (0, 1):
-            for bit in bits_of(mixed(np.stack([hashes[x[at + first + j]] for j in range(k - 1)], axis=1))):
+            for bit in bits_of(mixed([hashes[at + first + j] for j in range(k - 1)])):
                 ok &= (self.allowed[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
         return ok
 
@@ -232,21 +254,23 @@ def _counter(lengths: tuple[int, ...], allowed):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counting = Counting(lengths, None if allowed is None else allowed.value)
         waiting: dict[str, list[bytes]] = {}
+        held: Counter = Counter()
         for batch in batches:
             langs = batch.column(0).to_pylist()
             raw, ends = packed(batch.column(1))
             for k, lang in enumerate(langs):
                 for part in _cuts(raw[ends[k] : ends[k + 1]].tobytes(), BLOCK_BYTES):
-                    tokens = waiting.setdefault(lang, [])
-                    tokens += pieces(part)
-                    if len(tokens) > BLOCK_BYTES // 8:
-                        yield from counting.block(lang, tokens)
-                        waiting[lang] = []
-            if sum(map(len, waiting.values())) > BLOCK_BYTES // 2:
-                for lang in list(waiting):
-                    yield from counting.block(lang, waiting.pop(lang))
-        for lang, tokens in waiting.items():
-            yield from counting.block(lang, tokens)
+                    waiting.setdefault(lang, []).append(part)
+                    held[lang] += len(part) + 1
+                    if held[lang] > BLOCK_BYTES:
+                        yield from counting.block(lang, waiting.pop(lang))
+                        del held[lang]
+                    elif held.total() > 4 * BLOCK_BYTES:
+                        largest = max(held, key=held.get)
+                        yield from counting.block(largest, waiting.pop(largest))
+                        del held[largest]
+        for lang, texts in waiting.items():
+            yield from counting.block(lang, texts)
         yield from counting.flush()
 
     return run
@@ -254,7 +278,7 @@ def _counter(lengths: tuple[int, ...], allowed):
 
 def phrase_counts(texts: DataFrame, lengths: tuple[int, ...], allowed=None) -> DataFrame:
     """lang, phrase, n: occurrences of all phrases of `lengths` words; those of three or more only where `allowed` lets them."""
-    runs = cut(texts.mapInArrow(_counter(lengths, allowed), RUN), "phrase-runs", "zstd")
+    runs = cut(texts.mapInArrow(_counter(lengths, allowed), RUN), "phrase-runs")
     dealt = runs.repartitionByRange(partitions_for(runs, RANGE_BYTES), "lang", "phrase")
     return dealt.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
@@ -263,7 +287,7 @@ def _bit_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [[word_hash(lang, w) for w in phrase.encode().split(b" ")] for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
         if rows:
-            bit = np.concatenate(bits_of(mixed(np.array(rows, np.uint64))))
+            bit = np.concatenate(bits_of(mixed(list(np.array(rows, np.uint64).T))))
             mask = (np.uint64(1) << (bit & 63).astype(np.uint64)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array(mask)], names=["slot", "mask"])
 
