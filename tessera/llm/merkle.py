@@ -7,7 +7,7 @@ are the leaves of one more tree.
 
 Places come from a range partitioning by (language, doc_id, leaf, row) that is written once, and from running sums over one row
 for each partition and language; no language is sorted in one task, and repeated rows are spread like others. Trees are built
-bottom up: a superblock of WIDTH consecutive nodes is one group, whose digests up to its top stay inside its task, and only the top
+bottom up: a superblock of FAN ** DEPTH consecutive nodes is one group, whose digests up to its top stay inside its task, and only the top
 is a node of the next round. Proofs come top down: each superblock gets one row with the nodes that it needs from outside, and
 leaves and outer nodes are cogrouped by superblock, where local reduction, proof and fold are finished together.
 
@@ -30,7 +30,6 @@ from tessera.llm.common import cut, partitions_for
 FAN = 8
 #: Levels that a superblock reduces by itself, and the nodes that it has at most.
 DEPTH = 4
-WIDTH = FAN**DEPTH
 #: Bytes of leaf rows in a range partition.
 RANGE_BYTES = 64 << 20
 FIELDS = {"doc_id": "long", "source": "string", "lang": "string", "n_chars": "long", "text": "string"}
@@ -74,10 +73,10 @@ def placed(rows: DataFrame, order: list[str]) -> DataFrame:
     return dealt.join(runs, ["tree", "part"]).withColumn("i", F.col("place") + F.col("shift")).drop("part", "place", "shift")
 
 
-def reduced(nodes: list[str], n: int) -> list[list[str]]:
+def reduced(nodes: list[str], n: int, depth: int) -> list[list[str]]:
     """Levels of a superblock, lowest first, up to its top: `nodes` are consecutive in a tree of `n`."""
     levels = [nodes]
-    while n > 1 and len(levels) <= DEPTH:
+    while n > 1 and len(levels) <= depth:
         levels.append([digest(levels[-1][k : k + FAN]) for k in range(0, len(levels[-1]), FAN)])
         n = -(-n // FAN)
     return levels
@@ -93,45 +92,51 @@ def path_of(levels: list[list[str]], i: int) -> list[tuple[int, list[str]]]:
     return path
 
 
-def _tops(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("i")
-    n = int(group["n"].iat[0])
-    top = reduced(group["node"].tolist(), n)[-1][0]
-    return pd.DataFrame({"tree": [group["tree"].iat[0]], "i": [int(group["i"].iat[0]) // WIDTH], "n": [-(-n // WIDTH)], "node": [top]})
+def _tops(depth: int):
+    def tops(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("i")
+        n, width = int(group["n"].iat[0]), FAN**depth
+        top = reduced(group["node"].tolist(), n, depth)[-1][0]
+        return pd.DataFrame({"tree": [group["tree"].iat[0]], "i": [int(group["i"].iat[0]) // width], "n": [-(-n // width)], "node": [top]})
 
+    return tops
 
-def block() -> Column:
-    return F.expr(f"i div {WIDTH}")
 
+def block(depth: int) -> Column:
+    return F.expr(f"i div {FAN**depth}")
 
-def rounds(nodes: DataFrame) -> list[DataFrame]:
+
+def rounds(nodes: DataFrame, depth: int) -> list[DataFrame]:
     """tree, i, n, node of the given nodes, then of the tops of their superblocks, until each tree is one node."""
     out = [nodes.select("tree", "i", "n", "node")]
     n = out[0].agg(F.max("n")).first()[0] or 0
     while n > 1:
-        tops = out[-1].withColumn("block", block()).groupBy("tree", "block").applyInPandas(_tops, "tree string, i long, n long, node string")
+        tops = out[-1].withColumn("block", block(depth)).groupBy("tree", "block").applyInPandas(_tops(depth), "tree string, i long, n long, node string")
         out.append(cut(tops, "merkle-tops"))
-        n = -(-n // WIDTH)
+        n = -(-n // FAN**depth)
     return out
 
 
 OUTER = "path array<struct<at: int, run: array<string>>>, subroot string"
 
 
-def _inner_paths(members: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
-    """For each node of a superblock, its path up to the root: its own part, then the superblock's."""
-    members = members.sort_values("i")
-    levels = reduced(members["node"].tolist(), int(members["n"].iat[0]))
-    above = [(int(p["at"]), list(p["run"])) for p in outer["path"].iat[0]]
-    paths = [[{"at": at, "run": list(run)} for at, run in path_of(levels, k) + above] for k in range(len(members))]
-    out = pd.DataFrame({"tree": members["tree"].to_numpy(), "block": members["i"].to_numpy(), "node": members["node"].to_numpy()})
-    return out.assign(path=paths, subroot=outer["subroot"].iat[0])
+def _inner_paths(depth: int):
+    def paths_of(members: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+        members = members.sort_values("i")
+        levels = reduced(members["node"].tolist(), int(members["n"].iat[0]), depth)
+        above = [(int(p["at"]), list(p["run"])) for p in outer["path"].iat[0]]
+        paths = [[{"at": at, "run": list(run)} for at, run in path_of(levels, k) + above] for k in range(len(members))]
+        out = pd.DataFrame({"tree": members["tree"].to_numpy(), "block": members["i"].to_numpy(), "node": members["node"].to_numpy()})
+        return out.assign(path=paths, subroot=outer["subroot"].iat[0])
 
+    return paths_of
 
-def descend(nodes: DataFrame, outer: DataFrame) -> DataFrame:
-    """tree, block, node, path, subroot: what the superblocks beneath `nodes` need from outside."""
-    sides = nodes.withColumn("block", block()).groupBy("tree", "block").cogroup(outer.groupBy("tree", "block"))
-    return cut(sides.applyInPandas(_inner_paths, f"tree string, block long, node string, {OUTER}"), "merkle-outer")
+
+def descend(nodes: DataFrame, outer: DataFrame, depth: int) -> DataFrame:
+    """tree, block, node, path, subroot: for each node its path up to the root, first inside its superblock and then as `outer` has
+    it; a node is the top of a superblock beneath (`block`), which needs just this from outside."""
+    sides = nodes.withColumn("block", block(depth)).groupBy("tree", "block").cogroup(outer.groupBy("tree", "block"))
+    return cut(sides.applyInPandas(_inner_paths(depth), f"tree string, block long, node string, {OUTER}"), "merkle-outer")
 
 
 def fold(leaf: str, path: list[tuple[int, list[str]]]) -> str:
@@ -141,11 +146,11 @@ def fold(leaf: str, path: list[tuple[int, list[str]]]) -> str:
     return leaf
 
 
-def _finish(root: str):
+def _finish(root: str, depth: int):
     def finish(members: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
         members = members.sort_values("i")
         leaf = members["leaf"].tolist()
-        levels = reduced(leaf, int(members["n"].iat[0]))
+        levels = reduced(leaf, int(members["n"].iat[0]), depth)
         above = [(int(p["at"]), list(p["run"])) for p in outer["path"].iat[0]]
         proofs, folded = [], []
         for k, found in enumerate(members["found"].tolist()):
@@ -161,27 +166,30 @@ def _finish(root: str):
 RESULT = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
 
-def manifest(docs: DataFrame, found: Column | None = None) -> DataFrame:
-    """RESULT for each document; folded_root and verified are of the text as `found` gives it, all else of the text in `docs`."""
+def manifest(docs: DataFrame, found: Column | None = None, depth: int = DEPTH) -> DataFrame:
+    """RESULT for each document; folded_root and verified are of the text as `found` gives it, all else of the text in `docs`.
+
+    depth: levels of a superblock; the result doesn't depend on it.
+    """
     spark = docs.sparkSession
     own = cut(placed(leaves(docs, found), ["doc_id", "leaf"]), "merkle-leaves")
-    lower = rounds(own.withColumnRenamed("leaf", "node"))
+    lower = rounds(own.withColumnRenamed("leaf", "node"), depth)
     subroots = lower[-1].select(F.lit("").alias("tree"), F.col("tree").alias("lang"), "node")
     top_leaves = cut(placed(subroots, ["lang"]), "merkle-subroots")
-    upper = rounds(top_leaves)
+    upper = rounds(top_leaves, depth)
     last = upper[-1].first()
     if last is None:
         return spark.createDataFrame([], RESULT)
     outer = spark.createDataFrame([("", 0, [], None)], f"tree string, block long, {OUTER}")
     for nodes in reversed(upper):
-        outer = descend(nodes, outer)
+        outer = descend(nodes, outer, depth)
     # The superblocks above a language's own nodes are that language's place among the subroots.
     outer = outer.withColumnRenamed("block", "i").join(top_leaves.select("i", "lang"), "i")
     outer = outer.select(F.col("lang").alias("tree"), F.lit(0).cast("long").alias("block"), "path", F.col("node").alias("subroot"))
     for nodes in reversed(lower[1:]):
-        outer = descend(nodes, outer).drop("node")
-    sides = own.withColumn("block", block()).groupBy("tree", "block").cogroup(outer.groupBy("tree", "block"))
-    return sides.applyInPandas(_finish(last["node"]), RESULT)
+        outer = descend(nodes, outer, depth).drop("node")
+    sides = own.withColumn("block", block(depth)).groupBy("tree", "block").cogroup(outer.groupBy("tree", "block"))
+    return sides.applyInPandas(_finish(last["node"], depth), RESULT)
 
 
 def lower_cased(text: Column) -> Column:
