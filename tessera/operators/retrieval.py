@@ -2,8 +2,7 @@
 
 Sparse search joins the query's terms to an inverted index (term, pid, tf) that is written once to the shared folder; frequent
 terms are cut by stop words and, where a caller sets it, by a document-frequency limit; the query side is broadcast by Spark
-when its size allows. Dense search multiplies blocks of
-vectors in Arrow batches by the query matrix and keeps k of each batch before anything is shuffled.
+when its size allows. Dense and session search multiply blocks of vectors by blocks of queries, see `vectors`.
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import vectors as V
 from tessera.operators.routing import ranked
 from tessera.sources.shared import partitions_for, written
 
@@ -31,8 +31,6 @@ STOP_WORDS = (
 MOST_QUERIES = 10_000
 #: Size of the texts that a task splits into terms, as they are stored.
 TEXT_BYTES = 32 << 20
-#: Scores of a block of queries that a task of the dense search holds at once.
-CELLS = 2_000_000
 
 
 def tokens(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
@@ -114,54 +112,13 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "pid", vector: str = "embedding", qid: str = "qid") -> DataFrame:
-    """qid, pid, score and rank of the k nearest by cosine; ties by pid.
-
-    Each batch keeps k rows of each query, so what is shuffled is batches * queries * k rows. Queries are asked in blocks of
-    MOST_QUERIES, each a pass over the vectors; inside a batch at most CELLS scores are held at once.
-    """
-    kind = dict(queries.dtypes)[qid], dict(vectors.dtypes)[key]
-    schema = f"{qid} {kind[0]}, {key} {kind[1]}, score double"
-    pool = vectors.filter(F.col(vector).isNotNull()).select(key, vector)
-    asked = queries.select(qid, vector).filter(F.col(vector).isNotNull()).orderBy(qid).toLocalIterator()
-    near = None
-    while block := list(islice(asked, MOST_QUERIES)):
-        found = pool.mapInArrow(_nearest(block, k, key, vector, qid), schema)
-        near = found if near is None else near.unionByName(found)
-    if near is None:
-        near = pool.sparkSession.createDataFrame([], schema)
-    return ranked(near, [qid], "score", key, k)
-
-
-def _nearest(block: list, k: int, key: str, vector: str, qid: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """What keeps the k best rows of each batch for each query of the block."""
-    ids, width = [r[qid] for r in block], len(block[0][vector])
-    q = np.array([r[vector] for r in block], np.float64)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            names, m = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), width).T
-            step = max(1, CELLS // batch.num_rows)
-            for first in range(0, len(ids), step):
-                scores = np.round(q[first : first + step] @ m, 9)
-                order = np.lexsort([np.broadcast_to(names, scores.shape), -scores], axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(scores)), order.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array([ids[first + i] for i in rows]), pa.array(names[order.ravel()]), pa.array(scores[rows, order.ravel()])], [qid, key, "score"])
-
-    return run
+    """qid, pid, score and rank of the k nearest by cosine; ties by pid. The index is built for the call; see `vectors`."""
+    return V.search(V.build(vectors, key, vector), queries, k, key, qid, vector)[0]
 
 
 def session_topk(memories: DataFrame, queries: DataFrame, k: int, least: float | None = None) -> DataFrame:
-    """The k memories of a query's session by cosine, with rank; `least` drops lower scores after ranking.
-
-    An equi-join on session_id; the dot product is a column expression.
-    """
-    m = memories.select("session_id", "memory_id", l2_normalize(F.col("embedding")).alias("_m"))
-    q = queries.select("session_id", "qid", l2_normalize(F.col("embedding")).alias("_q"))
-    dot = F.aggregate(F.zip_with("_m", "_q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    top = ranked(m.join(q, "session_id").select("session_id", "qid", "memory_id", F.round(dot, 6).alias("score")), ["qid"], "score", "memory_id", k)
+    """The k memories of a query's session by cosine, with rank; `least` drops lower scores after ranking. See `vectors`."""
+    top = V.session_grid(memories, queries, k).select("session_id", "qid", "memory_id", "score", "rank")
     return top if least is None else top.filter(F.col("score") >= least)
 
 

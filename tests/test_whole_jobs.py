@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import tessera.plans  # noqa: F401  (fills the registry)
 from tessera.operators import retrieval as R
+from tessera.operators import vectors as V
 from tessera.registry import QUERIES
 from tessera.sources import files
 
@@ -23,8 +24,7 @@ def test_dense_search_asks_any_number_of_queries_in_blocks(spark, monkeypatch):
     e = spark.range(60).select(F.col("id").alias("pid"), F.array(F.cos("id"), F.sin("id"), F.lit(0.5)).alias("embedding"))
     asked = e.select(F.col("pid").alias("qid"), "embedding")
     want = sorted(map(tuple, R.dense_topk(e, asked, 3).collect()))
-    monkeypatch.setattr(R, "MOST_QUERIES", 7)
-    monkeypatch.setattr(R, "CELLS", 50)
+    monkeypatch.setattr(V, "BLOCK", 7)
     got = sorted(map(tuple, R.dense_topk(e, asked, 3).collect()))
     assert got == want and len(got) == 180 and {r[0] for r in got} == set(range(60))
     assert R.dense_topk(e, asked.limit(0), 3).count() == 0
