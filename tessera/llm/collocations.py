@@ -2,9 +2,9 @@
 
 Counting is done by HAT-tries, one for each language of a task: a shallow trie over word ids above hash containers. A container
 of more than BURST entries bursts at a word. When a task holds more than MOST_ENTRIES entries, whole subtrees, largest first, are
-spilled as runs sorted by phrase, into a table in the shared folder.
-The runs are then dealt by ranges of (language, phrase), so that each partition holds a range of prefixes, however frequent a
-prefix is, and are merged there. A phrase has one row for each spill at most; texts are never shuffled.
+spilled as runs sorted by words. Runs are dealt by hashed prefixes, and each task merges those of its prefix partitions; what
+follows a pair of words is dealt over NEIGHBOURS partitions, so that no prefix is one task's. A phrase has one row for each spill
+at most; texts are never shuffled.
 
 A phrase is at most as frequent as its parts, so phrases of k words are counted only where both parts of k - 1 words may reach
 `least`, as a bit array of FILTER_BITS bits says (no frequent phrase is missed; a full array would only let more phrases be
@@ -42,8 +42,8 @@ STEP = 500_000
 BLOCK_BYTES = 4 << 20
 #: A power of two.
 FILTER_BITS = 1 << 27
-#: Bytes of spilled runs in a range partition.
-RANGE_BYTES = 32 << 20
+#: Bytes of texts whose runs one prefix partition merges.
+PART_BYTES = 16 << 20
 #: Groups of a language's candidates that are ranked before the language is.
 RANK_GROUPS = 64
 
@@ -143,8 +143,11 @@ class HatTrie:
         return np.concatenate([none, *keys]), np.concatenate([none, *counts])
 
 
-RUN = "lang string, phrase string, n long"
-_RUN = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+#: Rows of runs: the prefix partition, language and phrase as one key, and occurrences. An empty phrase counts all words.
+RUN = "part int, key string, n long"
+_RUN = pa.schema([("part", pa.int32()), ("key", pa.string()), ("n", pa.int64())])
+#: Partitions next to each other over which the third words after a pair are dealt.
+NEIGHBOURS = 16
 
 
 class _Ids(dict):
@@ -172,6 +175,7 @@ class Counting:
         self.words = self.ids.words
         self.hashes: dict[str, np.ndarray] = {}
         self.tries: dict[str, HatTrie] = {}
+        self.totals: Counter = Counter()
 
     def _hashes(self, lang: str) -> np.ndarray:
         known = self.hashes.get(lang, np.zeros(0, np.uint64))
@@ -200,6 +204,8 @@ class Counting:
             for j in range(k):
                 inside &= x[j : j + n] > 0
             at = np.flatnonzero(inside)
+            if k == 1:
+                self.totals[lang] += len(at)
             if k > 2 and self.allowed is not None and len(at):
                 at = at[self._passes(lang, x, at, k)]
             keys = np.zeros(len(at), np.int64)
@@ -226,14 +232,28 @@ class Counting:
             left = others + self.tries[lang].entries
             places = [keys >> j * _ID_BITS & _ID_MASK for j in (2, 1, 0)]
             order = np.argsort(rank[places[0]] << 2 * _ID_BITS | np.where(places[1] > 0, rank[places[1]] + 1, 0) << _ID_BITS | np.where(places[2] > 0, rank[places[2]] + 1, 0))
+            part = self._parts(lang, places)
+            head = lang.encode() + b"\n"
             for k in range(0, len(order), 100_000):
-                part = order[k : k + 100_000]
-                column = [pa.array(p[part], mask=p[part] == 0) for p in places]
-                phrase = pc.binary_join_element_wise(*[words.take(c) for c in column], b" ", null_handling="skip").cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), phrase, pa.array(counts[part])], schema=_RUN)
+                rows = order[k : k + 100_000]
+                column = [pa.array(p[rows], mask=p[rows] == 0) for p in places]
+                phrase = pc.binary_join_element_wise(*[words.take(c) for c in column], b" ", null_handling="skip")
+                key = pc.binary_join_element_wise(pa.scalar(head), phrase, b"").cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(part[rows]), key, pa.array(counts[rows])], schema=_RUN)
+
+    def _parts(self, lang: str, places: list[np.ndarray]) -> np.ndarray:
+        """Prefix partitions: by the first two words; a third deals a pair's phrases over NEIGHBOURS of them."""
+        hashes = self._hashes(lang)
+        pair = mixed([hashes[places[0]], np.where(places[1] > 0, hashes[places[1]], np.uint64(0))])
+        third = np.where(places[2] > 0, hashes[places[2]] % np.uint64(NEIGHBOURS), np.uint64(0))
+        return ((pair + third) & np.uint64(0x7FFFFFFF)).astype(np.int32)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         yield from self._spill(0)
+        if self.totals:
+            keys = [lang + "\n" for lang in self.totals]
+            parts = [hash_of & 0x7FFFFFFF for hash_of in (word_hash(lang, b"") for lang in self.totals)]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(keys, pa.string()), pa.array(list(self.totals.values()), pa.int64())], schema=_RUN)
         self._reset()
 
 
@@ -276,11 +296,43 @@ def _counter(lengths: tuple[int, ...], allowed):
     return run
 
 
-def phrase_counts(texts: DataFrame, lengths: tuple[int, ...], allowed=None) -> DataFrame:
-    """lang, phrase, n: occurrences of all phrases of `lengths` words; those of three or more only where `allowed` lets them."""
-    runs = cut(texts.mapInArrow(_counter(lengths, allowed), RUN), "phrase-runs")
-    dealt = runs.repartitionByRange(partitions_for(runs, RANGE_BYTES), "lang", "phrase")
-    return dealt.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+#: Rows of runs that a task gathers before it adds them up.
+GATHER = 500_000
+
+
+def _merger(least: int):
+    """Adds up the runs of a task's prefix partitions: what is held is the distinct phrases, and GATHER rows."""
+
+    def added(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by("key").aggregate([("n", "sum")]).rename_columns(["key", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, held, rows = [], [], 0
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch.select(["key", "n"])]))
+            rows += batch.num_rows
+            if rows > GATHER + (sums[0].num_rows if sums else 0):
+                sums, held, rows = [added([*sums, *held])], [], 0
+        if not sums and not held:
+            return
+        whole = added([*sums, *held])
+        empty = pc.ends_with(whole["key"], "\n")
+        kept = whole.filter(pc.or_(empty, pc.greater_equal(whole["n"], least)))
+        for batch in kept.to_batches(max_chunksize=100_000):
+            both = [key.rsplit("\n", 1) for key in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([lang for lang, _ in both], pa.string()), pa.array([phrase for _, phrase in both], pa.string()), batch.column(1)], names=["lang", "phrase", "n"])
+
+    return run
+
+
+def phrase_counts(texts: DataFrame, lengths: tuple[int, ...], least: int, allowed=None) -> DataFrame:
+    """lang, phrase, n: phrases of `lengths` words with n >= least; those of three or more only where `allowed` lets them.
+
+    With words among the lengths, an empty phrase has the number of all words of a language.
+    """
+    runs = texts.mapInArrow(_counter(lengths, allowed), RUN)
+    dealt = runs.repartition(partitions_for(texts, PART_BYTES), "part")
+    return dealt.mapInArrow(_merger(least), "lang string, phrase string, n long")
 
 
 def _bit_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,12 +359,12 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int) -> tuple[DataFra
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN_LANG))
     texts = docs.select(lang.alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     spaces = F.length("phrase") - F.length(F.translate("phrase", " ", ""))
-    counted = cut(phrase_counts(texts, (1, 2)).withColumn("k", spaces + 1).filter((F.col("k") == 1) | (F.col("n") >= least)), "phrase-counts")
-    totals = counted.filter("k = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    found = counted.filter(F.col("n") >= least)
+    counted = cut(phrase_counts(texts, (1, 2), least).withColumn("k", F.when(F.col("phrase") == "", 0).otherwise(spaces + 1)), "phrase-counts")
+    totals = counted.filter("k = 0").select("lang", "n")
+    found = counted.filter("k > 0")
     if longest == 3:
         allowed = docs.sparkSession.sparkContext.broadcast(filter_of(found.filter("k = 2")))
-        threes = phrase_counts(texts, (3,), allowed).filter(F.col("n") >= least).withColumn("k", F.lit(3))
+        threes = phrase_counts(texts, (3,), least, allowed).withColumn("k", F.lit(3))
         found = found.unionByName(cut(threes, "phrase-threes"))
     return found, totals
 

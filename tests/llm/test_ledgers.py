@@ -135,18 +135,23 @@ def test_bursts_spills_and_long_pieces_lose_nothing(monkeypatch):
     texts = [" ".join(f"w{i}" for i in r.zipf(1.3, 300) % 90) + (". " if k % 2 else "") + "w1 w1 w1" for k in range(8)]
     batch = pa.RecordBatch.from_arrays([pa.array(["en", "fr"] * 4), pa.array(texts)], names=["lang", "text"])
     got, runs = Counter(), 0
-    for run in collocations._counter((1, 2, 3), None)(iter([batch])):
+    batches = list(collocations._counter((1, 2, 3), None)(iter([batch])))
+    for run in batches:
         runs += 1
-        phrases = run.column(1).to_pylist()
-        assert phrases == sorted(phrases, key=lambda p: p.split(" "))
-        for lang, phrase, n in zip(run.column(0).to_pylist(), phrases, run.column(2).to_pylist(), strict=True):
+        both = [key.split("\n") for key in run.column(1).to_pylist()]
+        assert both == sorted(both, key=lambda x: x[1].split(" ")) or all(not phrase for _, phrase in both)
+        for (lang, phrase), n in zip(both, run.column(2).to_pylist(), strict=True):
             got[lang, phrase] += n
+    monkeypatch.setattr(collocations, "GATHER", 7)
+    merged = {(a, b): n for out in collocations._merger(3)(iter(batches)) for a, b, n in zip(*(c.to_pylist() for c in out.columns), strict=True)}
+    assert merged == {key: n for key, n in got.items() if n >= 3 or not key[1]}
     want = Counter()
     for k, text in enumerate(texts):
         for piece in text.split("."):
             words = piece.split()
             for size in (1, 2, 3):
                 want.update(("en" if k % 2 == 0 else "fr", " ".join(g)) for g in zip(*[words[j:] for j in range(size)], strict=False))
+            want["en" if k % 2 == 0 else "fr", ""] += len(words)
     assert got == want and runs > 8
     trie = collocations.HatTrie()
     trie.add(np.arange(1, 60, dtype=np.int64) << 42)
