@@ -74,17 +74,34 @@ def test_shards_bring_every_near_pair_together(spark):
     a = [r.getrandbits(64) for _ in range(40)]
     b = [x ^ sum(1 << k for k in r.sample(range(64), r.randint(1, 4))) for x in a]
     df = spark.createDataFrame([(signed(v),) for v in a + b], "fp long")
-    for n in (10, 3_000_000, 10**9):
+    for widths in (simhash.WIDTHS, (2,) * 8, (1,) * 16):
         homes, visits = {}, {}
-        for row in simhash.shards(df, simhash.levels_for(n)).collect():
+        for row in simhash.shards(df, widths).collect():
             (homes if row["home"] else visits).setdefault(row["fp"], set()).add(row["shard"])
         for x, y in zip(map(signed, a), map(signed, b), strict=True):
             assert homes[x] & (homes[y] | visits.get(y, set())) or homes[y] & visits.get(x, set())
 
 
-def test_levels_grow_with_the_table():
-    levels = [simhash.levels_for(n) for n in (0, 1, 10**6, 2 * 10**6, 5 * 10**6, 10**7, 10**12)]
-    assert all(sum(w) == 16 for w in levels) and [len(w) for w in levels] == sorted(len(w) for w in levels) and len(levels[-1]) == 16
+def test_a_large_shard_is_not_compared_pair_by_pair(monkeypatch):
+    """Homes of one shard share their own quarter; the inner trees are those of the others, which find every pair."""
+    r = np.random.default_rng(7)
+    assert sum(simhash.WIDTHS) == 16
+    for quarter in (0, 1, 2):
+        own = np.uint64(0xFFFF << 16 * quarter)
+        fps = r.integers(0, 1 << 63, 4000, dtype=np.uint64) & ~own
+        fps[2000:] = fps[:2000]
+        for _ in range(4):
+            fps[2000:] ^= np.uint64(1) << r.integers(0, 64, 2000, dtype=np.uint64)
+        fps[2000:] = fps[2000:] & ~own | np.where(r.random(2000) < 0.3, np.uint64(1 << 16 * quarter), np.uint64(0))
+        compared = []
+        count = np.bitwise_count
+        monkeypatch.setattr(simhash, "OUTRIGHT", 10_000)
+        monkeypatch.setattr(np, "bitwise_count", lambda x: (compared.append(x.size), count(x))[1])
+        others = simhash.other_quarters(quarter * simhash.CELLS + 5)
+        found = {frozenset((int(x), int(y))) for a, b in simhash.near(fps, fps[:0], others) for x, y in zip(a, b, strict=True)}
+        monkeypatch.undo()
+        assert quarter not in others and sum(compared) < 4000 * 4000 / 50
+        assert found == {p for p in all_pairs(fps.tolist(), fps.tolist()) if len(p) == 2}
 
 
 def test_a_large_shard_is_a_grid_that_loses_no_pair(spark):
