@@ -122,9 +122,9 @@ def lint(df: DataFrame) -> DataFrame:
 
 
 def validate_json(df: DataFrame, text: str, key: str, schema: str, needed: Sequence[str]) -> DataFrame:
-    """key, violation and fatal for lines: placeholders, unreadable JSON, missing keys (fatal)."""
-    parsed = F.from_json(text, schema)
-    bad = parsed.isNull() | F.forall(F.array(*[parsed[c].cast("string") for c in needed]), lambda v: v.isNull())
+    """key, violation and fatal for lines: placeholders, unreadable JSON, missing keys (fatal). An object without keys is readable."""
+    parsed = F.from_json(text, f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    bad = parsed.isNull() | parsed["_corrupt"].isNotNull()
     found = [F.when(F.col(text).contains("..."), F.struct(F.lit("placeholder").alias("v"), F.lit(False).alias("f"))), F.when(bad, F.struct(F.lit("invalid json").alias("v"), F.lit(True).alias("f")))]
     found += [F.when(~bad & parsed[c].isNull(), F.struct(F.lit(f"missing {c}").alias("v"), F.lit(True).alias("f"))) for c in needed]
     return df.select(key, F.explode(F.array_compact(F.array(*found))).alias("x")).select(key, F.col("x.v").alias("violation"), F.col("x.f").alias("fatal"))

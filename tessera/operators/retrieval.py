@@ -1,12 +1,13 @@
 """Sparse, dense, hybrid and per-session top-k retrieval.
 
-Sparse search joins the query's terms to an inverted index (term, pid, tf) that is written once to the shared folder; frequent
-terms are cut by stop words and, where a caller sets it, by a document-frequency limit; the query side is broadcast by Spark
-when its size allows. Dense and session search multiply blocks of vectors by blocks of queries, see `vectors`.
+Sparse search joins the query's terms to an inverted index that is written to the shared folder once for each version of a table, with
+postings in blocks of falling impact; blocks that can't reach a query's k-th score are not read. Frequent terms are cut by stop words
+and, where a caller sets it, by a document-frequency limit. Dense and session search multiply blocks of vectors by blocks of queries, see `vectors`.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import islice
@@ -14,12 +15,13 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import vectors as V
 from tessera.operators.routing import ranked
-from tessera.sources.shared import partitions_for, written
+from tessera.sources.shared import partitions_for, scratch, shared, written
 
 #: Default stop words (fixed values); callers pass their own list for other languages or a fuller one.
 STOP_WORDS = (
@@ -58,11 +60,17 @@ def term_counts(df: DataFrame, key: str, text: str, stop_words: Sequence[str] =
 
 @dataclass
 class Index:
-    """postings (term, key, tf), idf (term, idf) and norms (key, norm) of passages, as tables of the shared folder."""
+    """postings (term, key, tf), idf (term, idf), norms (key, norm) and blocks of passages, as tables of the shared folder.
+
+    blocks: term, level, piece, top, names, weights: the passages of a term by falling impact. An impact is a weight in a row of
+    unit length; a level holds impacts within a factor of 2 ** (1 / LEVELS), least levels first; a level of more than BLOCK passages is
+    dealt over pieces. top is the greatest impact of the block.
+    """
 
     postings: DataFrame
     idf: DataFrame
     norms: DataFrame
+    blocks: DataFrame
     key: str
 
     def weights(self) -> DataFrame:
@@ -71,15 +79,90 @@ class Index:
         return weighted.select("term", self.key, (F.col("tf") * F.col("idf") / F.col("norm")).alias("w"))
 
 
-def tfidf_index(passages: DataFrame, key: str = "pid", text: str = "text", most_df: float = 1.0, stop_words: Sequence[str] = STOP_WORDS) -> Index:
-    """The inverted index of passages with smoothed idf; terms in more than `most_df` of passages are cut. Texts are split once."""
-    postings = written(term_counts(passages, key, text, stop_words), "postings")
+#: Passages of a block of postings, and levels of impact for each factor of two.
+BLOCK = 1024
+LEVELS = 2
+NO_INDEX = "PATH_NOT_FOUND"
+
+
+def _tables(passages: DataFrame, key: str, text: str, most_df: float, stop_words: Sequence[str], path: str) -> None:
+    """Writes the tables of an index below `path`. Texts are split once."""
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    postings = keep(term_counts(passages, key, text, stop_words), "postings")
     n = passages.agg(F.count("*").alias("n"))
     df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).filter(F.col("df") <= most_df * F.col("n"))
-    idf = written(df.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
+    idf = keep(df.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
     w = F.col("tf") * F.col("idf")
-    norms = written(postings.join(idf, "term").groupBy(key).agg(F.sqrt(F.sum(w * w)).alias("norm")), "norms")
-    return Index(postings, idf, norms, key)
+    norms = keep(postings.join(idf, "term").groupBy(key).agg(F.sqrt(F.sum(w * w)).alias("norm")), "norms")
+    level = F.floor(-F.log2("w") * LEVELS).cast("int")
+    weighted = Index(postings, idf, norms, norms, key).weights().withColumn("level", level)
+    large = weighted.groupBy("term", "level").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("term", "level", F.ceil(F.col("n") / BLOCK).alias("pieces"))
+    dealt = weighted.join(large, ["term", "level"], "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64(key), F.col("pieces")), F.lit(0)).cast("int"))
+    together = dealt.groupBy("term", "level", "piece").agg(F.max("w").alias("top"), F.collect_list(F.struct(key, "w")).alias("held"))
+    blocks = together.select("term", "level", "piece", "top", F.transform("held", lambda h: h[key]).alias("names"), F.transform("held", lambda h: h["w"]).alias("weights"))
+    # Rows of a term stand together, so statistics of row groups tell readers which of them to skip.
+    blocks.repartitionByRange(partitions_for(postings, TEXT_BYTES), "term", "level").sortWithinPartitions("term", "level").write.parquet(f"{path}/blocks")
+
+
+def _opened(spark: SparkSession, path: str, key: str, kind: str) -> Index:
+    read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
+    return Index(
+        read("postings", f"`{key}` {kind}, term string, tf long"), read("idf", "term string, idf double"), read("norms", f"`{key}` {kind}, norm double"),
+        read("blocks", f"term string, level int, piece int, top double, names array<{kind}>, weights array<double>"), key,
+    )
+
+
+def tfidf_index(passages: DataFrame, key: str = "pid", text: str = "text", most_df: float = 1.0, stop_words: Sequence[str] = STOP_WORDS) -> Index:
+    """The inverted index of passages with smoothed idf; terms in more than `most_df` of passages are cut."""
+    path = scratch(passages.sparkSession, "index")
+    _tables(passages, key, text, most_df, stop_words, path)
+    return _opened(passages.sparkSession, path, key, dict(passages.dtypes)[key])
+
+
+def version_of(files: DataFrame, *more: object) -> str:
+    """A digest of the files of a table, their sizes and times of change, and whatever else decides what is built from them."""
+    meta = [F.col(f"_metadata.{c}").cast("string") for c in ("file_path", "file_size", "file_modification_time")]
+    each = F.conv(F.substring(F.sha2(F.concat_ws("|", *meta), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    seen = files.select(each.alias("f")).distinct().agg(F.sum("f").alias("sum"), F.count("*").alias("n")).first()
+    return hashlib.sha256(repr((seen["sum"], seen["n"], *more)).encode()).hexdigest()[:24]
+
+
+def stored_index(files: DataFrame, passages: DataFrame, key: str = "pid", text: str = "text", most_df: float = 1.0, stop_words: Sequence[str] = STOP_WORDS) -> Index:
+    """`tfidf_index` of `passages`, which come from the table `files`: built once for each version of its files and shared from then on.
+
+    An index is built in a folder of its own and then named in the catalogue of its version, so that readers find whole ones only;
+    if two sessions build one at once, all take the first by name.
+    """
+    spark, kind = passages.sparkSession, dict(passages.dtypes)[key]
+    name = f"index-{version_of(files, key, text, most_df, tuple(stop_words), kind, BLOCK, LEVELS, str(passages.schema))}"
+    catalogue = f"{shared(spark)}/{name}"
+
+    def entry() -> str | None:
+        try:
+            return spark.read.schema("path string").parquet(catalogue).agg(F.min("path").alias("path")).first()["path"]
+        except AnalysisException as missing:
+            if missing.getCondition() != NO_INDEX:
+                raise
+            return None
+
+    path = entry()
+    if path is None:
+        path = scratch(spark, "index")
+        _tables(passages, key, text, most_df, stop_words, path)
+        spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("append").parquet(catalogue)
+        path = entry()
+    return _opened(spark, path, key, kind)
+
+
+def query_weights(queries: DataFrame, index: Index, qid: str, text: str, stop_words: Sequence[str]) -> DataFrame:
+    """qid, term and wq: rows of unit length."""
+    q = term_counts(queries, qid, text, stop_words).join(index.idf, "term").withColumn("wq", F.col("tf") * F.col("idf"))
+    norms = q.groupBy(qid).agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("norm"))
+    return q.join(norms, qid).select(qid, "term", (F.col("wq") / F.col("norm")).alias("wq"))
 
 
 def tfidf_scores(queries: DataFrame, index: Index, qid: str = "qid", text: str = "query", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
@@ -87,13 +170,41 @@ def tfidf_scores(queries: DataFrame, index: Index, qid: str = "qid", text: str =
 
     Only postings of the queries' terms are weighted; passages' norms are joined to the sums.
     """
-    q = term_counts(queries, qid, text, stop_words).join(index.idf, "term").withColumn("wq", F.col("tf") * F.col("idf"))
-    norms = q.groupBy(qid).agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("norm"))
-    q = q.join(norms, qid).select(qid, "term", (F.col("wq") * F.col("idf") / F.col("norm")).alias("wq"))
+    q = query_weights(queries, index, qid, text, stop_words).join(index.idf, "term").select(qid, "term", (F.col("wq") * F.col("idf")).alias("wq"))
     sums = index.postings.join(q, "term").groupBy(qid, index.key).agg(F.sum(F.col("wq") * F.col("tf")).alias("sum"))
     return sums.join(index.norms, index.key).select(qid, index.key, (F.col("sum") / F.col("norm")).alias("score"))
 
 
+#: Scores closer than this may be equal after rounding, so blocks are kept this much below the k-th score.
+MARGIN = 2e-6
+
+
+def tfidf_topk(queries: DataFrame, index: Index, k: int, qid: str = "qid", text: str = "query", stop_words: Sequence[str] = STOP_WORDS, digits: int = 6) -> tuple[DataFrame, DataFrame]:
+    """(qid, key, score, rank): the k passages of greatest cosine, rounded, ties by key; and (qid, n_read, n_postings).
+
+    First the blocks of greatest impact of each term are read, until they hold k passages; what they add up to is no more than the
+    passages' scores, so the k-th of these sums bounds the result from below. A block is then read only if its greatest impact, with the
+    greatest ones of the query's other terms, reaches that bound: every passage that can be among the k has all its blocks read. The
+    choice is made on rows without passages (term, level, piece, top, size). n_read: postings that were read of n_postings.
+    """
+    key = index.key
+    q = written(query_weights(queries, index, qid, text, stop_words), "query-terms")
+    directory = index.blocks.select("term", "level", "piece", "top", F.size("names").alias("size")).join(q, "term")
+    levels = directory.groupBy(qid, "term", "level").agg(F.max(F.col("wq") * F.col("top")).alias("most"), F.sum("size").alias("size"))
+    before = Window.partitionBy(qid, "term").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
+    levels = written(levels.withColumn("first", F.coalesce(F.sum("size").over(before), F.lit(0)) < k), "query-levels")
+    summed = lambda chosen: chosen.join(index.blocks, ["term", "level"]).select(qid, "wq", F.explode(F.arrays_zip("names", "weights")).alias("h")).groupBy(qid, F.col("h.names").alias(key)).agg(F.sum(F.col("wq") * F.col("h.weights")).alias("score"))
+    known = summed(levels.filter("first").join(q, [qid, "term"]).select(qid, "term", "level", "wq"))
+    low = ranked(known, [qid], "score", key, k).groupBy(qid).agg(F.count("*").alias("n"), F.min("score").alias("s")).select(qid, F.when(F.col("n") == k, F.col("s") - MARGIN).otherwise(0.0).alias("low"))
+    tops = levels.groupBy(qid, "term").agg(F.max("most").alias("term_top"))
+    whole = tops.groupBy(qid).agg(F.sum("term_top").alias("all_tops"))
+    judged = levels.join(tops, [qid, "term"]).join(whole, qid).join(low, qid)
+    read = written(judged.withColumn("read", F.col("most") + F.col("all_tops") - F.col("term_top") >= F.col("low")).select(qid, "term", "level", "size", "read"), "query-blocks")
+    scores = summed(read.filter("read").join(q, [qid, "term"]).select(qid, "term", "level", "wq"))
+    top = ranked(scores.withColumn("score", F.round("score", digits)), [qid], "score", key, k)
+    return top, read.groupBy(qid).agg(F.sum(F.when(F.col("read"), F.col("size")).otherwise(0)).alias("n_read"), F.sum("size").alias("n_postings"))
+
+
 def overlap_scores(queries: DataFrame, passages: DataFrame, qid: str = "qid", key: str = "pid") -> DataFrame:
     """Distinct tokens that a query and a passage share, where they share any, by a join on the token."""
     words = lambda df, k, t: df.select(k, F.explode(F.array_distinct(tokens(F.col(t)))).alias("term"))

@@ -147,6 +147,42 @@ def router_train(labelled: DataFrame, features: Sequence[str], label: str = "lab
     return weights, bias
 
 
+def router_sums(labelled: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
+    """label, n, sums (of the features and of 1) and products (of each two of these, row by row): one pass of partial sums.
+
+    Rows with a null feature or label are left out. What a fit needs is linear in these rows, of which there is one a label.
+    """
+    known = labelled.dropna(subset=[*features, label])
+    x = [*(F.col(f).cast("double") for f in features), F.lit(1.0)]
+    sums = [F.sum(v).alias(f"s{i}") for i, v in enumerate(x)]
+    products = [F.sum(a * b).alias(f"p{i}_{j}") for i, a in enumerate(x) for j, b in enumerate(x)]
+    out = known.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"), *sums, *products)
+    width = range(len(x))
+    return out.select("label", "n", F.array(*[f"s{i}" for i in width]).alias("sums"), F.array(*[f"p{i}_{j}" for i in width for j in width]).alias("products"))
+
+
+#: Labels that a router may have.
+MOST_LABELS = 1000
+
+
+def router_least_squares(labelled: DataFrame, features: Sequence[str], label: str = "label", ridge: float = 0.0) -> tuple[dict[str, list[float]], dict[str, float], dict[str, int]]:
+    """One-vs-rest least squares in closed form: weights and bias by label, and label counts; no features that depend on each other
+    are needed (the solution of least norm is taken). Raises ValueError without rows.
+    """
+    import numpy as np
+
+    sums = router_sums(labelled, features, label).orderBy("label").limit(MOST_LABELS + 1).collect()
+    if not sums:
+        raise ValueError("there are no labelled rows to train on")
+    if len(sums) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    width = len(features) + 1
+    gram = np.sum([r["products"] for r in sums], axis=0).reshape(width, width) + ridge * np.eye(width)
+    solved = np.linalg.pinv(gram, hermitian=True) @ np.array([r["sums"] for r in sums]).T
+    weights = {r["label"]: [float(v) for v in solved[:-1, k]] for k, r in enumerate(sums)}
+    return weights, {r["label"]: float(solved[-1, k]) for k, r in enumerate(sums)}, {r["label"]: r["n"] for r in sums}
+
+
 def best_label(df: DataFrame, modes: Sequence[str]) -> DataFrame:
     """id and label: the best single mode by success, latency and steps, if it succeeded. An aggregate, not a window."""
     order = F.struct((-F.col("success")).alias("s"), F.col("latency_ms").alias("l"), F.col("steps").alias("t"), F.col("mode").alias("m"))

@@ -308,6 +308,51 @@ def bootstrap_ci(df: DataFrame, *keys: str, resamples: int = 2_000, seed: int =
     return sums.mapInPandas(draw, ", ".join(f"{c} {types[c]}" for c in keys) + ", n long, mean double, ci_low double, ci_high double")
 
 
+
+#: Odds of a count in a Poisson draw of mean one, as whole numbers of 2 ** -32: a draw is the number of sums that it reaches.
+POISSON_STEPS = 16
+
+
+def poisson_bounds(steps: int = POISSON_STEPS) -> list[int]:
+    """Least 32-bit draws that mean a count of 1, 2, ...: the distribution function of a Poisson variable of mean 1."""
+    import math
+
+    return [round(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(steps)]
+
+
+def poisson_weight(*parts: Column) -> Column:
+    """A count by md5 of the parts, Poisson distributed with mean 1."""
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
+    return sum(((draw >= b).cast("long") for b in poisson_bounds()), F.lit(0).cast("long"))
+
+
+#: Sums that rows are added up in before they are resampled.
+POISSON_BUCKETS = 1024
+
+
+def poisson_bootstrap(df: DataFrame, keys: Sequence[str], unit: str, value: str, resamples: int = 200) -> DataFrame:
+    """keys, n, mean, ci_low, ci_high and p_value (two-sided, that the mean is 0), by Poisson weights on sums.
+
+    Rows are added up in POISSON_BUCKETS buckets of each group, by md5 of `unit`; in each resample a bucket counts Poisson times, keyed
+    by md5 of bucket and resample. So the table is read and reduced once, whatever the number of resamples, and results don't depend on
+    partitioning. Bounds are the resampled means of ranks floor(0.025 * (m - 1)) and ceil(0.975 * (m - 1)) of the m resamples
+    that are not empty. Null values are left out.
+    """
+    number = lambda c: F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
+    rows = df.select(*keys, (number(F.col(unit).cast("string")) % POISSON_BUCKETS).alias("_k"), F.col(value).cast("double").alias("_x")).filter("_x is not null")
+    buckets = rows.groupBy(*keys, "_k").agg(F.count("*").alias("_c"), F.sum("_x").alias("_t"))
+    each = buckets.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    weighted = each.withColumn("_w", poisson_weight(F.col("_k").cast("string"), F.col("_b").cast("string")))
+    sums = weighted.groupBy(*keys, "_b").agg(F.sum(F.col("_w") * F.col("_c")).alias("_n"), F.sum(F.col("_w") * F.col("_t")).alias("_s"))
+    means = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("_n") > 0, F.round(F.col("_s") / F.col("_n"), 12)))).alias("_m"))
+    whole = buckets.groupBy(*keys).agg(F.sum("_c").alias("n"), (F.sum("_t") / F.sum("_c")).alias("mean"))
+    m = F.size("_m")
+    at = lambda place: F.get("_m", place.cast("int"))
+    share = lambda keep: F.size(F.filter("_m", keep)) / m
+    p = F.least(F.lit(1.0), 2 * F.least(share(lambda x: x <= 0), share(lambda x: x >= 0)))
+    joined = means.join(whole, list(keys)) if keys else means.crossJoin(whole)
+    return joined.select(*keys, "n", "mean", at(F.floor((m - 1) * 25 / 1000)).alias("ci_low"), at(F.ceil((m - 1) * 975 / 1000)).alias("ci_high"), p.alias("p_value"))
+
 def effect_sizes(df: DataFrame, a: str, b: str) -> DataFrame:
     """Cliff's delta, Cohen's d and h, and the accuracy difference of two modes over paired questions."""
     from tessera.operators.runs import paired_modes

@@ -154,14 +154,14 @@ def lint_questions(spark, d):
     return N.lint(questions(spark, d))
 
 
-@register("validate_questions", """SELECT event_id, unnest(list_filter([CASE WHEN contains(props, '...') THEN 'placeholder' END, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 'missing' END], lambda x: x IS NOT NULL)) AS violation FROM events""")
+@register("validate_questions", """SELECT event_id, unnest(list_filter([CASE WHEN contains(props, '...') THEN 'placeholder' END, CASE WHEN NOT json_valid(props) THEN 'invalid json' WHEN json_extract_string(props, '$.k') IS NULL THEN 'missing k' END], lambda x: x IS NOT NULL)) AS violation FROM events""")
 def validate_questions(spark, d):
     """Every row is parsed and checked."""
     return violations(table(spark, d, "events"))
 
 
 def violations(e):
-    return N.validate_json(e, "props", "event_id", "k string", ["k"]).select("event_id", F.when(F.col("violation") == "placeholder", "placeholder").otherwise("missing").alias("violation"))
+    return N.validate_json(e, "props", "event_id", "k string", ["k"]).select("event_id", "violation")
 
 
 @register("dedup_keep_first", with_views("""WITH k AS (SELECT *, trim(regexp_replace(lower(text), '[ \\t\\n\\r]+', ' ', 'g')) AS key FROM documents)

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from tessera.operators import runs as R
 from tessera.operators import stats as S
 from tessera.registry import register
+from tessera.sources import catalogue as C
+from tessera.sources.shared import scratch, written
 from tessera.sources.views import raw_runs, runs, with_views
 
 MODES = ("M1", "M2", "M3")
@@ -238,17 +240,51 @@ def paired_differences(spark, d):
     return S.paired_differences(runs(spark, d), "M1", "M2")
 
 
-@register("paired_bootstrap")
+RESAMPLES = 200
+COUNT = " + ".join(f"CASE WHEN draw >= {b} THEN 1 ELSE 0 END" for b in S.poisson_bounds())
+
+
+def bootstrap_sql(rows, keys):
+    """SQL twin of the Poisson bootstrap over `rows` (keys, unit, x)."""
+    k = "".join(f"{c}, " for c in keys)
+    by = "GROUP BY " + ", ".join(keys) if keys else ""
+    return f"""SELECT {k}n, round(mean, 6) AS mean, round(m[CAST(floor((len(m) - 1) * 25 / 1000.0) AS INTEGER) + 1], 6) AS ci_low, round(m[CAST(ceil((len(m) - 1) * 975 / 1000.0) AS INTEGER) + 1], 6) AS ci_high,
+round(least(1.0, 2 * least(len(list_filter(m, lambda x: x <= 0)) / len(m), len(list_filter(m, lambda x: x >= 0)) / len(m))), 6) AS p_value FROM (
+  SELECT {k}list_sort(list(round(s / w, 12)) FILTER (w > 0)) AS m FROM (SELECT {k}b, sum(w * c) AS w, sum(w * t) AS s FROM (
+    SELECT {k}c, t, b, {COUNT} AS w FROM (SELECT {k}c, t, b, ('0x' || substr(md5(CAST(bucket AS VARCHAR) || '|' || CAST(b AS VARCHAR)), 1, 8))::BIGINT AS draw FROM (
+      SELECT {k}('0x' || substr(md5(unit), 1, 8))::BIGINT % {S.POISSON_BUCKETS} AS bucket, count(*) AS c, sum(x) AS t FROM ({rows}) GROUP BY {k}bucket), (SELECT unnest(range(1, {RESAMPLES + 1})) AS b)))
+  GROUP BY {k}b) {by}) m {f"JOIN (SELECT {k}count(*) AS n, avg(x) AS mean FROM ({rows}) {by}) USING ({', '.join(keys)})" if keys else f", (SELECT count(*) AS n, avg(x) AS mean FROM ({rows}))"}"""
+
+
+def rounded_bounds(df):
+    return df.withColumns({c: S.rounded(F.col(c)) for c in ("mean", "ci_low", "ci_high", "p_value")})
+
+
+PAIRS = "SELECT id AS unit, a - b AS x FROM (SELECT id, CAST(max(success) FILTER (WHERE mode = 'M1') AS DOUBLE) AS a, max(success) FILTER (WHERE mode = 'M2') AS b FROM runs GROUP BY domain, id) WHERE a IS NOT NULL AND b IS NOT NULL"
+
+
+@register("paired_bootstrap", sql(bootstrap_sql(PAIRS, ())))
 def paired_bootstrap(spark, d):
-    return S.paired_bootstrap(runs(spark, d), "M1", "M2")
+    """Mean difference of M1 and M2 over the questions that both answered."""
+    pairs = R.paired_modes(runs(spark, d), "M1", "M2").withColumn("x", F.col("success_a") - F.col("success_b"))
+    return rounded_bounds(S.poisson_bootstrap(pairs, (), "id", "x", RESAMPLES))
+
 
+GROUPS = "SELECT mode, 'all' AS type, 'pooled' AS domain, id AS unit, CAST(success AS DOUBLE) AS x FROM runs UNION ALL SELECT mode, type, 'pooled', id, success FROM runs UNION ALL SELECT mode, 'all', domain, id, success FROM runs"
 
-@register("bootstrap_ci")
+
+@register("bootstrap_ci", sql(bootstrap_sql(GROUPS, ("mode", "type", "domain"))))
 def bootstrap_ci(spark, d):
-    df = runs(spark, d)
-    by_mode = S.bootstrap_ci(df, "mode").withColumns({"type": F.lit("all"), "domain": F.lit("pooled")})
-    by_type = S.bootstrap_ci(df, "mode", "type").withColumn("domain", F.lit("pooled"))
-    return by_mode.unionByName(by_type).unionByName(S.bootstrap_ci(df, "domain", "mode").withColumn("type", F.lit("all")))
+    """Mean success by mode, mode and type, domain and mode: one pass over the runs for all three."""
+    df = runs(spark, d).select("id", "success", "mode", F.explode(F.array(
+        F.struct(F.lit("all").alias("type"), F.lit("pooled").alias("domain")), F.struct(F.col("type"), F.lit("pooled").alias("domain")), F.struct(F.lit("all").alias("type"), F.col("domain")))).alias("g"))
+    return rounded_bounds(S.poisson_bootstrap(df.select("id", "success", "mode", "g.type", "g.domain"), ("mode", "type", "domain"), "id", "success", RESAMPLES))
+
+
+@register("multinomial_bootstrap")
+def multinomial_bootstrap(spark, d):
+    """The form that draws resamples from counts alone."""
+    return S.paired_bootstrap(runs(spark, d), "M1", "M2")
 
 
 @register("effect_sizes_basic", sql("""
@@ -376,6 +412,25 @@ def latest_run(spark, d):
     return R.latest_run(runs(spark, d), F.col("run_id").startswith("1996").cast("int")).select("id", "mode", "run_id")
 
 
+NAMED = """named AS (SELECT 'runs/eval_joined_' || domain || '_' || run_id || CASE WHEN run_id LIKE '1997%' THEN '_calibrated' ELSE '' END || '.csv' AS path, max(latency_ms) AS changed, domain, run_id AS stamp, run_id LIKE '1997%' AS calibrated FROM runs GROUP BY domain, run_id),
+traces AS (SELECT 'runs/trace_' || run_id || '.jsonl' AS path, run_id AS stamp, max(latency_ms) AS changed FROM runs WHERE run_id LIKE '%0__000000' OR run_id LIKE '1996%' GROUP BY run_id)"""
+
+
+@register("latest_files", sql(f"""WITH {NAMED}, chosen AS (SELECT 'newest of domain' AS choice, * FROM named QUALIFY row_number() OVER (PARTITION BY domain ORDER BY changed DESC, path DESC) = 1
+UNION ALL (SELECT 'calibrated first', * FROM named ORDER BY calibrated DESC, changed DESC, path DESC LIMIT 1) UNION ALL SELECT 'joined', * FROM named WHERE NOT calibrated)
+SELECT choice, c.path, coalesce(t.path, (SELECT max_by(path, changed) FROM traces)) AS trace FROM chosen c LEFT JOIN traces t USING (stamp)"""))
+def latest_files(spark, d):
+    """Choices from a catalogue of files named by the domains and months of all runs."""
+    df, month = runs(spark, d), F.col("run_id")
+    named = df.groupBy("domain", "run_id").agg(F.max("latency_ms").alias("changed"))
+    suffix = F.when(month.startswith("1997"), "_calibrated").otherwise("")
+    paths = named.select(F.concat(F.lit("runs/eval_joined_"), "domain", F.lit("_"), month, suffix, F.lit(".csv")).alias("path"), "changed")
+    traces = df.filter(month.like("%0__000000") | month.startswith("1996")).groupBy("run_id").agg(F.max("latency_ms").alias("changed"))
+    files = written(C.catalogue(paths.unionByName(traces.select(F.concat(F.lit("runs/trace_"), month, F.lit(".jsonl")).alias("path"), "changed"))), "catalogue")
+    tagged = lambda name, rows: C.with_traces(rows, files).select(F.lit(name).alias("choice"), "path", "trace")
+    return tagged("newest of domain", C.newest_by_domain(files)).unionByName(tagged("calibrated first", C.calibrated_first(files))).unionByName(tagged("joined", C.joined_runs(files)))
+
+
 @register("failure_sample", sql("SELECT id, mode, type FROM runs WHERE success = 0 ORDER BY id, mode LIMIT 20"))
 def failure_sample(spark, d):
     return R.failure_sample(runs(spark, d)).select("id", "mode", "type")
@@ -407,9 +462,10 @@ def union_runs(spark, d):
 
 @register("pool_runs", sql("SELECT domain, count(*) AS n FROM runs GROUP BY domain"))
 def pool_runs(spark, d):
-    df = runs(spark, d)
-    parts = [df.filter(F.col("domain") == x) for x in ("F", "O", "P")]
-    return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True).groupBy("domain").agg(F.count("*").alias("n"))
+    """Runs of all domains, each kept in its own folder, as one table: whatever domains there are."""
+    df, path = runs(spark, d).drop("run_id"), scratch(spark, "runs-by-domain")
+    df.repartition("domain").write.partitionBy("domain").parquet(path)
+    return spark.read.schema(df.schema).parquet(path).groupBy("domain").agg(F.count("*").alias("n"))
 
 
 @register("merge_unique", sql("SELECT id, mode FROM (SELECT id, mode, row_number() OVER (PARTITION BY id ORDER BY o, mode) AS nth FROM (SELECT id, mode, 1 AS o FROM runs WHERE mode = 'M2' UNION ALL SELECT id, mode, 2 FROM runs WHERE mode = 'M3')) WHERE nth = 1"))

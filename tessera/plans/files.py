@@ -88,11 +88,41 @@ def _ingested_lines(spark, path):
 def memory_persistence(spark, d):
     from tessera.operators import memory
 
-    path, c = scratch(spark, "memories"), table(spark, d, "conversations")
-    rows = c.select(F.col("conv_id").cast("string").alias("session_id"), F.col("text").alias("content"), "turn")
-    memory.add(rows.filter("turn % 2 = 0"), path)
-    memory.add(rows.filter("turn % 2 = 1"), path)
-    return spark.read.schema("content string, turn long, session_id string").parquet(path).groupBy("session_id").agg(F.count("*").alias("n"))
+    path, rows = scratch(spark, "memories"), _memories(spark, d)
+    memory.add(rows.filter("turn % 2 = 0"), path, 1)
+    memory.add(rows.filter("turn % 2 = 1"), path, 2)
+    return memory.read(spark, path, rows.schema).groupBy("session_id").agg(F.count("*").alias("n"))
+
+
+def _memories(spark, d):
+    c = table(spark, d, "conversations")
+    return c.select(F.col("conv_id").cast("string").alias("session_id"), F.col("text").alias("content"), "turn")
+
+
+@register("memory_log", """SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) AS n, CAST(sum(turn) AS BIGINT) AS turns FROM conversations WHERE conv_id % 5 <> 0 OR turn % 3 = 2 GROUP BY conv_id""")
+def memory_log(spark, d):
+    """Turns in three batches, one of them written twice; sessions are flushed before the last; the first two are compacted."""
+    from tessera.operators import memory
+
+    path, rows = scratch(spark, "memories"), _memories(spark, d)
+    memory.add(rows.filter("turn % 3 = 0"), path, 1)
+    for _ in range(2):
+        memory.add(rows.filter("turn % 3 = 1"), path, 2)
+    memory.flush(rows.filter("session_id % 5 = 0"), path, 3)
+    memory.compact(spark, path, 3, rows.schema)
+    memory.add(rows.filter("turn % 3 = 2"), path, 4)
+    return memory.read(spark, path, rows.schema).groupBy("session_id").agg(F.count("*").alias("n"), F.sum("turn").alias("turns"))
+
+
+@register("memory_reset", "SELECT count(*) AS n FROM conversations WHERE turn % 2 = 1")
+def memory_reset(spark, d):
+    from tessera.operators import memory
+
+    path, rows = scratch(spark, "memories"), _memories(spark, d)
+    memory.add(rows.filter("turn % 2 = 0"), path, 1)
+    memory.reset(spark, path, 1, rows.schema)
+    memory.add(rows.filter("turn % 2 = 1"), path, 2)
+    return memory.read(spark, path, rows.schema).agg(F.count("*").alias("n"))
 
 
 @register("stream_trace_summary", "SELECT event_type AS mode, count(*) AS n, round(avg(CASE WHEN value > 50 THEN 1 ELSE 0 END), 6) AS accuracy, round(avg(value), 4) AS avg_latency_ms FROM events GROUP BY event_type")
@@ -110,10 +140,13 @@ def _event_stream(spark, d):
     return jobs.read_traces(spark, path, "mode string, success int, latency_ms double", files_per_trigger=2)
 
 
-@register("stream_memory_append", "SELECT role, count(*) AS n FROM conversations GROUP BY role")
+@register("stream_memory_append", "SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY conv_id")
 def stream_memory_append(spark, d):
+    from tessera.operators import memory
+
     source, out = scratch(spark, "in"), scratch(spark, "out")
-    table(spark, d, "conversations").select("role", F.col("text").alias("content")).repartition(3).write.json(source)
-    stream = jobs.read_traces(spark, source, "role string, content string", files_per_trigger=1)
+    _memories(spark, d).select("session_id", "content").repartition(3).write.json(source)
+    stream = jobs.read_traces(spark, source, "session_id string, content string", files_per_trigger=1)
     jobs.append_memories(stream, out, scratch(spark, "stream"), lambda c: F.array(F.length(c).cast("double")))
-    return spark.read.parquet(out).groupBy("role").agg(F.count("*").alias("n"))
+    rows = memory.read(spark, out, spark.createDataFrame([], "session_id string, content string, embedding array<double>").schema)
+    return rows.groupBy("session_id").agg(F.count("*").alias("n"), F.sum(F.get("embedding", F.lit(0)).cast("long")).alias("n_chars"))

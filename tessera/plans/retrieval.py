@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from tessera.operators import embedding as E
 from tessera.operators import memory as M
 from tessera.operators import retrieval as R
 from tessera.operators.routing import ranked
 from tessera.operators.stats import rounded
 from tessera.registry import register
+from tessera.sources.shared import scratch
 from tessera.sources.views import table, view, with_views
 
 STOP = "[" + ", ".join(f"'{w}'" for w in R.STOP_WORDS) + "]"
@@ -31,12 +33,17 @@ def asks(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
+def index(spark, d):
+    """One index of the documents for all queries."""
+    return R.stored_index(table(spark, d, "documents"), passages(spark, d))
+
+
 def sparse(spark, d):
-    return R.tfidf_scores(asks(spark, d), R.tfidf_index(passages(spark, d)))
+    return R.tfidf_scores(asks(spark, d), index(spark, d))
 
 
 def hits(spark, d, k=5):
-    return ranked(sparse(spark, d).withColumn("score", rounded(F.col("score"))), ["qid"], "score", "pid", k)
+    return R.tfidf_topk(asks(spark, d), index(spark, d), k)[0]
 
 
 @register("extractive_answer", with_views("""SELECT qid, coalesce(substr(text, 1, 220) || ' [' || CAST(pid AS VARCHAR) || ']', 'Insufficient context') AS answer
@@ -48,7 +55,7 @@ def extractive_answer(spark, d):
 
 @register("tfidf_index", with_views("SELECT term, pid, round(w, 6) AS w FROM post", "post"))
 def tfidf_index(spark, d):
-    return R.tfidf_index(passages(spark, d)).weights().select("term", "pid", rounded(F.col("w")).alias("w"))
+    return index(spark, d).weights().select("term", "pid", rounded(F.col("w")).alias("w"))
 
 
 @register("tfidf_search", with_views("SELECT qid, pid, score, rank FROM hits", "hits"))
@@ -56,6 +63,12 @@ def tfidf_search(spark, d):
     return hits(spark, d).select("qid", "pid", "score", "rank")
 
 
+@register("postings_read", with_views("SELECT qid, count(*) AS n_postings FROM (SELECT DISTINCT qid, term FROM qtf) JOIN ptf USING (term) GROUP BY qid", "ptf", "qtf"))
+def postings_read(spark, d):
+    """What a search for five passages has to choose from."""
+    return R.tfidf_topk(asks(spark, d), index(spark, d), 5)[1].filter("n_read <= n_postings").select("qid", "n_postings")
+
+
 WORDS = "SELECT DISTINCT {k}, unnest({t}) AS term FROM {v}"
 
 
@@ -127,7 +140,9 @@ def min_score_filter(spark, d):
     return R.session_topk(*sessions(spark, d), 5, least=0.5).filter(five_digits(F.col("score")) >= 0.5).drop("score")
 
 
-HYBRID = f"""vecs AS (SELECT vec_id AS pid, embedding::DOUBLE[] AS e FROM embeddings), qs AS (SELECT asks.qid, vecs.e FROM asks JOIN vecs ON asks.qid = vecs.pid),
+DIM = 16
+DIGEST = f"list_transform(range(0, {DIM}), lambda i: ('0x' || substr(md5({{c}} || '|' || CAST(i AS VARCHAR)), 1, 8))::BIGINT / 2147483647.5 - 1)"
+HYBRID = f"""vecs AS (SELECT pid, {DIGEST.format(c='text')} AS e FROM passages), qs AS (SELECT qid, {DIGEST.format(c='query')} AS e FROM asks),
 near AS (SELECT qs.qid, vecs.pid, list_cosine_similarity(vecs.e, qs.e) AS dense, coalesce(sparse.score, 0) AS sp FROM qs CROSS JOIN vecs LEFT JOIN sparse ON sparse.qid = qs.qid AND sparse.pid = vecs.pid),
 m AS (SELECT qid, avg(dense) AS dm, stddev_pop(dense) AS ds, avg(sp) AS sm, stddev_pop(sp) AS ss FROM near GROUP BY qid),
 fused AS (SELECT qid, pid, round(0.5 * CASE WHEN ss > 1e-9 THEN (sp - sm) / ss ELSE 0 END + 0.5 * CASE WHEN ds > 1e-9 THEN (dense - dm) / ds ELSE 0 END, 6) AS score FROM near JOIN m USING (qid)),
@@ -135,12 +150,10 @@ hybrid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY
 
 
 def hybrid(spark, d):
-    """Passages that have a vector, asked by benchmark items that have one."""
-    e = table(spark, d, "embeddings")
-    vectors = e.select(F.col("vec_id").alias("pid"), "embedding")
-    queries = asks(spark, d).join(e.select(F.col("vec_id").alias("qid"), "embedding"), "qid")
-    found = sparse(spark, d).join(vectors.select("pid"), "pid", "left_semi").join(queries.select("qid"), "qid", "left_semi")
-    return R.hybrid_topk(found, vectors, queries, 5)
+    """All passages, asked by all benchmark items, with vectors by digest of the text."""
+    vectors = passages(spark, d).select("pid", R.hash_embed(F.col("text"), DIM).alias("embedding"))
+    queries = asks(spark, d).select("qid", R.hash_embed(F.col("query"), DIM).alias("embedding"))
+    return R.hybrid_topk(sparse(spark, d), vectors, queries, 5)
 
 
 @register("hybrid_search", with_views(f"WITH {HYBRID} SELECT qid, pid, rank, round(score, 4) AS score FROM hybrid", "sparse"))
@@ -169,18 +182,30 @@ def hash_embed(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.posexplode(R.hash_embed(F.col("text"))).alias("i", "x")).withColumn("x", rounded(F.col("x")))
 
 
-@register("embed_batch")
+@register("embed_batch", f"WITH r AS (SELECT doc_id, {DIGEST.format(c='text')} AS v FROM documents) SELECT doc_id, round(list_sum(list_transform(v, lambda x, i: x * i)) / sqrt(list_dot_product(v, v)), 5) AS checksum FROM r")
 def embed_batch(spark, d):
-    import numpy as np
+    """Texts through the store of embeddings, with the digest encoder."""
+    found, _ = E.embed_stored(table(spark, d, "documents").select("doc_id", "text"), "text", scratch(spark, "embeddings"), E.digest_encoder(DIM), "digest", DIM)
+    checksum = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return found.select("doc_id", rounded(checksum, 5).alias("checksum"))
+
 
-    lengths = lambda texts: np.stack([texts.str.len(), texts.str.count("a"), texts.str.count("e") + 1], axis=1)
-    return R.embed_batch(table(spark, d, "benchmark"), "text", lengths).select("item_id", "embedding")
+@register("embed_again", """SELECT * FROM (SELECT 'even ids' AS asked, count(DISTINCT text) AS encoded FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'all', count(DISTINCT text) FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)
+UNION ALL SELECT 'all again', 0 UNION ALL SELECT 'all, 4 numbers', count(DISTINCT text) FROM documents)""")
+def embed_again(spark, d):
+    """How many texts each of four calls encodes: what the store has isn't encoded again, a new dimension lacks all."""
+    docs, path = table(spark, d, "documents").select("doc_id", "text"), scratch(spark, "embeddings")
+    rows = []
+    for asked, df, dim in (("even ids", docs.filter("doc_id % 2 = 0"), 8), ("all", docs, 8), ("all again", docs, 8), ("all, 4 numbers", docs, 4)):
+        _, batch = E.embed_stored(df, "text", path, E.digest_encoder(dim), "digest", dim)
+        rows.append((asked, E.encoded(spark, path, batch)))
+    return spark.createDataFrame(rows, "asked string, encoded long")
 
 
 @register("memory_flush", "SELECT count(*) FILTER (WHERE conv_id = 3) AS removed, count(*) FILTER (WHERE conv_id <> 3) AS kept FROM conversations")
 def memory_flush(spark, d):
     m = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("text").alias("content"))
-    kept, removed = M.flush(m, "3")
+    kept, removed = M.flushed(m, "3")
     return removed.crossJoin(kept.agg(F.count("*").alias("kept")))
 
 

@@ -176,14 +176,41 @@ def route_then_compose(spark, d):
     return df.select("id", "mode", "action", G.compose_answer(F.col("action"), mem_(), search_(), sym_()).alias("answer"))
 
 
-@register("router_train")
-def router_train(spark, d):
+FEATURES = "SELECT id, avg(confidence) AS mem, avg(steps) AS steps, avg(CASE WHEN product % 3 = 0 THEN 1.0 ELSE 0.0 END) AS f FROM runs GROUP BY id"
+LABELS = "SELECT id, mode AS label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY success DESC, latency_ms, steps, mode) AS nth FROM runs WHERE mode IN ('M1', 'M2', 'M3')) WHERE nth = 1 AND success = 1"
+
+
+def labelled(spark, d):
     df = runs(spark, d).withColumn("f", (F.col("product") % 3 == 0).cast("double"))
-    labels = G.best_label(df, ("M1", "M2", "M3"))
     features = df.groupBy("id").agg(F.avg("confidence").alias("mem"), F.avg("steps").alias("steps"), F.avg("f").alias("f"))
-    weights, bias = G.router_train(features.join(labels, "id"), ["mem", "steps", "f"])
-    rows = [(k, float(bias[k]), weights[k]) for k in weights]
-    return spark.createDataFrame(rows, "label string, bias double, weights array<double>").join(labels.groupBy("label").agg(F.count("*").alias("n_train")), "label")
+    return features.join(G.best_label(df, ("M1", "M2", "M3")), "id")
+
+
+def model(spark, weights, bias, counts):
+    total = sum(counts.values())
+    rows = [(k, float(bias[k]), *map(float, weights[k]), counts[k], total) for k in weights]
+    return spark.createDataFrame(rows, "label string, bias double, w_mem double, w_steps double, w_f double, label_count long, n_train long")
+
+
+#: Solved by Cramer's rule from covariances with each label's indicator.
+@register("router_train", sql(f"""WITH rows AS (SELECT mem, steps, f, label FROM ({FEATURES}) JOIN ({LABELS}) USING (id)), x AS (SELECT rows.*, l.label AS k, CASE WHEN rows.label = l.label THEN 1.0 ELSE 0.0 END AS y FROM rows, (SELECT DISTINCT label FROM rows) l),
+c AS (SELECT k, avg(y) AS y, avg(mem) AS m, avg(steps) AS s, avg(f) AS g, covar_pop(mem, mem) AS mm, covar_pop(steps, steps) AS ss, covar_pop(f, f) AS ff, covar_pop(mem, steps) AS ms, covar_pop(mem, f) AS mf, covar_pop(steps, f) AS sf,
+  covar_pop(mem, y) AS my, covar_pop(steps, y) AS sy, covar_pop(f, y) AS fy, CAST(sum(y) AS BIGINT) AS label_count, count(*) AS n_train FROM x GROUP BY k),
+d AS (SELECT *, mm * (ss * ff - sf * sf) - ms * (ms * ff - sf * mf) + mf * (ms * sf - ss * mf) AS det FROM c),
+w AS (SELECT *, (my * (ss * ff - sf * sf) - ms * (sy * ff - sf * fy) + mf * (sy * sf - ss * fy)) / det AS wm, (mm * (sy * ff - sf * fy) - my * (ms * ff - sf * mf) + mf * (ms * fy - sy * mf)) / det AS ws,
+  (mm * (ss * fy - sy * sf) - ms * (ms * fy - sy * mf) + my * (ms * sf - ss * mf)) / det AS wf FROM d)
+SELECT k AS label, round(y - wm * m - ws * s - wf * g, 5) AS bias, round(wm, 5) AS w_mem, round(ws, 5) AS w_steps, round(wf, 5) AS w_f, label_count, n_train FROM w"""))
+def router_train(spark, d):
+    """Least squares in closed form, from one pass of sums."""
+    out = model(spark, *G.router_least_squares(labelled(spark, d), ["mem", "steps", "f"]))
+    return out.withColumns({c: rounded(F.col(c), 5) for c in ("bias", "w_mem", "w_steps", "w_f")})
+
+
+@register("router_train_logistic")
+def router_train_logistic(spark, d):
+    rows = labelled(spark, d)
+    weights, bias = G.router_train(rows, ["mem", "steps", "f"])
+    return model(spark, weights, bias, {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()})
 
 
 POLICY = {"MEM": [0.1, 0.2, 1.0, 0.0, 0.0, 0.3, -0.1, 0.2], "SEARCH": [0.0, 0.1, 0.0, 1.0, 0.0, 0.5, -0.1, 0.1], "SYM": [0.0, 0.5, 0.0, 0.0, 1.2, 0.0, 0.0, 0.0], "STOP": [-0.2, 0.0, 0.2, 0.2, 0.2, 0.0, 1.0, -0.5]}

@@ -2,26 +2,46 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+
+#: Column that tells bad JSON from rows of nulls.
+CORRUPT = "_corrupt_line"
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False, comments: bool = False) -> DataFrame:
     """JSON lines: blank lines are skipped, bad ones dropped (or an error if strict), lines with # skipped on request."""
     if comments:
         lines = spark.read.text(path).filter(~F.ltrim("value").startswith("#") & (F.trim("value") != ""))
-        row = F.from_json("value", schema, {"mode": "FAILFAST" if strict else "PERMISSIVE"})
-        return lines.select(row.alias("r")).filter("r is not null").select("r.*")
+        if strict:
+            return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+        row = F.from_json("value", f"{schema}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT})
+        return lines.select(row.alias("r")).filter(F.col("r").isNotNull() & F.col(f"r.{CORRUPT}").isNull()).select("r.*").drop(CORRUPT)
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
+def headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """f and h: each file and its first line, by one job; a row for each file, as many as the caller lists."""
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.col("value").alias("h"))
+    return lines.withColumn("p", F.monotonically_increasing_id()).filter("b = 0 and h <> ''").groupBy("f").agg(F.min_by("h", "p").alias("h"))
+
+
 def read_runs(spark: SparkSession, paths: Sequence[str], defaults: Mapping[str, object]) -> DataFrame:
     """CSVs with headers as one table: tagged by file, missing columns added, nulls replaced by defaults."""
+    # Files with one header are one scan, however many there are.
+    heads: dict[str, list[str]] = {}
+    for file, head in sorted((r["f"], r["h"]) for r in headers(spark, paths).collect()):
+        heads.setdefault(head, []).append(file)
     out = None
-    for path in paths:
-        one = spark.read.option("header", True).csv(path).withColumn("source_file", F.col("_metadata.file_name"))
+    for head, files in heads.items():
+        names = next(csv.reader([head]))
+        schema = StructType([StructField(name, StringType()) for name in names])
+        one = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(files).withColumn("source_file", F.col("_metadata.file_name"))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     for name, value in defaults.items():
         have = F.col(name).try_cast("double") if name in out.columns and isinstance(value, (int, float)) else F.col(name) if name in out.columns else F.lit(None)
@@ -35,6 +55,17 @@ def read_text_docs(spark: SparkSession, path: str, one_line: bool = False) -> Da
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc_id"), text.alias("text"))
 
 
+#: A cell of a CSV line after its comma: quoted, with doubled quotes inside, or up to the next comma.
+CELL = r',("(?:[^"]|"")*"|[^,]*)'
+
+
+def csv_cells(line: Column) -> Column:
+    """Cells of a CSV line, joined by blanks; commas inside quotes are part of a cell."""
+    cells = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CELL), F.lit(1))
+    plain = lambda c: F.when(c.rlike('^".*"$'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
+    return F.array_join(F.transform(cells, plain), " ")
+
+
 def ingest_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Text of files by extension, and the files of unknown kinds, for quarantine.
 
@@ -44,7 +75,7 @@ def ingest_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc_id"), F.col("value"))
     kind = F.lower(F.regexp_extract("doc_id", r"\.([A-Za-z0-9]+)$", 1))
     rows = F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")
-    csv = F.array_join(F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), lambda x: F.replace(x, F.lit(","), F.lit(" "))), "\n")
+    csv = F.array_join(F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), csv_cells), "\n")
     objects = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<map<string,string>>")
     pretty = F.when(F.size(objects) == 1, F.to_json(F.get(objects, F.lit(0)), {"pretty": "true"}))
     text = F.when(kind.isin("txt", "md"), F.col("value")).when(kind == "csv", csv).when(kind == "json", F.coalesce(pretty, F.col("value")))

@@ -11,15 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that SETTING names; where it is unset, in one of our own in a local session, or else an error."""
+def shared(spark: SparkSession) -> str:
+    """The folder that SETTING names; where it is unset, one of our own in a local session, or else an error."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not folder:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError(f"{SETTING} must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set(SETTING, folder)
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tessera.operators import memory
+
 
 def read_traces(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1000, format: str = "json") -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(format).load(path)
@@ -26,10 +28,10 @@ def run_available(df: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
 
 
 def append_memories(stream: DataFrame, path: str, checkpoint: str, embed: Callable[[Column], Column]) -> StreamingQuery:
-    """Embed each micro-batch and append it by session; a repeated batch replaces itself by its id."""
+    """Embed each micro-batch and append it to the session log at `path`; a repeated batch replaces itself by its number."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("embedding", embed(F.col("content"))).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        memory.add(batch.withColumn("embedding", embed(F.col("content"))), path, number)
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

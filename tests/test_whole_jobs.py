@@ -39,9 +39,9 @@ def test_searches_answer_every_stated_query(spark, name):
 
 @tables
 def test_every_event_is_validated(spark, tmp_path):
-    spark.createDataFrame([(1, '{"k": "..."}'), (2, '{"k": "v"}'), (3, "{}"), (5, '{"k": "v"}')], "event_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(1, '{"k": "..."}'), (2, '{"k": "v"}'), (3, "{}"), (5, '{"k": "v"}'), (6, "not json")], "event_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
     got = {tuple(r) for r in QUERIES["validate_questions"](spark, f"file://{tmp_path}").collect()}
-    assert got == {(1, "placeholder"), (3, "missing")}
+    assert got == {(1, "placeholder"), (3, "missing k"), (6, "invalid json")}
 
 
 @tables
