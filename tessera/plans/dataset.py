@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tessera.operators import mining as G
 from tessera.operators import normalize as N
 from tessera.operators import runs as R
 from tessera.operators import text as T
@@ -255,13 +256,26 @@ def extract_title(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("doc"), T.extract_title(t).alias("title"))
 
 
-@register("doc_questions", with_views("""SELECT type, count(*) AS n FROM (SELECT 'recall' AS type FROM part UNION ALL SELECT 'open' FROM part UNION ALL SELECT CASE WHEN regexp_matches(p_brand, '[0-9]') THEN 'recall' ELSE 'open' END FROM part) GROUP BY type""", "sheets"))
+CAPS = "(SELECT count(*) AS parts, count(*) + count(*) // 2 AS recalls FROM part)"
+NEAR = "trim(regexp_replace(substr(text, CAST(greatest(0, start - 40) + 1 AS BIGINT), CAST(start + length(value) + 40 - greatest(0, start - 40) AS BIGINT)), '[ \\t\\n\\r]+', ' ', 'g'))"
+
+
+@register("doc_questions", with_views(f"""WITH kv AS (SELECT p_partkey AS doc, 'Brand' AS label, trim(p_brand) AS value, 0 AS line_no, 'open' AS type FROM part UNION ALL SELECT p_partkey, 'Type', trim(p_type), 1, 'open' FROM part
+UNION ALL SELECT p_partkey, 'Weight', CAST(p_size AS VARCHAR) || ' kg, ' || CAST(p_size + 1 AS VARCHAR) || '.5 kWh', 2, 'recall' FROM part),
+places AS (SELECT doc, text, CAST(p_size AS VARCHAR) || ' kg' AS value, strpos(text, 'Weight  ') + 7 AS start FROM sheets JOIN part ON p_partkey = doc UNION ALL SELECT doc, text, CAST(p_size + 1 AS VARCHAR) || '.5 kWh', strpos(text, ' kg, ') + 4 FROM sheets JOIN part ON p_partkey = doc),
+items AS (SELECT 1 AS pass, doc, line_no AS place, type, 'According to ' || CAST(doc AS VARCHAR) || ', what is the ' || label || '?' AS query, value AS expected FROM kv WHERE NOT (type = 'open' AND line_no = 0 AND doc % 10 = 0)
+UNION ALL SELECT 2, doc, start, 'recall', 'In ' || CAST(doc AS VARCHAR) || ', what is the value reported near: "' || CASE WHEN length({NEAR}) > 120 THEN substr({NEAR}, 1, 120) || '...' ELSE {NEAR} END || '"?', value FROM places),
+nth AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY pass, doc, place) AS nth FROM items), used AS (SELECT count(*) AS used FROM part WHERE p_partkey % 10 = 0)
+SELECT CASE type WHEN 'open' THEN 'docopen-' || lpad(CAST(nth - 1 + used AS VARCHAR), 6, '0') ELSE 'docrec-' || lpad(CAST(nth - 1 AS VARCHAR), 6, '0') END AS id, type, CAST(doc AS VARCHAR) AS source, query, expected, CAST(pass AS INTEGER) AS pass
+FROM nth, used, {CAPS} WHERE nth <= CASE type WHEN 'open' THEN parts ELSE recalls END""", "sheets"))
 def doc_questions(spark, d):
-    kv = T.extract_kv(sheets(spark, d), "doc", "text")
-    q = F.concat(F.lit("According to "), F.col("doc").cast("string"), F.lit(", what is the "), F.lower("label"), F.lit("?"))
-    items = kv.select(F.when(F.col("value").rlike("[0-9]"), "recall").otherwise("open").alias("type"), q.alias("query"), "value", "doc", "line_no")
-    kept = R.cap_per_group(R.dedup_keep_first(items, ["query", "value"], ["doc"]), ["doc", "type"], ["line_no"], 12)
-    return kept.groupBy("type").agg(F.count("*").alias("n"))
+    """Items of all sheets, up to one open and one and a half recall items for each; every tenth brand is asked already."""
+    parts = table(spark, d, "part")
+    docs = sheets(spark, d).select(F.col("doc").alias("at"), F.col("doc").cast("string").alias("source"), "text")
+    asked, n = parts.filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("key")), parts.count()
+    number = F.lpad((F.col("key") / 10).cast("long").cast("string"), 6, "0")
+    existing = asked.select(F.concat(F.lit("docopen-"), number).alias("id"), F.concat(F.lit("ACCORDING to "), F.col("key").cast("string"), F.lit(",  what is the brand?")).alias("query"))
+    return G.mine(docs, existing, n, n + n // 2)
 
 
 @register("numshift", "SELECT p_partkey, CAST(greatest(0, p_size - 10) AS VARCHAR) || ' of x' || CAST(p_size AS VARCHAR) || ', ' || CAST(greatest(0, p_size - 9) AS VARCHAR) || '.' AS shifted FROM part")
