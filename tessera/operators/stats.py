@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tessera.sources.shared import written
+
 #: Two-sided 95 % quantile of the normal distribution, to the digits that the published tables use.
 Z95 = 1.96
 THRESHOLDS = [round(i * 0.02, 4) for i in range(51)]
-#: Equal parts of [0, 1] that confidences are ranked and pooled in.
+#: Ranges of a group's confidences that are ranked and pooled by themselves, and the step of the coarse search among their bounds.
 SLOTS = 1024
+STRIDE = 32
 
 
 def rounded(c: Column, digits: int = 6) -> Column:
@@ -149,10 +152,21 @@ def confidence_rows(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def confidence_sums(df: DataFrame, *keys: str) -> DataFrame:
-    """n and k (successes) at each distinct confidence, clipped to [0, 1], with its slot of SLOTS equal parts; nulls are out."""
+    """n and k (successes) at each distinct confidence, clipped to [0, 1], with its slot; nulls are out.
+
+    Slots are ranges of a group's distinct confidences between sketched quantiles, so they hold about as many each, however close
+    the confidences lie. The sums are written once: they are few beside the rows, and what follows reads them more than once.
+    """
     clipped = df.filter(F.col("confidence").isNotNull()).withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))))
-    sums = clipped.groupBy(*keys, "confidence").agg(F.count("*").alias("n"), F.sum("success").cast("long").alias("k"))
-    return sums.withColumn("slot", F.least(F.lit(SLOTS - 1), F.floor(F.col("confidence") * SLOTS)).cast("int"))
+    sums = written(clipped.groupBy(*keys, "confidence").agg(F.count("*").alias("n"), F.sum("success").cast("long").alias("k")), "confidence-sums")
+    places = F.array(*[F.lit(k / SLOTS) for k in range(1, SLOTS)])
+    bounds = sums.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.percentile_approx("confidence", places, F.lit(10 * SLOTS)))).alias("_bounds"))
+    bounds = bounds.withColumn("_coarse", F.filter("_bounds", lambda b, i: i % STRIDE == STRIDE - 1))
+    below = lambda c: F.size(F.filter(c, lambda b: b <= F.col("confidence")))
+    # First among every STRIDE-th bound, and then among those before the next.
+    slotted = joined(sums, bounds, keys).withColumn("_skip", below(F.col("_coarse")) * STRIDE)
+    slot = F.col("_skip") + below(F.slice("_bounds", F.col("_skip") + 1, F.lit(STRIDE)))
+    return slotted.withColumn("slot", slot).drop("_bounds", "_coarse", "_skip")
 
 
 def quantile_bins(df: DataFrame, *keys: str, bins: int = 10) -> DataFrame:

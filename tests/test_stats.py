@@ -195,3 +195,16 @@ def test_embedded_batches_are_the_encoders_unit_vectors(spark):
 def test_bootstrap_covers_the_mean(spark):
     r = S.paired_bootstrap(rows(spark), "A", "B").first()
     assert r["ci_low"] <= r["mean_diff"] <= r["ci_high"] and 0 <= r["p_value"] <= 1
+
+
+def test_confidences_within_a_thousandth_are_spread_over_slots(spark):
+    close = [("a", 0.5 + i / 1e7, int(i % 3 == 0)) for i in range(5000)] + [("b", 0.25, 1), ("b", None, 1), ("b", 2.0, 0)]
+    df = spark.createDataFrame(close, "mode string, confidence double, success int")
+    sums = S.confidence_sums(df, "mode")
+    slots = {r["slot"]: r["count"] for r in sums.filter("mode = 'a'").groupBy("slot").count().collect()}
+    assert len(slots) > 900 and max(slots.values()) < 30
+    order = [r["slot"] for r in sums.filter("mode = 'a'").orderBy("confidence").collect()]
+    assert order == sorted(order)
+    before = {(r["mode"], r["confidence"]): r["before"] for r in S.confidence_rows(df, "mode").collect()}
+    assert [before["a", c] for _, c, _ in close[:5000]] == list(range(5000)) and before["b", 1.0] == 1
+    assert S.confidence_rows(df.limit(0), "mode").count() == 0
