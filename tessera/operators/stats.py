@@ -130,6 +130,30 @@ def aurc(curve: DataFrame, *keys: str) -> DataFrame:
     return curve.withColumn("_area", step).groupBy(*keys).agg(rounded(F.when(F.count("*") >= 2, F.sum("_area"))).alias("aurc"))
 
 
+def selective_deltas(df: DataFrame, baseline: str, taus: Sequence[float], *keys: str) -> DataFrame:
+    """keys, mode, delta_aurc and delta_risk (array by tau): each mode's area and risks less the baseline's; a missing value counts as 0.
+
+    Everything comes from curves of 51 points a group.
+    """
+    curve = written(selective_curve(df, *keys, "mode"), "curves")
+    risks = F.array(*[F.max(F.when(F.round("threshold", 4) == t, F.col("risk"))) for t in taus])
+    each = joined(curve.groupBy(*keys, "mode").agg(risks.alias("risks")), aurc(curve, *keys, "mode"), [*keys, "mode"])
+    base = each.filter(F.col("mode") == baseline).select(*keys, F.col("risks").alias("_r"), F.col("aurc").alias("_a"))
+    both = joined(each.filter(F.col("mode") != baseline), base, keys, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    deltas = F.array(*[rounded(zero(F.get("risks", F.lit(i))) - zero(F.get("_r", F.lit(i)))) for i in range(len(taus))])
+    return both.select(*keys, "mode", rounded(zero(F.col("aurc")) - zero(F.col("_a"))).alias("delta_aurc"), deltas.alias("delta_risk"))
+
+
+def mcnemar_notes(df: DataFrame, baseline: str) -> DataFrame:
+    """mode, n (discordant pairs), p_value and note of all modes: null p where there are no pairs, or none that differ."""
+    modes = df.filter(F.col("mode") != baseline).select("mode").distinct()
+    pooled = mcnemar(df, baseline).filter("domain = 'pooled'").select("mode", (F.col("b") + F.col("c")).alias("n"), "p_value", "n_pairs")
+    n, pairs = F.coalesce("n", F.lit(0)), F.coalesce("n_pairs", F.lit(0))
+    note = F.when(pairs == 0, "no overlap").when(n == 0, "no discordant pairs")
+    return modes.join(pooled, "mode", "left").select("mode", n.cast("long").alias("n"), F.when(n > 0, F.col("p_value")).alias("p_value"), note.alias("note"))
+
+
 def pick_threshold(curve: DataFrame, target: float, *keys: str) -> DataFrame:
     """The curve's row nearest the target coverage; ties by risk, then threshold."""
     order = Window.partitionBy(*keys).orderBy(rounded(F.abs(F.col("coverage") - target), 9), "risk", "threshold")

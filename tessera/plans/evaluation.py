@@ -144,6 +144,29 @@ def aurc(spark, d):
     return S.aurc(S.selective_curve(runs(spark, d), "mode"), "mode")
 
 
+BY_DOMAIN = CURVE.replace("FROM runs", "FROM (SELECT * REPLACE (domain || '/' || mode AS mode) FROM runs)")
+
+
+@register("selective_deltas", sql(f"""WITH {BY_DOMAIN}, steps AS (SELECT mode, (coverage - lag(coverage) OVER w) * (risk + lag(risk) OVER w) / 2 AS area FROM curve WINDOW w AS (PARTITION BY mode ORDER BY coverage, threshold DESC)),
+a AS (SELECT mode, round(sum(area), 6) AS aurc FROM steps GROUP BY mode), r AS (SELECT mode, max(risk) FILTER (threshold = 0.3) AS r30, max(risk) FILTER (threshold = 0.5) AS r50, max(risk) FILTER (threshold = 0.7) AS r70 FROM curve GROUP BY mode),
+e AS (SELECT split_part(mode, '/', 1) AS domain, split_part(mode, '/', 2) AS mode, aurc, r30, r50, r70 FROM a JOIN r USING (mode))
+SELECT x.domain, x.mode, round(coalesce(x.aurc, 0) - coalesce(b.aurc, 0), 6) AS delta_aurc, round(x.r30 - coalesce(b.r30, 0), 6) AS delta_risk_30, round(x.r50 - coalesce(b.r50, 0), 6) AS delta_risk_50, round(x.r70 - coalesce(b.r70, 0), 6) AS delta_risk_70
+FROM e x LEFT JOIN e b ON b.domain = x.domain AND b.mode = 'M2' WHERE x.mode <> 'M2'"""))
+def selective_deltas(spark, d):
+    found = S.selective_deltas(runs(spark, d), "M2", (0.3, 0.5, 0.7), "domain")
+    return found.select("domain", "mode", "delta_aurc", *[F.get("delta_risk", F.lit(i)).alias(f"delta_risk_{t}") for i, t in enumerate((30, 50, 70))])
+
+
+@register("mcnemar_notes", sql(f"""
+WITH marked AS (SELECT id, CASE WHEN mode = 'M3' THEN id || 'x' ELSE id END AS k, mode, domain, success FROM runs), base AS (SELECT domain, k, max(success) AS base FROM marked WHERE mode = 'M1' GROUP BY domain, k),
+s AS (SELECT mode, count(*) FILTER (WHERE success = 1 AND base = 0) AS b, count(*) FILTER (WHERE success = 0 AND base = 1) AS c FROM marked JOIN base USING (domain, k) WHERE mode <> 'M1' GROUP BY mode)
+SELECT m.mode, coalesce(b + c, 0) AS n, CASE WHEN b + c > 0 THEN round({BINOMIAL}, 6) END AS p_value, CASE WHEN b IS NULL THEN 'no overlap' WHEN b + c = 0 THEN 'no discordant pairs' END AS note FROM (SELECT DISTINCT mode FROM runs WHERE mode <> 'M1') m LEFT JOIN s ON s.mode = m.mode"""))
+def mcnemar_notes(spark, d):
+    """M3 answers other questions here, so that it has no pairs."""
+    df = runs(spark, d).withColumn("id", F.when(F.col("mode") == "M3", F.concat("id", F.lit("x"))).otherwise(F.col("id")))
+    return S.mcnemar_notes(df, "M1").withColumn("p_value", S.rounded(F.col("p_value")))
+
+
 def nearest(target):
     return f"SELECT mode, threshold, coverage, accuracy, risk, n, {target}::DOUBLE AS target FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY round(abs(coverage - {target}), 9), risk, threshold) AS nth FROM curve) WHERE nth = 1"
 
@@ -172,6 +195,15 @@ def ece_quantile(spark, d):
     return S.ece_quantile(runs(spark, d), "mode")
 
 
+@register("calibration_means", sql(f"""WITH {BINS}, e AS (SELECT mode, sum(abs(ms - mc) * n) / sum(n) AS ece FROM bins GROUP BY mode), {CURVE.strip()}, steps AS (SELECT mode, (coverage - lag(coverage) OVER w) * (risk + lag(risk) OVER w) / 2 AS area FROM curve WINDOW w AS (PARTITION BY mode ORDER BY coverage, threshold DESC)),
+a AS (SELECT mode, round(sum(area), 6) AS aurc FROM steps GROUP BY mode) SELECT round(avg(round(ece, 6)), 5) AS mean_ece, round(avg(aurc), 5) AS mean_aurc, count(*) AS n_modes FROM e JOIN a USING (mode)""".replace("sums AS (SELECT mode, level", "level_sums AS (SELECT mode, level").replace("FROM sums, taus", "FROM level_sums, taus")))
+def calibration_means(spark, d):
+    """Mean calibration error and mean area under risk over all modes."""
+    df = runs(spark, d)
+    both = S.ece_quantile(df, "mode").select("mode", "ece").join(S.aurc(S.selective_curve(df, "mode"), "mode"), "mode")
+    return both.agg(S.rounded(F.avg("ece"), 5).alias("mean_ece"), S.rounded(F.avg("aurc"), 5).alias("mean_aurc"), F.count("*").alias("n_modes"))
+
+
 @register("reliability_points", sql(f"WITH {BINS} SELECT mode, CAST(bin AS BIGINT) AS bin, n, round(mc + 1e-9, 6) AS mean_confidence, round(ms + 1e-9, 6) AS mean_success FROM bins"))
 def reliability_points(spark, d):
     b = S.quantile_bins(runs(spark, d), "mode")
