@@ -35,9 +35,9 @@ BLANKS = b" \t"
 UNKNOWN_LANG = "und"
 
 BURST = 65_536
-MOST_ENTRIES = 1_000_000
+MOST_ENTRIES = 750_000
 #: Words of a task that have an id; beyond it all tries are spilled and ids start anew.
-MOST_WORDS = 500_000
+MOST_WORDS = 300_000
 STEP = 500_000
 BLOCK_BYTES = 4 << 20
 #: A power of two.
