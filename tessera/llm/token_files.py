@@ -134,7 +134,8 @@ def encoded(docs: DataFrame, vocabulary: str, bounds: np.ndarray) -> DataFrame:
 def token_blocks(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
     """The blocks of a token file: every text's ids and `end_id`, in ascending doc_id order.
 
-    Texts are encoded where they are; only ids are dealt by ranges of doc_id and sorted.
+    Texts are encoded where they are; only ids are dealt by ranges of doc_id and sorted. A part is one task and one file, and files
+    in the order of their names are in that of doc_id.
     """
     n = partitions_for(docs, PART_BYTES)
 
@@ -154,7 +155,7 @@ def token_blocks(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], [c.split()[0] for c in FILE_SCHEMA.split(", ")])
                     block, first = block + 1, first + row[3]
 
-    return encoded(docs, vocabulary, part_bounds(docs, n)).repartition(n, "part").sortWithinPartitions("part", "doc_id", "ids").mapInArrow(run, FILE_SCHEMA)
+    return encoded(docs, vocabulary, part_bounds(docs, n)).repartitionById(n, "part").sortWithinPartitions("part", "doc_id", "ids").mapInArrow(run, FILE_SCHEMA)
 
 
 def write_token_file(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1) -> None:
