@@ -27,13 +27,13 @@ def catalogue(files: DataFrame) -> DataFrame:
     return files.select("path", "changed", *parts).filter("kind is not null")
 
 
-NEWEST = F.struct("changed", "path")
+NEWEST = "struct(changed, path)"
 
 
 def newest(files: DataFrame, *keys: str) -> DataFrame:
     """The last changed file of each key, of equals the last by path; an aggregate of one row a key."""
     rest = [c for c in files.columns if c not in keys]
-    latest = files.groupBy(*keys).agg(F.max_by(F.struct(*rest), NEWEST).alias("_f"))
+    latest = files.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.expr(NEWEST)).alias("_f"))
     return latest.filter("_f is not null").select(*keys, "_f.*")
 
 
@@ -62,5 +62,5 @@ def with_traces(runs: DataFrame, files: DataFrame) -> DataFrame:
     """`runs` (rows of a catalogue) with the path of their trace: of the same stamp, or else the newest there is, or null."""
     traces = files.filter("kind = 'trace'")
     same = newest(traces.filter("stamp is not null"), "stamp").select("stamp", F.col("path").alias("_same"))
-    any_trace = traces.agg(F.max_by("path", NEWEST).alias("_any"))
+    any_trace = traces.agg(F.max_by("path", F.expr(NEWEST)).alias("_any"))
     return runs.join(same, "stamp", "left").crossJoin(F.broadcast(any_trace)).select(*runs.columns, F.coalesce("_same", "_any").alias("trace"))
