@@ -303,12 +303,8 @@ def fact_memories(recalled: DataFrame, named: DataFrame) -> DataFrame:
     return named_rows.select("product", "slot", F.concat_ws(" ", "name", "slot", F.lit("is"), F.concat("value", F.lit("."))).alias("text"))
 
 
-#: Question forms (fixed values); {name} and {slot} are filled in.
-TEMPLATES = ("What is the {slot} of {name}?", "For {name}, what is the {slot}?", "{name} — state the {slot}.", "Please provide the {slot} for {name}.")
-
-
-def question_templates(recalled: DataFrame, named: DataFrame, templates: Sequence[str] = TEMPLATES) -> DataFrame:
-    """A question for each fact and template."""
+def question_templates(recalled: DataFrame, named: DataFrame, templates: Sequence[str]) -> DataFrame:
+    """A question for each fact and template; {name} and {slot} are filled in."""
     rows = with_label(recalled, "product", named, "name").withColumn("t", F.explode(F.array(*map(F.lit, templates))))
     return rows.select("product", "slot", F.replace(F.replace("t", F.lit("{name}"), F.col("name")), F.lit("{slot}"), F.col("slot")).alias("query"), F.col("value").alias("expected_contains"))
 

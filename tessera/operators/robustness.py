@@ -8,7 +8,7 @@ between two sizes are kept, and a size takes the best of its stretches, so that
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +21,9 @@ from tessera.operators.routing import adaptive_route, compose_answer, compose_st
 AUGMENT, MEMSCALE = "AUGMENT", "MEMSCALE"
 
 
-def forms(questions: DataFrame, intensities: Sequence[int], pool, noise: Sequence[str]) -> DataFrame:
+def forms(questions: DataFrame, pool: Mapping[str, Sequence[str]], noise: Sequence[str], intensities: Sequence[int]) -> DataFrame:
     """id, kind, intensity and query: every question as it is (kind empty), and in every cell of the grid."""
-    grid = T.augment_grid(questions, "id", "query", intensities, pool, noise).select("base", "kind", "intensity", "query")
+    grid = T.augment_grid(questions, "id", "query", pool, noise, intensities).select("base", "kind", "intensity", "query")
     plain = questions.select(F.col("id").alias("base"), F.lit("").alias("kind"), F.lit(0).alias("intensity"), "query")
     return plain.unionByName(grid).withColumnRenamed("base", "id")
 
@@ -68,14 +68,14 @@ def best_by_size(scored: DataFrame, sizes: Sequence[int], k: int = 1) -> DataFra
     return ranked(kept.withColumn("size", at_sizes).drop("stretch"), [*FORM, "size"], "score", "key", k)
 
 
-def evaluate(questions: DataFrame, passages: DataFrame, memory: DataFrame, sizes: Sequence[int], modes: Sequence[str], intensities: Sequence[int] = (1, 2), pool=T.SYNONYMS, noise: Sequence[str] = T.NOISE) -> DataFrame:
+def evaluate(questions: DataFrame, passages: DataFrame, memory: DataFrame, sizes: Sequence[int], modes: Sequence[str], pool: Mapping[str, Sequence[str]], noise: Sequence[str], intensities: Sequence[int] = (1, 2)) -> DataFrame:
     """setting, param, mode, id, answer, success and cost: one row for each question, cell and mode.
 
     questions: id, query, expected; passages: key, text; memory: key, at (place of insertion), text. AUGMENT cells ask altered
     forms over the least memory; MEMSCALE cells ask the questions as they are over each size. Modes: BASE (search), MEM, and RL,
     which is routed by the share of the question's terms that the best hits hold. Work is one pass over passages and memory.
     """
-    asked = with_terms(forms(questions, intensities, pool, noise))
+    asked = with_terms(forms(questions, pool, noise, intensities))
     found = ranked(scores(asked, passages.select("key", F.lit(0).cast("long").alias("at"), "text")), FORM, "score", "key", 1)
     found = found.join(passages.select("key", F.col("text").alias("found")), "key").select(*FORM, F.col("score").alias("search_score"), "found")
     remembered = best_by_size(scores(asked, memory), sizes)

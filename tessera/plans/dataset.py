@@ -7,6 +7,7 @@ from tessera.operators import normalize as N
 from tessera.operators import runs as R
 from tessera.operators import text as T
 from tessera.operators.stats import rounded
+from tessera.plans import augmentation
 from tessera.registry import register
 from tessera.sources import files
 from tessera.sources.views import questions, runs, table, view, with_views
@@ -285,31 +286,32 @@ def numshift(spark, d):
     return table(spark, d, "part").select("p_partkey", T.numbers_shifted(text, -10).alias("shifted"))
 
 
-@register("synswap", """SELECT p_partkey, CASE WHEN ('0x' || substr(md5(CAST(p_partkey AS VARCHAR) || '|1'), 1, 8))::BIGINT % 2 = 0 THEN 'The Battery label' ELSE 'The Accumulator label' END AS swapped FROM part""")
-def synswap(spark, d):
-    return table(spark, d, "part").select("p_partkey", T.synonyms_swapped(F.col("p_partkey").cast("string"), F.lit("The Battery label"), 1).alias("swapped"))
+ASKED = "(SELECT id, query FROM questions WHERE query IS NOT NULL)"
+
+
+def asked(spark, d):
+    return questions(spark, d).filter("query is not null").select("id", "query")
 
 
-NOISE_AT = "('0x' || substr(md5(CAST(p_partkey AS VARCHAR) || '|{k}'), 1, 8))::BIGINT % {n}"
+@register("synswap", sql(augmentation.swapped(ASKED, augmentation.POOL)))
+def synswap(spark, d):
+    forms = [F.struct(F.lit(n).alias("intensity"), T.synonyms_swapped(F.col("id"), F.col("query"), n, augmentation.POOL).alias("query")) for n in (1, 2)]
+    return asked(spark, d).select("id", F.explode(F.array(*forms)).alias("f")).select("id", "f.intensity", "f.query")
 
 
-@register("insert_noise", f"WITH x AS (SELECT p_partkey, {NOISE_AT.format(k='p0', n=3)} AS spot, (['uh', 'please', 'btw', 'kindly', 'hmm', '[noise]'])[{NOISE_AT.format(k='w0', n=6)} + 1] AS w FROM part) SELECT p_partkey, CASE spot WHEN 0 THEN w || ' two words' WHEN 1 THEN 'two ' || w || ' words' ELSE 'two words ' || w END AS noisy FROM x")
+@register("insert_noise", sql(augmentation.noised(ASKED, augmentation.NOISE, 2)))
 def insert_noise(spark, d):
-    return table(spark, d, "part").select("p_partkey", T.noise_inserted(F.col("p_partkey").cast("string"), F.lit("two words"), 1).alias("noisy"))
+    return asked(spark, d).select("id", F.lit(2).alias("intensity"), T.noise_inserted(F.col("id"), F.col("query"), 2, augmentation.NOISE).alias("query"))
 
 
 @register("augment_grid", sql("SELECT kind, intensity, count(*) AS n FROM questions, (SELECT unnest(['synswap', 'noise', 'num+', 'num-']) AS kind), (SELECT unnest([1, 2]) AS intensity) WHERE query IS NOT NULL GROUP BY kind, intensity"))
 def augment_grid(spark, d):
-    return T.augment_grid(questions(spark, d).filter("query is not null"), "id", "query").groupBy("kind", "intensity").agg(F.countDistinct("id").alias("n"))
-
-
-CHOICE = "('0x' || substr(md5(seed || '|{k}'), 1, 8))::BIGINT % {n} + 1"
+    return T.augment_grid(asked(spark, d), "id", "query", augmentation.POOL, augmentation.NOISE).groupBy("kind", "intensity").agg(F.countDistinct("id").alias("n"))
 
 
-@register("paraphrase_variants", sql(f"""WITH v AS (SELECT id, query, variant, id || '#' || CAST(variant AS VARCHAR) AS seed FROM questions, (SELECT unnest([1, 2, 3]) AS variant) WHERE query IS NOT NULL)
-SELECT id, variant, replace(query, 'What is', (['What''s', 'What is the', 'State the', 'Kindly state the'])[{CHOICE.format(k='r0', n=4)}]) || (['', '', '', ' (per DPP)', ' (datasheet v2)', ' (records)'])[{CHOICE.format(k='t', n=6)}] AS query FROM v"""))
+@register("paraphrase_variants", sql(augmentation.paraphrased(ASKED, 3, augmentation.PHRASES, augmentation.TRAILS)))
 def paraphrase_variants(spark, d):
-    return T.paraphrases(questions(spark, d).filter("query is not null"), "id", "query", 3)
+    return T.paraphrases(asked(spark, d), "id", "query", 3, augmentation.PHRASES, augmentation.TRAILS)
 
 
 @register("contrastive_negatives", sql("SELECT id, false AS contrastive FROM questions UNION ALL SELECT 'neg-' || substr(sha1('neg|' || id), 1, 10), true FROM questions WHERE type IN ('recall', 'open')"))

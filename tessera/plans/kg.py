@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.operators import kg as K
+from tessera.plans import augmentation
 from tessera.registry import register
 from tessera.sources.views import table, view, with_views
 
@@ -213,9 +214,9 @@ def fact_memories(spark, d):
     return K.fact_memories(*recalled(spark, d))
 
 
-@register("question_templates", sql("SELECT product, slot, replace(replace(t, '{name}', coalesce(label, product)), '{slot}', slot) AS query, value AS expected_contains FROM recalled LEFT JOIN named ON node = product, (SELECT unnest([" + ", ".join(f"'{t}'" for t in K.TEMPLATES) + "]) AS t)", "recalled"))
+@register("question_templates", sql("SELECT product, slot, replace(replace(t, '{name}', coalesce(label, product)), '{slot}', slot) AS query, value AS expected_contains FROM recalled LEFT JOIN named ON node = product, (SELECT unnest([" + ", ".join(f"'{t}'" for t in augmentation.TEMPLATES) + "]) AS t)", "recalled"))
 def question_templates(spark, d):
-    return K.question_templates(*recalled(spark, d))
+    return K.question_templates(*recalled(spark, d), augmentation.TEMPLATES)
 
 
 @register("kg_questions", sql("""

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import robustness as B
 from tessera.operators.stats import rounded
+from tessera.plans import augmentation
 from tessera.plans.retrieval import TOKENS
 from tessera.registry import register
 from tessera.sources.views import table, view, with_views
@@ -16,28 +17,13 @@ POOL = {"the": ["thee", "that", "tha"], "of": ["ofe", "von"], "and": ["ande", "u
 NOISE = ("oh", "please", "well", "so")
 
 CLEAN = "regexp_replace(regexp_replace(text, '[0-9]', '', 'g'), '[ \\n]+', ' ', 'g')"
-POOLS = ", ".join(f"{k!r}: {v!r}" for k, v in POOL.items())
-DRAW = "('0x' || substr(md5({seed}), 1, 8))::BIGINT"
-CHOICE = f"options[CAST({DRAW.format(seed="CAST(id AS VARCHAR) || '|' || CAST(i - 1 AS VARCHAR)")} % len(options) AS BIGINT) + 1]"
-STEP = """SELECT id, {n} AS intensity, list_concat(w[1:spot], [word], w[spot + 1:]) AS w FROM (
-  SELECT id, w, CAST({place} % (len(w) + 1) AS BIGINT) AS spot, ({pool})[CAST({word} % {size} AS BIGINT) + 1] AS word FROM {source})"""
-
-
-def noise(n: int, source: str) -> str:
-    seed = lambda x: DRAW.format(seed=f"CAST(id AS VARCHAR) || '|{x}{n - 1}'")
-    return STEP.format(n=n, place=seed("p"), word=seed("w"), pool=list(NOISE), size=len(NOISE), source=source)
-
-
 view("trials", f"""SELECT item_id AS id, 'item ' || CAST(item_id AS VARCHAR) || ' ' || array_to_string(w[1:{ASKED}], ' ') AS query, array_to_string(w[{ASKED + 1}:{ASKED + EXPECTED}], ' ') AS expected
 FROM (SELECT item_id, string_split({CLEAN}, ' ') AS w FROM benchmark)""")
-view("words_at", "SELECT id, w[i] AS w, i, list_contains(" + str(list(POOL)) + ", lower(w[i])) AS known FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT id, string_split(query, ' ') AS w FROM trials))", "trials")
-view("swapped", f"""SELECT id, intensity, string_agg(CASE WHEN known AND nth <= intensity THEN CASE WHEN regexp_matches(w, '^[A-Z]') THEN upper(substr(choice, 1, 1)) || substr(choice, 2) ELSE choice END ELSE w END, ' ' ORDER BY i) AS query
-FROM (SELECT *, {CHOICE} AS choice FROM (SELECT *, sum(CASE WHEN known THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS nth, (MAP {{{POOLS}}})[lower(w)] AS options FROM words_at)), (SELECT unnest([1, 2]) AS intensity) GROUP BY id, intensity""", "words_at")
-view("noised1", noise(1, "(SELECT id, string_split(query, ' ') AS w FROM trials)"), "trials")
-view("noised2", noise(2, "noised1"), "noised1")
+view("swapped", augmentation.swapped("trials", POOL), "trials")
+view("noised", augmentation.noised("trials", NOISE, 1) + " UNION ALL " + augmentation.noised("trials", NOISE, 2), "trials")
 view("trial_forms", f"""SELECT id, NULL AS kind, 0 AS intensity, query FROM trials UNION ALL SELECT id, 'synswap', intensity, query FROM swapped
-UNION ALL SELECT id, 'noise', intensity, array_to_string(w, ' ') FROM (SELECT * FROM noised1 UNION ALL SELECT * FROM noised2)
-UNION ALL SELECT id, CASE WHEN s > 0 THEN 'num+' ELSE 'num-' END, abs(s), 'item ' || CAST(greatest(0, id + s) AS VARCHAR) || substr(query, 6 + length(CAST(id AS VARCHAR))) FROM trials, (SELECT unnest([1, 2, -1, -2]) AS s)""", "swapped", "noised1", "noised2")
+UNION ALL SELECT id, 'noise', intensity, query FROM noised
+UNION ALL SELECT id, CASE WHEN s > 0 THEN 'num+' ELSE 'num-' END, abs(s), 'item ' || CAST(greatest(0, id + s) AS VARCHAR) || substr(query, 6 + length(CAST(id AS VARCHAR))) FROM trials, (SELECT unnest([1, 2, -1, -2]) AS s)""", "swapped", "noised")
 view("form_terms", "SELECT id, kind, intensity, list_distinct(" + TOKENS.format(c="query") + ") AS terms FROM trial_forms", "trial_forms")
 view("store_sizes", "SELECT unnest([n // 4, n // 2, n]) AS size FROM (SELECT count(*) AS n FROM documents)")
 

@@ -7,6 +7,7 @@ from tessera.operators import kg as K
 from tessera.operators import robustness as B
 from tessera.operators import text as T
 
+POOL, NOISE = {"standard": ["norm", "rule"], "label": ["tag"], "battery": ["cell"]}, ("oh", "label")
 TRIPLES = "s string, p string, o string, o_is_literal boolean"
 
 
@@ -94,11 +95,11 @@ def test_whole_run_is_that_of_one_question_at_a_time(spark):
     questions = spark.createDataFrame(asked, "id string, query string, expected string")
     passages = spark.createDataFrame(texts, "key long, text string")
     memory = spark.createDataFrame(memories, "key long, at long, text string")
-    got = {(r["setting"], r["param"], r["mode"], r["id"]): (r["answer"], r["success"], round(r["cost"], 6)) for r in B.evaluate(questions, passages, memory, (1, 6, 10), ("BASE", "MEM", "RL")).collect()}
+    got = {(r["setting"], r["param"], r["mode"], r["id"]): (r["answer"], r["success"], round(r["cost"], 6)) for r in B.evaluate(questions, passages, memory, (1, 6, 10), ("BASE", "MEM", "RL"), POOL, NOISE).collect()}
     words = lambda t: set(spark.createDataFrame([(t,)], "t string").select(B.tokens(F.col("t")).alias("w")).first()["w"] or ())
     held = {t: words(t) for _, t in texts if t} | {t: words(t) for _, _, t in memories}
     expected = {i: e for i, _, e in asked}
-    forms = [(r["base"], "AUGMENT", f"{r['kind']}@{r['intensity']}", r["query"], 1) for r in T.augment_grid(questions, "id", "query").collect()]
+    forms = [(r["base"], "AUGMENT", f"{r['kind']}@{r['intensity']}", r["query"], 1) for r in T.augment_grid(questions, "id", "query", POOL, NOISE).collect()]
     forms += [(i, "MEMSCALE", f"mem@{size}", q, size) for i, q, _ in asked for size in (1, 6, 10)]
     assert len(got) == 3 * len(forms)
     for i, setting, param, query, size in forms:
@@ -111,4 +112,4 @@ def test_whole_run_is_that_of_one_question_at_a_time(spark):
             part = ("Memory: " + mem, 0.3) if mem and action in ("MEM", "MEMSYM") else ("Search: " + found, 0.5) if found and action != "MEM" else ("No result found.", 0.1)
             want = (part[0], int(expected[i] != "" and expected[i] in part[0].lower()), part[1])
             assert got[setting, param, mode, i] == want
-    assert B.summary(B.evaluate(questions.limit(0), passages, memory, (1,), ("BASE",))).count() == 0
+    assert B.summary(B.evaluate(questions.limit(0), passages, memory, (1,), ("BASE",), POOL, NOISE)).count() == 0

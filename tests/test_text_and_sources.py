@@ -8,6 +8,9 @@ from tessera.operators import text as T
 from tessera.sources import files
 
 
+POOL = {"battery": ["battery", "cell"], "label": ["tag", "label"], "test": ["check"]}
+
+
 def one(spark, text, column):
     return spark.createDataFrame([(text,)], "t string").select(column(F.col("t")).alias("x")).first()["x"]
 
@@ -24,9 +27,9 @@ def test_numbers_shift_and_stop_at_zero(spark):
 
 
 def test_noise_and_synonyms_keep_blanks(spark):
-    assert len(one(spark, "two words", lambda c: T.noise_inserted(F.lit("k"), c, 2)).split(" ")) == 4
-    swapped = one(spark, "Battery  label test", lambda c: T.synonyms_swapped(F.lit("k"), c, 2))
-    assert swapped.split(" ")[0] in ("Battery", "Accumulator") and swapped.endswith(" test") and "  " in swapped
+    assert len(one(spark, "two words", lambda c: T.noise_inserted(F.lit("k"), c, 2, ["oh", "well"])).split(" ")) == 4
+    swapped = one(spark, "Battery  label test", lambda c: T.synonyms_swapped(F.lit("k"), c, 2, POOL))
+    assert swapped.split(" ")[0] in ("Battery", "Cell") and swapped.endswith(" test") and "  " in swapped
 
 
 def test_scores(spark):
