@@ -1,12 +1,15 @@
 """Encoders against the libraries, token files by round trip."""
 
 import base64
+import glob
 import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import tiktoken
 import zlib
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import byte_bpe, pretokens, token_counts, token_files
@@ -81,6 +84,20 @@ def test_token_file_round_trip(spark, tmp_path):
     assert sums == {(s, zlib.crc32(np.array(i, "<u4").tobytes())) for _, s, i in want}
 
 
+def test_files_in_order_of_name_are_in_order_of_doc_id(spark, tmp_path):
+    df = spark.range(400).select(((F.col("id") * 7) % 400).alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text")).repartition(5)
+    token_files.write_token_file(df, WORDS, f"file://{tmp_path}/tokens")
+    parts, last = [], -1
+    for file in sorted(glob.glob(f"{tmp_path}/tokens/part-*.parquet")):
+        table = pq.read_table(file)
+        parts.append(set(table["part"].to_pylist()))
+        for keys in table["doc_ids"].to_pylist():
+            found = np.frombuffer(keys, "<i8").tolist()
+            assert found == sorted(found) and (not found or found[0] > last)
+            last = max([last, *found])
+    assert all(len(p) == 1 for p in parts if p) and [min(p) for p in parts if p] == sorted(min(p) for p in parts if p) and len(parts) > 2
+
+
 def test_any_token_without_its_block():
     r = random.Random(4)
     for n in (0, 1, 511, 512, 513, 5000):
