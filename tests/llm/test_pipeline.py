@@ -10,7 +10,7 @@ from xxhash import xxh64_intdigest
 
 import corpus_pipeline
 from tessera.llm import byte_bpe, decontaminate, pii, toxicity
-from tessera.llm.queries import BYTE_RANKS, ORACLES, PII_KEY, QUERIES, op10_quality_rules
+from tessera.llm.queries import BYTE_RANKS, ORACLES, PII_KEY, QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -59,15 +59,20 @@ def test_run(spark):
     assert rows and len({r["doc_id"] for r in rows}) == len(rows) and set(rows[0].asDict()) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
 
 
-def test_every_operator_has_a_query(spark):
-    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 11))
+def test_every_operator_has_a_query():
+    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 14))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_give_the_rows_of_their_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
-    want = con.sql(ORACLES["op10_quality_rules"])
-    df = op10_quality_rules(spark, SF)
+    want = con.sql(ORACLES[name])
+    df = QUERIES[name](spark, SF)
     order = sorted(df.columns)
+    assert sorted(want.columns) == order
     assert sorted(tuple(r[c] for c in order) for r in df.collect()) == sorted(tuple(dict(zip(want.columns, r, strict=True))[c] for c in order) for r in want.fetchall())
 
 
