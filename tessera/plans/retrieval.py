@@ -156,9 +156,9 @@ def hybrid(spark, d):
     return R.hybrid_topk(sparse(spark, d), vectors, queries, 5)
 
 
-@register("hybrid_search", with_views(f"WITH {HYBRID} SELECT qid, pid, rank, round(score, 4) AS score FROM hybrid", "sparse"))
+@register("hybrid_search", with_views(f"WITH {HYBRID} SELECT qid, pid, rank, round(score + 1e-9, 4) AS score FROM hybrid", "sparse"))
 def hybrid_search(spark, d):
-    return hybrid(spark, d).select("qid", "pid", "rank", rounded(F.col("score"), 4).alias("score"))
+    return hybrid(spark, d).select("qid", "pid", "rank", rounded(F.col("score") + 1e-9, 4).alias("score"))
 
 
 @register("retrieve_context", with_views(f"""WITH {HYBRID} SELECT asks.qid, coalesce(h.pid, s.pid) AS pid, CASE WHEN h.pid IS NOT NULL THEN 'hybrid' ELSE 'search' END AS via FROM asks
