@@ -77,3 +77,9 @@ def test_hybrid_search_asks_in_blocks_and_takes_nulls_and_empty_tables(spark, mo
     assert sorted(map(tuple, R.hybrid_topk(sparse, pool, asked, 3).collect())) == want and len(want) == 120
     for none in (R.hybrid_topk(sparse, pool, asked.limit(0), 3), R.hybrid_topk(sparse, pool.limit(0), asked, 3), R.hybrid_topk(sparse, pool.filter("embedding is null"), asked, 3)):
         assert none.count() == 0
+
+
+def test_each_fact_is_asked_by_all_four_templates(spark):
+    facts = QUERIES["recall_facts"](spark, SF).count()
+    asked = QUERIES["question_templates"](spark, SF)
+    assert facts > 0 and asked.count() == 4 * facts == asked.select("product", "slot", "query").distinct().count()
