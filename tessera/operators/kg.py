@@ -39,8 +39,10 @@ def closure(triples: DataFrame) -> DataFrame:
     c = F.col
     schema = triple(classes, c("a"), F.lit(SUBCLASS), c("b")).unionByName(triple(properties, c("a"), F.lit(SUBPROPERTY), c("b")))
     facts = written(triples.select("s", "p", "o", "o_is_literal").unionByName(triple(triples.join(properties, c("p") == c("a")), c("s"), c("b"), c("o"), c("o_is_literal"))), "facts")
-    by_domain = triple(facts.join(pairs(DOMAIN), c("p") == c("a")), c("s"), F.lit(TYPE), c("b"))
-    by_range = triple(facts.filter(~c("o_is_literal")).join(pairs(RANGE), c("p") == c("a")), c("o"), F.lit(TYPE), c("b"))
+    # Written, schema triples have a size that Spark knows: they are broadcast, and no task gets all triples of one predicate.
+    domains, ranges = written(pairs(DOMAIN), "domains"), written(pairs(RANGE), "ranges")
+    by_domain = triple(facts.join(domains, c("p") == c("a")), c("s"), F.lit(TYPE), c("b"))
+    by_range = triple(facts.filter(~c("o_is_literal")).join(ranges, c("p") == c("a")), c("o"), F.lit(TYPE), c("b"))
     types = written(facts.filter(c("p") == TYPE).unionByName(by_domain).unionByName(by_range).distinct(), "types")
     lifted = triple(types.join(classes, c("o") == c("a")), c("s"), F.lit(TYPE), c("b"))
     return facts.unionByName(schema).unionByName(types).unionByName(lifted).distinct()
