@@ -8,10 +8,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Texts that an encoder sees at once.
+TEXTS = 256
 STORE = "content string, encoder string, dim int, embedding array<double>, batch string"
 
 
@@ -34,28 +37,32 @@ def store(spark: SparkSession, path: str) -> DataFrame:
 def embed_stored(df: DataFrame, text: str, path: str, encoder: Callable[[pd.Series], np.ndarray], name: str, dim: int) -> tuple[DataFrame, str]:
     """`df` with unit vectors as `embedding`, and the id of the batch that this call added to the store.
 
-    Contents that the store lacks for this encoder and dimension are encoded, once however many rows have them, in Arrow batches; a
+    Contents that the store lacks for this encoder and dimension are encoded, once however many rows have them, TEXTS at a time; a
     new dimension or encoder lacks them all, and leaves what is stored alone. Null texts are empty texts. If two jobs store one
     content at once, either row serves. The encoder must give rows of `dim` numbers, or else there is an error.
     """
-    spark, batch = df.sparkSession, uuid.uuid4().hex
+    spark, batch_id = df.sparkSession, uuid.uuid4().hex
     content = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)
     mine = lambda: store(spark, path).filter((F.col("encoder") == name) & (F.col("dim") == dim))
     keyed = df.withColumn("_content", content)
     texts = df.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).withColumn("content", F.sha2("t", 256))
     lacking = texts.join(mine().select("content"), "content", "left_anti").groupBy("content").agg(F.min("t").alias("t"))
 
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            m = np.asarray(encoder(frame["t"]), np.float64)
-            if m.shape != (len(frame), dim):
-                raise ValueError(f"the encoder gave {m.shape} for {len(frame)} texts of dimension {dim}")
-            m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-            yield pd.DataFrame({"content": frame["content"], "encoder": name, "dim": np.int32(dim), "embedding": list(m), "batch": batch})
-
-    lacking.mapInPandas(encode, STORE).write.mode("append").parquet(path)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(low, TEXTS)
+                m = np.asarray(encoder(part.column(1).to_pandas()), np.float64)
+                if m.shape != (part.num_rows, dim):
+                    raise ValueError(f"the encoder gave {m.shape} for {part.num_rows} texts of dimension {dim}")
+                m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * dim), pa.array(m.ravel()))
+                same = lambda x, kind: pa.array([x] * part.num_rows, kind)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([part.column(0), same(name, pa.string()), same(dim, pa.int32()), vectors, same(batch_id, pa.string())], ["content", "encoder", "dim", "embedding", "batch"])
+
+    lacking.mapInArrow(encode, STORE).write.mode("append").parquet(path)
     vectors = mine().groupBy("content").agg(F.first("embedding").alias("embedding"))
-    return keyed.join(vectors, keyed["_content"] == vectors["content"], "left").drop("_content", "content"), batch
+    return keyed.join(vectors, keyed["_content"] == vectors["content"], "left").drop("_content", "content"), batch_id
 
 
 def encoded(spark: SparkSession, path: str, batch: str) -> int:
