@@ -1,22 +1,24 @@
 """Robustness runs: questions in altered forms and over memories of several sizes, searched, composed and scored.
 
-Forms of a question are rows that share index probes: a term that several forms of a question hold is looked up once, and one row
-for each (question, text) carries the terms that they share, from which every form takes its own. Memory rows carry the place at
-which they were added; a size is a prefix of these places. Each pair of form and memory is scored once, the best of each stretch
-between two sizes are kept, and a size takes the best of its stretches, so that work grows with the largest size, not with the sum.
+All forms of all questions are asked at once by a scan of the texts in blocks (see `sparse`), so no row is made for a pair. Memory rows
+carry the place at which they were added; a size is a prefix of these places. Each pair of form and memory is scored once, the best of
+each stretch between two sizes are kept, and a size takes the best of its stretches, so that work grows with the largest size, not with the sum.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import sparse as S
 from tessera.operators import text as T
 from tessera.operators.faithfulness import contains
 from tessera.operators.retrieval import tokens
 from tessera.operators.routing import adaptive_route, compose_answer, compose_steps, episode_cost, ranked
+from tessera.sources.shared import written
 
 AUGMENT, MEMSCALE = "AUGMENT", "MEMSCALE"
 
@@ -75,10 +77,13 @@ def evaluate(questions: DataFrame, passages: DataFrame, memory: DataFrame, sizes
     forms over the least memory; MEMSCALE cells ask the questions as they are over each size. Modes: BASE (search), MEM, and RL,
     which is routed by the share of the question's terms that the best hits hold. Work is one pass over passages and memory.
     """
-    asked = with_terms(forms(questions, pool, noise, intensities))
-    found = ranked(scores(asked, passages.select("key", F.lit(0).cast("long").alias("at"), "text")), FORM, "score", "key", 1)
-    found = found.join(passages.select("key", F.col("text").alias("found")), "key").select(*FORM, F.col("score").alias("search_score"), "found")
-    remembered = best_by_size(scores(asked, memory), sizes)
+    asked = with_terms(forms(questions, pool, noise, intensities)).withColumn("form", F.concat("kind", F.lit("@"), F.col("intensity").cast("string"), F.lit("|"), F.col("id").cast("string")))
+    best = lambda texts: S.overlap_topk(asked.select("form", "query"), texts, 1, "form", "query", "key").drop("rank")
+    named = lambda hits: hits.join(asked.select("form", *FORM), "form").drop("form")
+    found = written(named(best(passages)), "found").join(passages.select("key", F.col("text").alias("found")), "key").select(*FORM, F.col("score").alias("search_score"), "found")
+    steps = sorted(set(sizes))
+    stretches = [best(memory.filter((F.col("at") >= low) & (F.col("at") < size))).withColumn("at", F.lit(size - 1)) for low, size in zip([0, *steps[:-1]], steps, strict=True)]
+    remembered = written(best_by_size(named(reduce(DataFrame.unionByName, stretches)), steps).select(*FORM, "size", "key", "score"), "remembered")
     remembered = remembered.join(memory.select("key", F.col("text").alias("mem")), "key").select(*FORM, "size", F.col("score").alias("mem_score"), "mem")
     least = min(sizes)
     at_sizes = F.when(F.col("kind") == "", F.array(*map(F.lit, sorted(set(sizes))))).otherwise(F.array(F.lit(least)))
