@@ -6,6 +6,7 @@ import re
 import pytest
 
 from tessera.operators import mining as G
+from tessera.operators import text as T
 
 
 def sequential(items, existing, n_open, n_recall, each):
@@ -52,3 +53,25 @@ def test_items_are_those_of_the_sequential_program(spark, n_open, n_recall, each
 def test_without_documents_there_are_no_items(spark):
     none = spark.createDataFrame([], "at long, source string, text string")
     assert G.mine(none, spark.createDataFrame([], "id string, query string"), 5, 5).count() == 0
+
+
+def test_no_task_orders_all_items_or_numbers(spark, monkeypatch):
+    """Caps, numbers and free ids over many ranges and blocks; no window over a whole type, no row with all positions."""
+    monkeypatch.setattr(G, "RANGE", 3)
+    monkeypatch.setattr(G, "BLOCK", 4)
+    docs = spark.createDataFrame(sheets(), "at long, source string, text string").repartition(3)
+    asked = [(f"docopen-{k:06d}", None) for k in (0, 1, 2, 3, 5, 6, 11, 400)] + [("docrec-000001", "According to s1, what is the brand?")]
+    existing = spark.createDataFrame(asked, "id string, query string")
+    items = [(r["pass"], r["at"], r["place"], r["type"], r["source"], r["query"], r["expected"]) for r in G.candidates(docs).collect()]
+    for caps in [(35, 30), (1000, 1000), (10, 0)]:
+        mined = G.mine(docs, existing, *caps)
+        assert sorted(tuple(r) for r in mined.collect()) == sequential(items, asked, *caps, 12)
+        windows = [x for x in mined._jdf.queryExecution().executedPlan().toString().split("\n") if "Window [row_number" in x]
+        assert windows and all("slot" in x.split("windowspec")[1] for x in windows)
+
+
+def test_a_line_is_searched_once_for_its_label(spark):
+    df = spark.createDataFrame([(1, "• Weight : 3 kg\nplain line\nName  x y\n- a-b: c")], "n long, t string")
+    found = T.extract_kv(df, "n", "t")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "Name", "x y", 2), (1, "Weight", "3 kg", 0), (1, "a", "b: c", 3)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_replace(") == 1
