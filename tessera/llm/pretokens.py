@@ -2,17 +2,22 @@
 
 A pre-token here is a run of bytes between ASCII white space. `word_bpe_49k.json` replaces white space by one blank and
 then drops it, so the ids of a text are those of its pre-tokens on end. Each distinct pre-token is encoded once while a Python
-worker's memo keeps it. The memo is bounded in entries, and pre-tokens longer than LONG bytes are not kept, so it is bounded
+worker's memo keeps it. Texts of Latin letters are cut and lower-cased first as the vocabulary would do it, so that fewer
+pre-tokens are distinct. The memo is bounded in entries, and pre-tokens longer than LONG bytes are not kept, so it is bounded
 in bytes as well.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from tessera.llm.common import Recent
+from tessera.llm.common import Recent, packed
 
 #: Entries of either generation of a memo: about 150 bytes each.
 MEMO_ENTRIES = 500_000
@@ -20,6 +25,21 @@ MEMO_ENTRIES = 500_000
 MARK = "\x01"
 #: Pre-tokens longer than this are encoded by themselves and not kept.
 LONG = 256
+#: How `word_bpe_49k.json` splits a text, after NFC, white space as blanks and lower case.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+#: Texts of ASCII and Latin letters, which NFC leaves as they are and in which, in lower case, PATTERN's segments are those of APART and what
+#: lies between them and white space.
+SIMPLE = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
+APART = "'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\t-\r a-z0-9ß-öø-ÿ]+"
+
+
+def _splits_like_segments(tokenizer: dict) -> bool:
+    """Whether a tokenizer takes the segments of a SIMPLE text, each by itself; its added tokens all hold `<|`."""
+    split = {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}
+    steps = (tokenizer["pre_tokenizer"] or {}).get("pretokenizers") or [None]
+    alike = (tokenizer["normalizer"] or {}).get("normalizers") == NORMALIZERS and steps[0] == split
+    return alike and [s["type"] for s in steps[1:]] == ["ByteLevel"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"] and all("<|" in t["content"] for t in tokenizer["added_tokens"])
 
 
 class Ids:
@@ -54,6 +74,7 @@ class PretokenEncoder:
         self.memo = Recent(MEMO_ENTRIES)
         mark = self._library(MARK)
         self.mark = mark[0] if len(mark) == 1 else None
+        self.apart = _splits_like_segments(json.loads(self.tokenizer.to_str()))
 
     def _library(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
@@ -92,6 +113,27 @@ class PretokenEncoder:
         get = self.known(set().union(*split)).__getitem__
         return [self.kind.total(map(get, pieces)) for pieces in split]
 
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        """The ids of each text of an Arrow string column; null is empty. Occurrences are looked up and put on end by Arrow."""
+        texts = ["" if x is None else x for x in column.to_pylist()]
+        if self.apart:
+            simple = ["<|" not in x and SIMPLE.fullmatch(x) is not None for x in texts]
+            lower = pa.array([x.lower() if s else x for x, s in zip(texts, simple, strict=True)], pa.large_string())
+            cut = pc.if_else(pa.array(simple, pa.bool_()), pc.replace_substring_regex(lower, APART, r" \0 "), lower)
+        else:
+            cut = pa.array(texts, pa.large_string())
+        split = pc.ascii_split_whitespace(cut)
+        pieces = split.flatten().dictionary_encode()
+        distinct = pieces.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        known = self.known({p for p in distinct if p})
+        # White space at an end of a text leaves an empty piece there.
+        results = pa.array([known[p] if p else b"" for p in distinct], pa.large_binary())
+        found = results.take(pieces.indices)
+        raw, ends = packed(found)
+        places = split.offsets.to_numpy()
+        cuts = ends[places - places[0]].tolist()
+        return [raw[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+
 
 _ENCODERS: dict[tuple[str, type], PretokenEncoder] = {}
 
@@ -105,6 +147,4 @@ def encoder(path: str, kind: type = Ids) -> PretokenEncoder:
 
 def byte_texts(column) -> list[bytes]:
     """Values of an Arrow string column as bytes; null is empty."""
-    import pyarrow as pa
-
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]

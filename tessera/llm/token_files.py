@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import id_and_text, partitions_for, slices
-from tessera.llm.pretokens import byte_texts, encoder
+from tessera.llm.pretokens import encoder
 
 BLOCK_BYTES = 4 << 20
 PART_BYTES = 64 << 20
@@ -122,7 +122,7 @@ def encoded(docs: DataFrame, vocabulary: str, bounds: np.ndarray) -> DataFrame:
         lib = encoder(vocabulary)
         for batch in batches:
             for some in slices(batch, "text", BLOCK_BYTES):
-                ids = [_narrow(np.frombuffer(x, "<u4")) for x in lib.encode(byte_texts(some.column(1)))]
+                ids = [_narrow(np.frombuffer(x, "<u4")) for x in lib.encode_column(some.column(1))]
                 keys = some.column(0)
                 part = np.searchsorted(sent.value, keys.fill_null(0).to_numpy(), side="right") - 1
                 part = np.where(keys.is_valid().to_numpy(zero_copy_only=False), np.maximum(part, 0), 0)

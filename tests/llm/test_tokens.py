@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.parquet as pq
 import tiktoken
 import zlib
@@ -122,3 +123,15 @@ def test_memos_may_overflow_and_keep_nothing_long(monkeypatch):
         assert np.frombuffer(lib.encode([t.encode()])[0], "<u4").tolist() == ids and counts.encode([t.encode()]) == [len(ids)]
         for memo in (lib.memo, counts.memo):
             assert all(len(k) <= pretokens.LONG for k in memo.new)
+
+
+def test_texts_are_cut_before_they_are_told_apart():
+    """Ids are the library's for every text; of Latin texts, words that differ in case or marks are kept once."""
+    lib, ref = pretokens.PretokenEncoder(WORDS), Tokenizer.from_file(WORDS)
+    texts = ["Don't 'rest' x's9 we'LL -'s ''s '' O'Brien's 12,5 kg (\"A-B\")", "ÀÉ straße ÿ×÷", "é H̱ İ ≠", "a\xa0b\x85c d \x1c x", "<|endoftext|>a <| startoftext|>", "’s “q” 中文 ſ Σ", "\x01 a\x01b", "q" * 700, " \t\n", "", None, "end "]
+    got = lib.encode_column(pa.array(texts))
+    assert got == [np.array(ref.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert lib.encode_column(pa.array(texts).slice(1, 3)) == got[1:4] and lib.encode_column(pa.array([], pa.string())) == []
+    lib = pretokens.PretokenEncoder(WORDS)
+    lib.encode_column(pa.array(["Word word, WORD. (word)"]))
+    assert set(lib.memo.new) == {b"word", b",", b".", b"(", b")"}
