@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tessera.operators import routing as G
 from tessera.operators.stats import rounded
 from tessera.registry import register
-from tessera.sources.views import runs, table, view, with_views
+from tessera.sources.views import keyed_runs, runs, table, view, with_views
 
 view(
     "sig",
@@ -181,9 +181,10 @@ LABELS = "SELECT id, mode AS label FROM (SELECT *, row_number() OVER (PARTITION
 
 
 def labelled(spark, d):
-    df = runs(spark, d).withColumn("f", (F.col("product") % 3 == 0).cast("double"))
-    features = df.groupBy("id").agg(F.avg("confidence").alias("mem"), F.avg("steps").alias("steps"), F.avg("f").alias("f"))
-    return features.join(G.best_label(df, ("M1", "M2", "M3")), "id")
+    """id, features and best label of a question by one aggregate, where the join of the runs has put its rows."""
+    df = keyed_runs(spark, d).withColumn("f", (F.col("product") % 3 == 0).cast("double"))
+    features = [F.avg("confidence").alias("mem"), F.avg("steps").alias("steps"), F.avg("f").alias("f")]
+    return G.best_label(df, ("M1", "M2", "M3"), "key", features)
 
 
 def model(spark, weights, bias, counts):
@@ -209,8 +210,7 @@ def router_train(spark, d):
 @register("router_train_logistic")
 def router_train_logistic(spark, d):
     rows = labelled(spark, d)
-    weights, bias = G.router_train(rows, ["mem", "steps", "f"])
-    return model(spark, weights, bias, {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()})
+    return model(spark, *G.router_logistic(rows, ["mem", "steps", "f"]))
 
 
 POLICY = {"MEM": [0.1, 0.2, 1.0, 0.0, 0.0, 0.3, -0.1, 0.2], "SEARCH": [0.0, 0.1, 0.0, 1.0, 0.0, 0.5, -0.1, 0.1], "SYM": [0.0, 0.5, 0.0, 0.0, 1.2, 0.0, 0.0, 0.0], "STOP": [-0.2, 0.0, 0.2, 0.2, 0.2, 0.0, 1.0, -0.5]}

@@ -49,3 +49,14 @@ def test_encoders_see_few_texts_at_once(spark, tmp_path):
     df = spark.range(700).select("id", F.col("id").cast("string").alias("t")).coalesce(1)
     found, batch = E.embed_stored(df, "t", f"file://{tmp_path}/store", encode, "small", 3)
     assert found.filter("size(embedding) = 3").count() == 700 == E.encoded(spark, f"file://{tmp_path}/store", batch)
+
+
+def test_router_labels_and_features_are_one_aggregate(spark):
+    from tessera.plans import routing
+
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert plan(routing.labelled(spark, SF)).count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
